@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.decontaminate import decontaminate
+from lumenlake.llm.lm_score import score_texts
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.near_dup import near_duplicates
 from lumenlake.llm.oracles import ORACLES
 from lumenlake.llm.quality import judge
+from lumenlake.llm.repeats import remove_repeats
 from lumenlake.llm.secrets import find_secrets
+from lumenlake.llm.toxicity import toxicity
 from lumenlake.llm.url_filter import judge_urls
 from lumenlake.llm.warc import archive_round_trip
 
@@ -45,6 +48,18 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"))
 
@@ -53,7 +68,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_minhash_near_dedup, op2_source_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op9_url_filters, op10_warc)
+QUERIES = (op1_minhash_near_dedup, op2_source_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op6_toxicity, op7_lm_scoring, op8_suffix_dedup, op9_url_filters, op10_warc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
