@@ -42,9 +42,9 @@ def water_fill(nodes: DataFrame, parent: list[str], tie: str) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     live = nodes.where("w > 0 and cap > 0").withColumn("fill", fill)
-    # the water level if all below are full and this one, with all above, is not
+    # the water level if all below are full and this one, with all above, is not; levels fall after the first that holds
     live = live.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after))
-    live = live.withColumn("at", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(family))
+    live = live.withColumn("at", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(family))
     return live.withColumn("budget", F.when(F.col("at").isNull() | (F.col("fill") < F.col("at")), F.col("cap")).otherwise(F.floor(F.col("w") * F.col("at"))).cast("long")).drop("fill", "level", "at")
 
 

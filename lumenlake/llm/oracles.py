@@ -40,7 +40,7 @@ def _fill(name: str, source: str, parent: str, tie: str) -> str:
     """CTEs: budget of every child of a parent, by water-filling."""
     return f"""
 {name}_level AS (SELECT *, cap / w AS fill, (total - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / w, {tie} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (PARTITION BY {parent} ORDER BY cap / w, {tie} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM {source} WHERE cap > 0),
-{name}_at AS (SELECT *, min(CASE WHEN lvl <= fill THEN lvl END) OVER (PARTITION BY {parent}) AS pick FROM {name}_level),
+{name}_at AS (SELECT *, max(CASE WHEN lvl <= fill THEN lvl END) OVER (PARTITION BY {parent}) AS pick FROM {name}_level),
 {name} AS (SELECT *, CAST(CASE WHEN pick IS NULL OR fill < pick THEN cap ELSE floor(w * pick) END AS BIGINT) AS budget FROM {name}_at)"""
 
 
