@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     now = named.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     for _ in range(max_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        before, now = now, materialize(_small_star(_large_star(now)), "stars")
+        release(before)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break

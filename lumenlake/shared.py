@@ -31,4 +31,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lumenlake_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing lazy reads them any more."""
+    for df in tables:
+        path = getattr(df, "_lumenlake_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
