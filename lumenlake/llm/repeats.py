@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.textblocks import SAME, U64, Block, blocks, mix
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 LENGTH, TRIGGER, GROUP = 400, 32, 4000
 
@@ -157,7 +157,7 @@ def _compare(found: DataFrame, length: int, trigger: int) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, group: int = GROUP) -> DataFrame:
-    """rows: row long, text (and what else). (row, lo, hi): byte stretches covered by repeated strings; they may overlap."""
+    """rows: row long, text (and what else). (row, lo, hi), written: byte stretches covered by repeated strings; they may overlap."""
     seen = materialize(occurrences(rows, length, trigger), "triggers")
     kinds = seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("one"))
     per = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
@@ -171,13 +171,15 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumn("group", F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")))
     cut = cut.repartition("group").sortWithinPartitions("group")
-    return twins.unionByName(_compare(cut, length, trigger)).where("hi > lo")
+    out = materialize(twins.unionByName(_compare(cut, length, trigger)).where("hi > lo"), "spans")
+    release(seen, kinds)  # the final join takes room for the texts
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, as binary), for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = materialize(repeated_spans(rows, length), "spans")
+    spans = repeated_spans(rows, length)
     per = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))  # a row's own bytes bound it
     kind = dict(rows.dtypes)["doc_id"]
 
