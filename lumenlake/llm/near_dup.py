@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from lumenlake.graph import components
 from lumenlake.llm.textblocks import LOWER, SPACED, U64, blocks, bounds, mix, ngrams
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 REGISTERS, WIDTH, BASE, RATE = 128, 4, 1.001, 20.0
 CUT = 4.0
 BLOCK_ROWS = 512
+#: nodes that share buckets with one another, up to so many, are compared as one group; more, bucket by bucket
+CLUSTER_ROWS = 4096
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
 
@@ -149,8 +151,9 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
-    """Links between nodes of one bucket that are in different components, in blocks of its members; one of each
-    component for a node is enough. mixed: band, key, lb, rb, side, node, component, n, bands, shingles."""
+    """Links between nodes that share a bucket and are in different components, in blocks of a bucket's members or of a
+    cluster's (band -1); one of each component for a node is enough. mixed: band, key, lb, rb, side, node, component,
+    n, bands, shingles."""
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         band = int(key[0])
@@ -160,8 +163,9 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
             lb, rb = (np.stack(x["bands"].to_numpy()).astype(np.int64) for x in (left, right))
             ln, ls, lc, lid = left["n"].to_numpy(float), left["shingles"].to_numpy(), left["component"].to_numpy(), left["node"].to_numpy()
             for i, (node, comp, n, own) in enumerate(zip(right["node"], right["component"], right["n"], right["shingles"], strict=True)):
-                first = (lb[:, : band + 1] == rb[i, : band + 1]).argmax(1) == band  # else an earlier band compares them
-                at = np.flatnonzero((lc != comp) & first & (lid != node))
+                equal = lb == rb[i]
+                here = equal.any(1) if band < 0 else equal.argmax(1) == band  # else an earlier band compares them
+                at = np.flatnonzero((lc != comp) & here & (lid != node) & (np.minimum(ln, n) * 100 >= np.maximum(ln, n) * percent))
                 at = at[plausible(lb[at].view(np.uint16), np.broadcast_to(rb[i], (len(at), lb.shape[1])).copy().view(np.uint16), ln[at], np.full(len(at), float(n)), percent / 100)] if len(at) else at
                 found: set[int] = set()
                 for x in at:
@@ -182,7 +186,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     nodes = sets.select("node", "n", "bands")
     rows = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = materialize(rows.join(sizes, ["band", "key"]), "buckets")
+    rows = buckets = materialize(rows.join(sizes, ["band", "key"]), "buckets")
     central = rows.groupBy("node").agg(F.sum("size").alias("central"))
     pivots = rows.join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", F.col("node").alias("pivot"))).alias("x")).select("band", "key", F.col("x.pivot").alias("pivot"))
     pairs = rows.join(pivots, ["band", "key"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -203,6 +207,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = rows.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
     per = rows.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
     rows = materialize(rows.join(per, ["band", "key"]).select("band", "key", "node", "n", "c"), "mixed")
+    release(buckets, likely)
+    first = rows.groupBy("band", "key").agg(F.min("node").alias("least"))
+    cluster = materialize(components(rows.join(first, ["band", "key"]).select("node", "least"), "node", "least").withColumnRenamed("component", "cluster"), "clusters")
+    small = cluster.groupBy("cluster").count().where(F.col("count") <= CLUSTER_ROWS).select("cluster")
+    whole = cluster.join(small, "cluster").join(rows.select("node", "n", "c").distinct(), "node").select(F.lit(-1).alias("band"), F.col("cluster").alias("key"), "node", "n", "c")
+    large = rows.join(cluster.join(small, "cluster", "left_anti"), "node").select("band", "key", "node", "n", "c")
+    rows = materialize(whole.unionByName(large), "groups")
     by_c = rows.groupBy("band", "key", "c").agg(F.count("*").alias("m"))
     main = by_c.groupBy("band", "key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("members")).select("band", "key", F.col("x.c").alias("main"), "members", (F.col("members") - F.col("x.m")).alias("others"))
     rows = rows.join(main, ["band", "key"])
