@@ -227,5 +227,5 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     more = _across(both.join(nodes.select("node", "bands"), "node").join(held, "node"), percent)
     final = components(links.unionByName(more), "a", "b").withColumnRenamed("component", "c")
     named = sets.select("fp1", "fp2", F.col("n").alias("n_shingles"), "node").join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("c", "node").alias("component_id"))
-    out = all_docs.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = all_docs.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -1,0 +1,293 @@
+"""Each operator against brute force on a small fixture, and its defined results for odd rows."""
+
+import base64
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from lumenlake.llm import lm_score, mixing, quality, repeats, secrets, toxicity, url_filter, warc
+from lumenlake.llm.decontaminate import decontaminate
+from lumenlake.llm.near_dup import near_duplicates
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, component_id long, n int"
+VOCAB = [a + b for a in ("ba", "de", "lo", "mi", "ru", "ta") for b in ("n", "s", "ka", "vo", "x", "el")]
+
+
+def make(rnd, n):
+    return " ".join(rnd.choice(VOCAB) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rnd = random.Random(11)
+    base = [make(rnd, rnd.randrange(20, 120)) for _ in range(25)]
+    texts = list(base)
+    for b in base[:12]:
+        w = b.split()
+        for _ in range(3):
+            c = list(w)
+            for _ in range(rnd.randrange(1, 4)):
+                c[rnd.randrange(len(c))] = "zz"
+            texts.append(" ".join(c))
+    texts += [base[0], base[0].upper(), "", None, "one two", "One TWO", " \n\t ", "é ü ß ñ" * 40, make(rnd, 6000), "x"]
+    return [(i, t, None if i % 9 == 0 else "en", None if i % 7 == 0 else f"src{i % 4}", 1, "clash", 5, 1) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def spaced(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_near_duplicates(docs, rows, empty):
+    sets = {}
+    for i, t, *_ in rows:
+        w = spaced(lower(t))
+        sets[i] = {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.doc_id: r for r in near_duplicates(docs, 4).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
+    assert near_duplicates(empty, 4).count() == 0
+
+
+def test_near_duplicates_null_and_repeated_ids(spark):
+    t = " ".join(VOCAB)
+    got = near_duplicates(spark.createDataFrame([(None, t), (3, t), (3, t), (1, t)], "doc_id long, text string"), 5).collect()
+    assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in got) == [(-1, -1, True), (1, 1, True), (3, 1, False), (3, 1, False)]
+
+
+def test_decontaminate(spark, docs, rows, empty):
+    items = [(1, " ".join(rows[0][1].split()[3:16])), (2, "One, two!"), (3, None), (4, "..."), (5, " ".join(rows[0][1].split()[8:20]).upper()), (6, "zz")]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    got = {r.doc_id: r for r in decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, t, *_ in rows:
+        w, hit, ids = words(t), set(), set()
+        for item, text in items:
+            x = words(text)
+            k = min(10, len(x))
+            for a in range(len(x) - k + 1 if k else 0):
+                for p in range(len(w) - k + 1):
+                    if w[p : p + k] == x[a : a + k]:
+                        hit.update(range(p, p + k))
+                        ids.add(str(item))
+        r = got[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(ids), bool(hit)), i
+        assert r.items_sha256 == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    assert decontaminate(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_quality_measures(docs, rows, empty):
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, t, *_ in rows:
+        w = spaced(t)
+        g = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        n = Counter(g)
+        hit = {j for k, x in enumerate(g) if n[x] > 1 for j in range(k, k + 5)}
+        lines = Counter(x for x in (t or "").split("\n") if spaced(x))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(v - 1 for v in lines.values()), len(hit))
+        assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and not (r.base_failed and r.kept)
+    assert quality.judge(empty).count() == 0
+
+
+def test_kneser_ney_sums_to_one(docs):
+    import numpy as np
+
+    table = quality.full_table(quality.kneser_ney(quality.ngram_counts(docs)))
+    assert np.allclose((10.0 ** table.reshape(-1, quality.SYMBOLS)).sum(1), 1, atol=2e-3)
+
+
+def test_secrets():
+    u = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    jwt = f"{u({'alg': 'HS256'})}.{u({'sub': 'someone'})}.c2ln"
+    der = base64.b64encode(bytes([0x30, 28, 0x02, 1, 0, 0x30, 13, 0x06, 9, 42, 134, 72, 134, 247, 13, 1, 1, 1, 0x05, 0, 0x04, 8]) + b"abcdefgh").decode()
+    kinds = lambda t: [k for _, _, k in secrets.spans(t)]
+    assert kinds(jwt) == ["jwt"] and kinds(jwt.replace("eyJ", "fyJ")) == []
+    assert kinds(f"x {der} y") == ["der"] and kinds(f"x {der[:8]}Z{der[9:]} y") == []
+    key = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-ed25519", bytes(range(32))))
+    assert kinds("ssh-ed25519 " + base64.b64encode(key).decode()) == ["ssh"]
+    assert kinds('é password = "abc123"') == ["assign"] and secrets.spans('é password = "abc123"')[0][:2] == (2, 20)
+    assert kinds("token=abc") == [] and kinds("AKIA" + "A" * 16) == ["access"] and kinds("0a" * 11) == [] and kinds("0a" * 12) == ["hex"]
+
+
+def test_secret_columns(spark, empty):
+    df = spark.createDataFrame([(1, "token: abcdef"), (2, None), (3, "")], "doc_id long, text string")
+    got = {r.doc_id: r.secrets for r in secrets.find_secrets(df).collect()}
+    assert [len(got[i]) for i in (1, 2, 3)] == [1, 0, 0]
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()}[1] == "[assign]"
+    assert secrets.find_secrets(empty).count() == 0
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    total = sum(r.n_tokens for r in got)
+    assert sum(r.n_tokens * r.copies for r in got) <= 0.6 * total and max(r.copies for r in got) <= 4
+    assert mixing.mix(empty).count() == 0
+
+
+def test_water_fill_against_steps(spark):
+    rnd = random.Random(2)
+    for _ in range(4):
+        kids = [(f"k{i}", rnd.randrange(1, 5), rnd.randrange(0, 60)) for i in range(6)]
+        total = rnd.randrange(1, 200)
+        df = spark.createDataFrame([("p", k, w, c, total) for k, w, c in kids], "p string, k string, w int, cap long, total long")
+        got = {r.k: r.budget for r in mixing.water_fill(df, ["p"], "k").collect()}
+        share, rest, left = dict.fromkeys([k for k, _, _ in kids], 0.0), float(min(total, sum(c for *_, c in kids))), list(kids)
+        while rest > 1e-9 and left:
+            step = min(rest / sum(w for _, w, _ in left), min((c - share[k]) / w for k, w, c in left))
+            for k, w, _ in left:
+                share[k] += step * w
+                rest -= step * w
+            left = [(k, w, c) for k, w, c in left if c - share[k] > 1e-9]
+        assert all(abs(got.get(k, 0) - share[k]) < 1 + 1e-6 for k in share)
+
+
+def test_toxicity(spark, empty):
+    rnd = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        toxic = i % 4 == 0
+        w = [rnd.choice(VOCAB) for _ in range(40)]
+        if toxic:
+            w[rnd.randrange(40)] = rnd.choice(["grumblor", "snarkwit"]) if i % 8 else rnd.choice(["grum-blor", "snarxkwit"])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    df, lab = spark.createDataFrame(rows + [(900, None)], "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(df, lab).collect()}
+    held = [i for i in range(300) if got[i].held_out]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in got)
+    right = sum(got[i].predicted == (i % 4 == 0) for i in held)
+    assert right / len(held) > 0.9 and 0 <= got[900].score <= 1
+    assert toxicity.toxicity(empty, lab).count() == 0
+    assert {r.score for r in toxicity.toxicity(df, lab.where("false")).collect()} == {0.0}
+
+
+def test_lattice_sums_all_segmentations():
+    import numpy as np
+
+    names = np.array([b"a", b"b", b"ab", lm_score.MARK, lm_score.MARK + b"a"] + [bytes([x]) for x in range(128, 256)], object)
+    logs = np.log(np.array([0.2, 0.2, 0.2, 0.1, 0.1] + [0.2 / 128] * 128))
+    p = dict(zip(names, np.exp(logs), strict=True))
+
+    def total(s):
+        return 1.0 if not s else sum(p[s[:k]] * (1 - lm_score.STOP) * total(s[k:]) for k in range(1, len(s) + 1) if s[:k] in p)
+
+    for w in (b"ab", b"aab", b"bba"):
+        want = total(lm_score.MARK + w) / (1 - lm_score.STOP) * lm_score.STOP
+        assert abs(lm_score.lattice([w, b"a"], lm_score._span_table(names, logs))[0] - math.log(want)) < 1e-9
+
+
+def test_lm_base(docs, rows, empty):
+    got = {r.doc_id: r for r in lm_score.score_texts(docs, passes=1).collect()}
+    count = Counter()
+    for i, t, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update(spaced(lower(t)))
+            count["\0"] += 1
+    n, v = sum(count.values()), len(count)
+    for i, t, *_ in rows:
+        w = [*spaced(lower(t)), "\0"]
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(count[x] > 0 for x in w), n)
+        assert abs(r.base_score - sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
+        assert math.isfinite(r.score) and r.score < 0
+    assert lm_score.score_texts(empty).count() == 0
+
+
+@pytest.mark.parametrize("group", [4000, 4])
+def test_repeats(spark, empty, group):
+    rnd = random.Random(8)
+    shared = make(rnd, 130)
+    texts = [make(rnd, 30) + shared[rnd.randrange(200) :] + make(rnd, 40) for _ in range(14)] + [shared, shared, "é" * 500, "ab" * 300, None, "", "x" * 399]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen = Counter()
+    data = [(t or "").encode() for t in texts]
+    for b in data:
+        seen.update(b[k : k + 400] for k in range(len(b) - 399))
+    rows = df.selectExpr("doc_id AS row", "text")
+    spans = {}
+    for r in repeats.repeated_spans(rows, group=group).collect():
+        spans.setdefault(r.row, set()).update(range(r.lo, r.hi))
+    got = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
+    for i, b in enumerate(data):
+        hit = {j for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1 for j in range(k, k + 400)}
+        assert spans.get(i, set()) == hit, i
+        assert got[i].n_removed == len(hit) and bytes(got[i].kept) == bytes(x for j, x in enumerate(b) if j not in hit)
+    assert repeats.remove_repeats(empty).count() == 0
+
+
+PAGES = "page_id long, url string, html string, host string"
+
+
+def test_urls(spark):
+    urls = [(1, "http://Ab.example.com/en/x?y"), (2, "https://www.example.com/en/"), (3, "http://a.example.net/es/1"), (4, "ftp://x.org"), (5, None), (6, "no scheme"), (7, "http://a.net/de")]
+    df = spark.createDataFrame([(i, u, "some words here", "clash") for i, u in urls], PAGES)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(df).collect()}
+    assert got[1] == ("ab.example.com", "/en/x", "example.com/en/", "block")
+    assert got[2][2:] == ("www.example.com/en/", "allow") and got[3][2:] == ("net/es/", "block")
+    assert got[4][:3] == ("x.org", "", None) and got[5][:3] == ("", "", None) and got[7][2] is None
+    assert url_filter.judge_urls(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_viterbi():
+    n = {"blue": 50, "bird": 40, "b": 1, "lue": 1}
+    label = "bluebird"
+    own = {(i, j): math.log(n[label[i:j]] / 92) for i in range(8) for j in range(i + 1, 9) if label[i:j] in n}
+    assert url_filter.best_split(label, own, 92.0) == ["blue", "bird"]
+
+
+def test_warc_round_trip(spark):
+    trap = "x" * 60 + "\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\nWARC/1.1\r\nno" + "y" * 60
+    rows = [(1, "u", trap), (2, "u", trap), (3, None, None), (4, "a b\r\nX: y", "é" * 70), (5, "u", "é" * 70), (6, "u", "tiny"), (7, "u", "tiny"), (None, "u", "z" * 200)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], PAGES)
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()))
+    first = {1: None, 2: 1, 4: None, 5: 4}
+    want = sorted((i or 0, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if first.get(i) else "response", first.get(i)) for i, _, h in rows)
+    assert got == want
+    assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_boundary_chain_over_small_segments(spark):
+    from lumenlake.shared import new_path
+
+    path = new_path(spark, "warc-test")
+    df = spark.createDataFrame([(i, "u", f"page {i} WARC/1.1\r\n" * (i + 1), "c") for i in range(20)], PAGES)
+    warc.write_archives(df, path)
+    assert sorted(int(r.page_id) if "page_id" in r.asDict() else int(r.page) for r in warc.read_archives(spark, path, segment=700).collect()) == list(range(20))
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "mixing"]
+    kept = p.near_dedup(spark, docs, "")
+    assert kept.columns == p.COLUMNS and kept.count() < docs.count()
