@@ -69,11 +69,11 @@ def record(date: str = "2024-01-01T00:00:00Z") -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
-    """One archive a partition, of about file_bytes each."""
+    """Archives of about file_bytes each, by the mean record; pages stay in the partitions they are in."""
     rows = with_originals(pages, least)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    parts = 1 + total // file_bytes
-    rows.select(record().alias("value")).repartition(int(parts)).write.option("lineSep", END).option("compression", "none").text(path)
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    per_file = max(1, int(file_bytes / (mean + 600)))
+    rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple | None:
