@@ -16,6 +16,7 @@ responses; an empty table gives no records; other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 
@@ -69,11 +70,11 @@ def record(date: str = "2024-01-01T00:00:00Z") -> Column:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
-    """Archives of about file_bytes each, by the mean record; pages stay in the partitions they are in."""
+    """Archives of about file_bytes each before gzip, by the mean record; pages stay in the partitions they are in."""
     rows = with_originals(pages, least)
     mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
     per_file = max(1, int(file_bytes / (mean + 600)))
-    rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record().alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 def _parsed(data: bytes, at: int) -> tuple | None:
@@ -113,6 +114,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 name, data = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 rows = [(name, m.start(), p[0], len(data), *p[1:]) for m in MARK.finditer(data) if (p := _parsed(data, m.start()))]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
