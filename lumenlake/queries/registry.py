@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenlake.functions import detections as D
 from lumenlake.functions import tokens as T
 from lumenlake.functions import values as V
 from lumenlake.graph import components
@@ -315,6 +316,50 @@ def _(i, m):
     return bursts.demote(_verdicts(m), members).select("image_id", "verdict", "label")
 
 
+# ---- detections
+
+
+@_add("fn_14_merge_animals", "images_fx", ", d AS (SELECT id, CASE id % 3 WHEN 0 THEN ['cat'] WHEN 1 THEN ['dog'] ELSE [] END AS a, CASE id % 2 WHEN 0 THEN ['dog', 'car', 'bird', 'dog'] ELSE ['cat'] END AS o FROM images_fx) SELECT id, array_to_string(list_sort(list_distinct(list_concat(a, list_filter(o, lambda x: x IN ('bird', 'cat', 'dog'))))), ',') AS species FROM d")
+def _(i):
+    animals = "CASE id % 3 WHEN 0 THEN array(named_struct('species', 'cat', 'confidence', 0.9D)) WHEN 1 THEN array(named_struct('species', 'dog', 'confidence', 0.8D)) END"
+    objects = "transform(CASE id % 2 WHEN 0 THEN array('dog', 'car', 'bird', 'dog') ELSE array('cat') END, x -> named_struct('kind', x, 'confidence', 0.5D))"
+    merged = D.merge_animals(F.expr(animals), F.expr(objects))
+    return i.select("id", F.array_join(F.array_sort(F.transform(merged, lambda a: a["species"])), ",").alias("species"))
+
+
+@_add(
+    "fn_18_content_type",
+    "images_fx",
+    ", x AS (SELECT id, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS cam, CAST(id % 101 AS DOUBLE) / 100e0 AS doc, id % 7 AS n, least(1e0, CAST((id % 7) * 200 * (id % 90) AS DOUBLE) / 1000000e0) AS ta, id * 37 % 512 AS colours FROM images_fx),"
+    " k AS (SELECT id, CASE WHEN cam AND doc >= 0.7e0 AND ta > 0.01e0 THEN 'document' WHEN NOT cam AND (colours < 256 OR (ta >= 0.04e0 AND n >= 4)) THEN 'screenshot' WHEN NOT cam THEN 'photo' WHEN ta >= 0.04e0 AND colours < 256 THEN 'screenshot' ELSE 'photo' END AS kind, cam, doc, ta FROM x)"
+    " SELECT id, kind, round(CASE kind WHEN 'document' THEN doc WHEN 'screenshot' THEN least(0.99e0, ta + CASE WHEN NOT cam THEN 0.8e0 ELSE 0.7e0 END) ELSE CASE WHEN NOT cam THEN 0.7e0 ELSE 0.8e0 END END, 9) AS conf FROM k",
+)
+def _(i):
+    boxes = "transform(slice(sequence(1, 7), 1, CAST(id % 7 AS INT)), k -> named_struct('x0', k * 10, 'y0', 0, 'x1', k * 10 + 100, 'y1', CAST(id % 90 AS INT) * 2))"
+    c = D.content_type(F.expr("CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END"), F.expr("CAST(id % 101 AS DOUBLE) / 100D"), F.expr(boxes), F.expr("id * 37 % 512"), F.lit(1000), F.lit(1000))
+    return i.select("id", c.alias("c")).select("id", "c.kind", F.round("c.conf", 9).alias("conf"))
+
+
+@_add(
+    "fn_19_eye_report",
+    "images_fx",
+    ", e AS (SELECT id, k, CAST(id * k * 7 % 50 AS DOUBLE) / 100e0 AS le, CAST(id * k * 11 % 50 AS DOUBLE) / 100e0 AS re, CAST(id * k * 13 % 70 AS DOUBLE) / 100e0 AS b, (id + k) % 3 = 0 AS occ FROM images_fx, (SELECT unnest(range(1, 5)) AS k) WHERE k <= id % 5),"
+    " g AS (SELECT id, count(*) AS faces, count(*) FILTER (b >= 0.5e0 OR least(le, re) < 0.2e0) AS closed, count(*) FILTER ((b >= 0.5e0 OR least(le, re) < 0.2e0) AND occ) AS occluded, min(least(le, re)) AS min_ear, max(b) AS max_blink FROM e GROUP BY id)"
+    " SELECT i.id, coalesce(faces, 0) AS faces, coalesce(closed, 0) AS closed_count, coalesce(occluded, 0) AS occluded_count, coalesce(closed, 0) > 0 AS any_closed, min_ear, max_blink FROM images_fx i LEFT JOIN g ON g.id = i.id",
+)
+def _(i):
+    share = lambda by, of: f"CAST(id * k * {by} % {of} AS DOUBLE) / 100D"
+    face = f"named_struct('left_ear', {share(7, 50)}, 'right_ear', {share(11, 50)}, 'left_blink', {share(13, 70)}, 'right_blink', 0D, 'smile', 0D, 'frown', 0D, 'occluded', (id + k) % 3 = 0)"
+    e = D.eye_report(F.expr(f"transform(slice(sequence(1, 4), 1, CAST(id % 5 AS INT)), k -> {face})"))
+    return i.select("id", e.alias("e")).select("id", *[f"e.{c}" for c in ("faces", "closed_count", "occluded_count", "any_closed", "min_ear", "max_blink")])
+
+
+@_add("vec_11_reassign", "faces_fx", " SELECT id, CASE WHEN id % 12 = 0 THEN NULL WHEN id % 6 = 0 THEN 3 ELSE cluster_id END AS cluster_id FROM faces_fx")
+def _(f):
+    patch = f.where("id % 6 = 0").select("id", F.expr("CASE WHEN id % 12 <> 0 THEN 3 END").cast(dict(f.dtypes)["cluster_id"]).alias("cluster_id"))
+    return vectors.reassign_faces(f, patch).select("id", "cluster_id")
+
+
 def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """library_id, verdict, n over all images."""
     i, m = view(spark, sf_dir, "images_fx"), view(spark, sf_dir, "metrics_fx")
