@@ -22,6 +22,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.llm.skew import salt, salted
 from lumenlake.shared import materialize
 
 PREFIX = 3
@@ -67,18 +68,18 @@ def mix(
 ) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, copies: how often each document is taken, for all documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), tokens(text_col).alias("n_tokens"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
-    rows = materialize(rows.withColumn("domain", F.expr(domain)), "tokens")
+    rows = materialize(rows.withColumn("domain", F.expr(domain)).withColumn("salt", salt("doc_id", "digest")), "tokens")
     key = ["domain", "lang", "source"]
     leaves = rows.groupBy(*key).agg(F.sum("n_tokens").alias("n_tokens"))
     budgets = leaf_budgets(leaves, share, max_epochs, weights).where("n_tokens > 0")
     budgets = materialize(budgets.select(*key, F.floor(F.col("budget") / F.col("n_tokens")).cast("int").alias("epochs"), F.expr("budget % n_tokens").alias("rest")), "budgets")
-    rows = rows.join(budgets, key, "left").withColumn("epochs", F.coalesce("epochs", F.lit(0))).withColumn("rest", F.coalesce("rest", F.lit(0).cast("long")))
+    rows = rows.join(salted(budgets), [*key, "salt"], "left").withColumn("epochs", F.coalesce("epochs", F.lit(0))).withColumn("rest", F.coalesce("rest", F.lit(0).cast("long")))
     rows = rows.withColumn("turn", F.md5(F.concat_ws("-", F.lit(seed), "epochs", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
     rows = rows.withColumn("slice", F.substring("turn", 1, PREFIX))
     sums = rows.groupBy(*key, "slice").agg(F.sum("n_tokens").alias("s"), F.max("rest").alias("r"))
     running = Window.partitionBy(*key).orderBy("slice")  # at most 16**PREFIX rows a leaf
     border = sums.withColumn("done", F.sum("s").over(running) - F.col("s")).where("done <= r and done + s > r").select(*key, F.col("slice").alias("border"), "done")
-    rows = materialize(rows.join(border, key, "left"), "turns")
+    rows = materialize(rows.join(salted(border), [*key, "salt"], "left"), "turns")
     plain = rows.where("border is null or slice <> border").withColumn("more", F.when(F.col("rest") == 0, 0).when(F.col("border").isNull() | (F.col("slice") < F.col("border")), 1).otherwise(0))
     step = Window.partitionBy(*key).orderBy("turn", "digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where("slice = border").withColumn("more", F.when((F.col("rest") > 0) & (F.col("done") + F.sum("n_tokens").over(step) <= F.col("rest")), 1).otherwise(0))
