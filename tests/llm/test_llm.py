@@ -118,6 +118,32 @@ def test_quality_measures(docs, rows, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_quality_rejects_lists_and_marked_words(spark):
+    rnd = random.Random(7)
+    small = ["the", "of", "and", "to", "in", "is", "that", "it"]
+    pseudo = lambda: "".join(rnd.choice(VOCAB) for _ in range(2))
+    prose = lambda n: [rnd.choice(small) if rnd.random() < 0.45 else pseudo() for _ in range(n)]
+    texts = [" ".join(prose(rnd.randrange(80, 400))) for _ in range(300)]
+    texts += [" | ".join(pseudo() for _ in range(rnd.randrange(80, 300))) for _ in range(8)]
+    texts += [" ".join(w + rnd.choice(["***", "&&&", "%%%", "$$$", "###"]) for w in prose(rnd.randrange(80, 300))) for _ in range(8)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[i].kept for i in range(300, 316))
+
+
+def test_quality_vocabulary(docs, rows):
+    import numpy as np
+
+    count = Counter(w for _, t, *_ in rows for w in set(spaced(t)))
+    assert len(count) < quality.WORDS - 1 and len(quality.vocabulary(docs)) == len(count)
+    names = docs.sparkSession.sparkContext.broadcast(quality.vocabulary(docs))
+    pairs = quality.word_counts(docs, names).collect()
+    assert sum(r.n for r in pairs) == sum(len(spaced(t)) for _, t, *_ in rows)
+    table = quality.full_table(quality.kneser_ney(quality.word_counts(docs, names), quality.WORD_ORDER, quality.WORD_BITS), quality.WORD_ORDER, quality.WORD_BITS)
+    assert np.allclose((10.0 ** table.reshape(-1, quality.WORDS)).sum(1), 1, atol=2e-3)
+
+
 def test_kneser_ney_sums_to_one(docs):
     import numpy as np
 
