@@ -164,6 +164,37 @@ def test_secrets():
     assert kinds("token=abc") == [] and kinds("AKIA" + "A" * 16) == ["access"] and kinds("0a" * 11) == [] and kinds("0a" * 12) == ["hex"]
 
 
+def test_secrets_after_equals_escaped_and_wrapped():
+    kinds = lambda t: [k for _, _, k in secrets.spans(t)]
+    rnd = random.Random(3)
+    body = bytes([0x02, 1, 0, 0x04, 0x81, 190]) + bytes(rnd.randrange(256) for _ in range(190))
+    der = base64.b64encode(bytes([0x30, 0x81, len(body)]) + body).decode()
+    key = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-rsa", b"\1\0\1", bytes(range(1, 130))))
+    ssh = base64.b64encode(key).decode()
+    for b, kind in ((der, "der"), (ssh, "ssh"), (der.rstrip("="), "der")):
+        assert secrets.spans(f"SIGNING_KEY={b} x") == [(12, 12 + len(b), kind)]
+        for width in (24, 64, 76):
+            lines = [b[i : i + width] for i in range(0, len(b), width)]
+            for end in ("\n", "\r\n", "\n  ", "\\n", "\\r\\n"):
+                text = end.join(lines)
+                found = secrets.spans(f"key: {text}{end}after{end}that")
+                assert found == [(5, 5 + len(text), kind)], (kind, width, end)
+                assert secrets.spans(f'{{"k": "x{end}{text}"}}')[-1][2] == kind
+        assert kinds(f'"x\\n{b}"') == [kind]
+    pem = lambda end: end.join(["-----BEGIN PRIVATE KEY-----", *[der[i : i + 64] for i in range(0, len(der), 64)], "-----END PRIVATE KEY-----", ""])
+    for end in ("\n", "\\n", "\\r\\n", "\\\\n"):
+        assert secrets.spans(pem(end)) == [(0, len(pem(end)) - len(end), "pem")]
+    broken = der[:8] + "Z" + der[9:]
+    assert kinds(f"K={broken}") == [] and kinds("\n".join(broken[i : i + 64] for i in range(0, len(broken), 64))) == []
+
+
+def test_redacts_wrapped_keys_whole(spark):
+    key = b"".join(len(f).to_bytes(4, "big") + f for f in (b"ssh-rsa", b"\1\0\1", bytes(range(1, 130))))
+    b = base64.b64encode(key).decode()
+    df = spark.createDataFrame([(1, "a " + "\n".join(b[i : i + 20] for i in range(0, len(b), 20)) + "\nend"), (2, f"privkey={b}")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(df).collect()} == {1: "a [ssh]\nend", 2: "privkey=[ssh]"}
+
+
 def test_secret_columns(spark, empty):
     df = spark.createDataFrame([(1, "token: abcdef"), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r.secrets for r in secrets.find_secrets(df).collect()}
