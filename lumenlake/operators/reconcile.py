@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.tokens import token
+from lumenlake.operators.bursts import numbered
 
 
 def pending(files: DataFrame, images: DataFrame, force: bool = False) -> DataFrame:
@@ -15,13 +16,22 @@ def pending(files: DataFrame, images: DataFrame, force: bool = False) -> DataFra
     return (out if force else out.where(F.col("known").isNull() | F.col("known_mtime").isNull() | (F.col("mtime") != F.col("known_mtime")))).select(*files.columns)
 
 
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """content_hash, the column and its rank within the hash, without one task for all copies: rows are numbered over all hashes."""
+    distinct = rows.where("content_hash is not null").select("content_hash", column).distinct()
+    all_ = numbered(distinct.withColumn("_order", F.struct("content_hash", column)), "_order", "_n")
+    first = all_.groupBy("content_hash").agg(F.min("_n").alias("_first"))
+    return all_.join(first, "content_hash").select("content_hash", column, (F.col("_n") - F.col("_first")).alias("rank"))
+
+
 def reconcile(files: DataFrame, images: DataFrame) -> DataFrame:
     """id, path, status: kept, rehoused (path is the file's) or removed. A missing image is healed by a new file with its
-    content hash, else by one whose size, time and camera match it alone; a file goes to the least image id."""
+    content hash, else by one whose size, time and camera match it alone; a file goes to the least image id. Of copies with one
+    content hash, the images in order of id take the new files in order of path, one each."""
     kept = images.join(files, "path", "left_semi").select("id", "path", F.lit("kept").alias("status"))
     missing, fresh = images.join(files, "path", "left_anti"), files.join(images, "path", "left_anti")
     claim = lambda df: df.groupBy("new_path").agg(F.min("id").alias("id")).groupBy("id").agg(F.min("new_path").alias("new_path"))
-    by_hash = claim(missing.join(fresh.select("content_hash", F.col("path").alias("new_path")), "content_hash").select("id", "new_path"))
+    by_hash = _ranked(missing, "id").join(_ranked(fresh.withColumnRenamed("path", "new_path"), "new_path"), ["content_hash", "rank"]).select("id", "new_path")
     left = missing.join(by_hash, "id", "left_anti")
     spare = fresh.join(by_hash.select(F.col("new_path").alias("path")), "path", "left_anti")
     sign = ["size_bytes", "capture_s", "camera_model"]

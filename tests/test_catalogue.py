@@ -128,3 +128,12 @@ def test_duplicate_groups_short_hashes(spark):
 def test_values(spark):
     row = spark.range(1).select(V.exif_time(F.lit("2024:01:02 03:04:05")).cast("string").alias("t"), V.dms(F.lit(10.0), F.lit(30.0), F.lit(0.0), F.lit("S")).alias("d"), T.exposure_text(F.lit(0.004)).alias("e")).first()
     assert row.t == "2024-01-02 03:04:05" and row.d == -10.5 and row.e == "1/250"
+
+
+def test_reconcile_copies_of_one_content(spark):
+    names = "path string, content_hash string, size_bytes long, capture_s long, camera_model string"
+    old = [(i, f"/old/{h}{i}", h, 5, None, None) for i, h in enumerate(["a"] * 3 + ["b"] * 3 + ["c"] * 2 + [None])]
+    new = [(f"/new/{h}{k}", h, 5, None, None) for h, n in (("a", 3), ("b", 2), ("c", 3), ("d", 1)) for k in range(n)] + [("/new/none", None, 5, None, None)]
+    got = {r.id: (r.path, r.status) for r in reconcile.reconcile(spark.createDataFrame(new, names), spark.createDataFrame(old, "id long, " + names)).collect()}
+    moved = {0: "a0", 1: "a1", 2: "a2", 3: "b0", 4: "b1", 6: "c0", 7: "c1"}
+    assert got == {i: (f"/new/{p}", "rehoused") for i, p in moved.items()} | {5: ("/old/b5", "removed"), 8: ("/old/None8", "removed")}
