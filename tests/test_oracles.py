@@ -27,3 +27,11 @@ def test_oracle(spark, name):
     at = [rel.columns.index(c) for c in sorted(rel.columns)]
     assert sorted(df.columns) == sorted(rel.columns)
     assert got == sorted(repr([plain(r[i]) for i in at]) for r in rel.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_sort_gives_all_rows_in_order(spark):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    got = [(r.id, r.key) for r in queries()["q_5_sort_all"](spark, SF).collect()]
+    assert got == con.sql(ORACLES["q_5_sort_all"]).fetchall() and len(got) == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
