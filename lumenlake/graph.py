@@ -43,4 +43,6 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = named.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+    out = materialize(nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component")), "components")
+    release(named, now)
+    return out
