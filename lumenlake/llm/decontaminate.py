@@ -10,6 +10,8 @@ as GRAM = their length.
 Before the shuffle, documents' fingerprints are held against a bitmap of 2**BITS bits, made from the items:
 its size is fixed, and it only spares rows that would find no partner.
 
+Rows are known by a 128-bit digest of their text, so equal texts share their work.
+
 Defined results: null text has no words; items without words match nothing; a null item id is the string
 "null" in lists; other columns are ignored; rows that share a doc_id are scored each on its own text, as rows.
 """
@@ -18,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.textblocks import ALNUM, LOWER, U64, blocks, mix, ngrams
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 WINDOW, GRAM, BITS = 10, 5, 22
 SPAN, SIDE = WINDOW - GRAM + 1, WINDOW - GRAM
@@ -60,15 +62,14 @@ def _whole(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return grams[at] ^ mix(np.array([n], U64))[0], at
 
 
-FINGERPRINTS = "row long, at long, words int, fp long, around binary"
+FINGERPRINTS = "row binary, at long, words int, fp long, around binary"
 
 
 def _scan(docs: DataFrame, bitmap=None, lengths=range(1, WINDOW), outside: int = 1) -> DataFrame:
-    """Fingerprints of column text, keyed by column row (long); without a bitmap, those of items: short ones whole."""
+    """Fingerprints of column text, keyed by column row (binary); without a bitmap, those of items: short ones whole."""
 
     def run(batches):
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(1)):
                 h, row = b.word_hashes(ALNUM, LOWER)
                 size = np.bincount(row, minlength=b.rows) if len(row) else np.zeros(b.rows, np.int64)
@@ -88,7 +89,7 @@ def _scan(docs: DataFrame, bitmap=None, lengths=range(1, WINDOW), outside: int =
                 if len(at):
                     raw = _around(h, row, at, outside)
                     near = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.arange(len(at) + 1) * AROUND * 8).astype(np.int32)), pa.py_buffer(raw.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[b.first + row[at]]), pa.array(at - first[row[at]]), pa.array(words), pa.array(fp.view(np.int64)), near], ["row", "at", "words", "fp", "around"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b.first + row[at])), pa.array(at - first[row[at]]), pa.array(words), pa.array(fp.view(np.int64)), near], ["row", "at", "words", "fp", "around"])
 
     return docs.mapInArrow(run, FINGERPRINTS)
 
@@ -111,14 +112,19 @@ def _extend(joined: DataFrame) -> DataFrame:
             lo, hi = np.where(long, at - left, at), np.where(long, at + GRAM + right, at + words)
             yield pa.RecordBatch.from_arrays([row, item, pa.array(lo), pa.array(hi)], ["row", "item", "lo", "hi"]).filter(pa.array(ok))
 
-    return joined.select("row", "at", "words", "around", "item", "item_around").mapInArrow(run, "row long, item string, lo long, hi long")
+    return joined.select("row", "at", "words", "around", "item", "item_around").mapInArrow(run, "row binary, item string, lo long, hi long")
+
+
+def _digest(*columns: str) -> Column:
+    """128 bits; null is not empty."""
+    return F.unhex(F.md5(F.concat_ws(":", *[F.coalesce(F.concat(F.lit("v"), F.col(c)), F.lit("n")) for c in columns])))
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs: row long, text; items: item string, text. Rows (row, item, lo, hi): words lo to hi of the row's text
+    """docs: row binary, text; items: item string, text. Rows (row, item, lo, hi): words lo to hi of the row's text
     lie in windows of the item. Overlapping stretches are not merged."""
     spark = docs.sparkSession
-    numbered = materialize(items.select(F.xxhash64("item", "text").alias("row"), F.col("item").cast("string").alias("item"), "text").distinct(), "items")
+    numbered = materialize(items.select(_digest("item", "text").alias("row"), F.col("item").cast("string").alias("item"), "text").distinct(), "items")
     prints = materialize(_scan(numbered.select("row", "text"), outside=2), "item-prints")
     width = 1 << (BITS - 3)
     slots = prints.select(F.shiftrightunsigned("fp", 64 - BITS).alias("s")).select((F.col("s") / 8).cast("int").alias("byte"), F.pmod("s", F.lit(8)).cast("int").alias("bit"))
@@ -134,11 +140,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return _extend(found.join(known, (found.fp == known.fp) & (found.words == known.w)).drop("fp"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings), items_sha256, contaminated; a row for each document."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items (sorted ids as strings), items_sha256, contaminated; a row for each document. keep: columns to carry along."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text")).withColumn("row", _digest("text"))
     bench = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text"))
-    hits = matches(rows, bench)
+    hits = matches(rows.select("row", "text"), bench)
     # stretches of one row: at most as many as its words; merged in order by a running maximum
     per = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
@@ -152,17 +158,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     def sizes(batches):
         for batch in batches:
             out = np.zeros(batch.num_rows, np.int64)
-            for b in blocks(batch.column(2)):
+            for b in blocks(batch.column(len(known))):
                 _, _, row = b.words(ALNUM)
                 out[b.first : b.first + b.rows] = np.bincount(row, minlength=b.rows) if len(row) else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["doc_id", "row", "n_words"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(known))], pa.array(out)], [*known, "n_words"])
 
-    kind = dict(rows.dtypes)["doc_id"]
-    counted = rows.select("doc_id", "row", "text").mapInArrow(sizes, f"doc_id {kind}, row long, n_words long")
+    known = ["doc_id", *keep, "row"]
+    kinds = ", ".join(f"`{c}` {k}" for c, k in rows.select(*known).dtypes)
+    counted = rows.select(*known, "text").mapInArrow(sizes, f"{kinds}, n_words long")
     out = counted.join(per, "row", "left")
     none = F.array().cast("array<string>")
     return out.select(
         "doc_id",
+        *keep,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),

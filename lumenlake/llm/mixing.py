@@ -66,7 +66,7 @@ def leaf_budgets(leaves: DataFrame, share: float, max_epochs: int, weights: Mapp
 def mix(
     docs: DataFrame, share: float = 0.6, max_epochs: int = 4, weights: Mapping[str, int] = WEIGHTS, seed: int = 7, domain: str = DOMAIN, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, copies: how often each document is taken, for all documents."""
+    """doc_id, digest (md5 of the text), domain, lang, source, n_tokens, copies: how often each document is taken, for all documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce("lang", F.lit("unknown")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), tokens(text_col).alias("n_tokens"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
     rows = materialize(rows.withColumn("domain", F.expr(domain)).withColumn("salt", salt("doc_id", "digest")), "tokens")
     key = ["domain", "lang", "source"]
@@ -83,4 +83,4 @@ def mix(
     plain = rows.where("border is null or slice <> border").withColumn("more", F.when(F.col("rest") == 0, 0).when(F.col("border").isNull() | (F.col("slice") < F.col("border")), 1).otherwise(0))
     step = Window.partitionBy(*key).orderBy("turn", "digest").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where("slice = border").withColumn("more", F.when((F.col("rest") > 0) & (F.col("done") + F.sum("n_tokens").over(step) <= F.col("rest")), 1).otherwise(0))
-    return plain.unionByName(edge).select("doc_id", *key, "n_tokens", (F.col("epochs") + F.col("more")).alias("copies"))
+    return plain.unionByName(edge).select("doc_id", "digest", *key, "n_tokens", (F.col("epochs") + F.col("more")).alias("copies"))

@@ -26,16 +26,22 @@ from pyspark.sql import functions as F
 
 from lumenlake.graph import components
 from lumenlake.llm.textblocks import LOWER, SPACED, U64, blocks, bounds, mix, ngrams
-from lumenlake.shared import materialize, release
+from lumenlake.shared import arrow_rows, materialize, release
 
 REGISTERS, WIDTH, BASE, RATE = 128, 4, 1.001, 20.0
-CUT = 4.0
+CUT = 6.0
 BLOCK_ROWS = 512
+#: rows with registers or whole sets that Python gets at once
+AT_ONCE = 512
 #: nodes that share buckets with one another, up to so many, are compared as one group; more, bucket by bucket
 CLUSTER_ROWS = 4096
 MULTIPLIERS = mix(np.arange(1, REGISTERS + 1, dtype=U64) * U64(0x9FB21C651E98DF25)) | U64(1)
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return dict(df.dtypes)[column]
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per block: first row, rows, all rows' sorted distinct shingle hashes in turn, and where each row's begin."""
     for b in blocks(column):
@@ -82,7 +88,7 @@ def sketches(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "t
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,7 +100,7 @@ def shingle_sets(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str
                 sets = pa.array([values[starts[i] : starts[i + 1]].tobytes() for i in range(rows)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), sets], ["doc_id", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {_kind(docs, id_col)}, shingles binary")
 
 
 def _log_likelihood(j: np.ndarray, up: np.ndarray, down: np.ndarray, same: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -120,7 +126,7 @@ def plausible(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, thre
     return (top >= threshold - 1e-9) & ((top * grid[best] >= threshold) | (like.max(0) - at <= CUT * CUT / 2))
 
 
-def _confirmed(a: bytes, b: bytes, percent: int) -> bool:
+def _confirmed(a: bytes | pa.Buffer, b: bytes | pa.Buffer, percent: int) -> bool:
     x, y = np.frombuffer(a, U64), np.frombuffer(b, U64)
     both = np.concatenate([x, y])
     both.sort()
@@ -136,7 +142,7 @@ def _likely(pairs: DataFrame, percent: int) -> DataFrame:
                 f = f[plausible(a, b, f["n"].to_numpy(float), f["n2"].to_numpy(float), percent / 100)]
             yield f[["a", "b"]]
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.mapInPandas(run, "a {0}, b {0}".format(_kind(pairs, "a")))
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -144,10 +150,10 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = pa.array([_confirmed(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], pa.bool_())
+            keep = pa.array([_confirmed(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
-    return pairs.select("a", "b", "shingles", "shingles2").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "shingles", "shingles2").mapInArrow(run, "a {0}, b {0}".format(_kind(pairs, "a")))
 
 
 def _across(mixed: DataFrame, percent: int) -> DataFrame:
@@ -155,10 +161,10 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
     cluster's (band -1); one of each component for a node is enough. mixed: band, key, lb, rb, side, node, component,
     n, bands, shingles."""
 
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         band = int(key[0])
         left, right = f[f["side"] == 0], f[f["side"] == 1]
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
         if len(left) and len(right):
             lb, rb = (np.stack(x["bands"].to_numpy()).astype(np.int64) for x in (left, right))
             ln, ls, lc, lid = left["n"].to_numpy(float), left["shingles"].to_numpy(), left["component"].to_numpy(), left["node"].to_numpy()
@@ -167,18 +173,18 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
                 here = equal.any(1) if band < 0 else equal.argmax(1) == band  # else an earlier band compares them
                 at = np.flatnonzero((lc != comp) & here & (lid != node) & (np.minimum(ln, n) * 100 >= np.maximum(ln, n) * percent))
                 at = at[plausible(lb[at].view(np.uint16), np.broadcast_to(rb[i], (len(at), lb.shape[1])).copy().view(np.uint16), ln[at], np.full(len(at), float(n)), percent / 100)] if len(at) else at
-                found: set[int] = set()
+                found = set()
                 for x in at:
                     if lc[x] not in found and _confirmed(ls[x], own, percent):
                         found.add(lc[x])
-                        out.append((int(node), int(lid[x])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                        out.append((node, lid[x]))
+        return pd.DataFrame(out, columns=["a", "b"])
 
-    return mixed.groupBy("band", "key", "lb", "rb").applyInPandas(run, "a long, b long")
+    return mixed.groupBy("band", "key", "lb", "rb").applyInPandas(run, "a {0}, b {0}".format(_kind(mixed, "node")))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable over links of similarity >= percent / 100), kept."""
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
+    """doc_id (of any type with an order), n_shingles, component_id (the least id reachable over links of similarity >= percent / 100), kept."""
     all_docs = materialize(sketches(docs, k, id_col, text_col), "sketches")
     some = all_docs.where("n_shingles > 0 and doc_id is not null")
     # copies with equal sets are one node, named by its least id
@@ -191,29 +197,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     pivots = rows.join(central, "node").groupBy("band", "key").agg(F.max(F.struct("central", F.col("node").alias("pivot"))).alias("x")).select("band", "key", F.col("x.pivot").alias("pivot"))
     pairs = rows.join(pivots, ["band", "key"]).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     one, two = nodes.toDF("a", "n", "bands"), nodes.toDF("b", "n2", "bands2")
-    likely = materialize(_likely(pairs.join(one, "a").join(two, "b").where("least(n, n2) * 100 >= greatest(n, n2) * %d" % percent), percent), "likely")
+    sized = pairs.join(one, "a").join(two, "b").where("least(n, n2) * 100 >= greatest(n, n2) * %d" % percent)
+    likely = materialize(_likely(sized, percent), "likely")
 
     def of(ids: DataFrame) -> DataFrame:
         """Sets of the nodes that take part, from whole texts."""
-        own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         return shingle_sets(own.join(ids.distinct().withColumnRenamed("node", "doc_id"), "doc_id", "left_semi"), k).withColumnRenamed("doc_id", "node").dropDuplicates(["node"])
 
     held = of(likely.select(F.explode(F.array("a", "b")).alias("node")))
-    links = materialize(_confirm(likely.join(held.toDF("a", "shingles"), "a").join(held.toDF("b", "shingles2"), "b"), percent), "links")
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        links = materialize(_confirm(likely.join(held.toDF("a", "shingles"), "a").join(held.toDF("b", "shingles2"), "b"), percent), "links")
     label = components(links, "a", "b")
 
     # nodes of a bucket that are still in different components
-    label = materialize(label.withColumnRenamed("component", "c"), "labels")
-    rows = rows.join(label, "node", "left").withColumn("c", F.coalesce("c", "node"))
+    rows = rows.join(label.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
     per = rows.groupBy("band", "key").agg(F.count("*").alias("members"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "key")
-    rows = materialize(rows.join(per, ["band", "key"]).select("band", "key", "node", "n", "c"), "mixed")
+    rows = mixed = materialize(rows.join(per, ["band", "key"]).select("band", "key", "node", "n", "c"), "mixed")
     release(buckets, likely)
     first = rows.groupBy("band", "key").agg(F.min("node").alias("least"))
-    cluster = materialize(components(rows.join(first, ["band", "key"]).select("node", "least"), "node", "least").withColumnRenamed("component", "cluster"), "clusters")
-    small = cluster.groupBy("cluster").count().where(F.col("count") <= CLUSTER_ROWS).select("cluster")
-    whole = cluster.join(small, "cluster").join(rows.select("node", "n", "c").distinct(), "node").select(F.lit(-1).alias("band"), F.col("cluster").alias("key"), "node", "n", "c")
+    found = components(rows.join(first, ["band", "key"]).select("node", "least"), "node", "least")
+    cluster = found.withColumnRenamed("component", "cluster")
+    small = cluster.groupBy("cluster").count().where(F.col("count") <= cluster_rows).select("cluster")
+    whole = cluster.join(small, "cluster").join(rows.select("node", "n", "c").distinct(), "node").select(F.lit(-1).alias("band"), F.xxhash64("cluster").alias("key"), "node", "n", "c")
     large = rows.join(cluster.join(small, "cluster", "left_anti"), "node").select("band", "key", "node", "n", "c")
-    rows = materialize(whole.unionByName(large), "groups")
+    rows = groups = materialize(whole.unionByName(large), "groups")
     by_c = rows.groupBy("band", "key", "c").agg(F.count("*").alias("m"))
     main = by_c.groupBy("band", "key").agg(F.max(F.struct("m", "c")).alias("x"), F.sum("m").alias("members")).select("band", "key", F.col("x.c").alias("main"), "members", (F.col("members") - F.col("x.m")).alias("others"))
     rows = rows.join(main, ["band", "key"])
@@ -221,11 +229,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     spread = rows.withColumn("nl", blocks_of("members")).withColumn("nr", blocks_of("others")).withColumn("h", F.xxhash64("node"))
     left = spread.withColumn("lb", F.pmod("h", "nl")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("nr") - 1))).withColumn("side", F.lit(0))
     right = spread.where("c <> main").withColumn("rb", F.pmod("h", "nr")).withColumn("lb", F.explode(F.sequence(F.lit(0), F.col("nl") - 1))).withColumn("side", F.lit(1))
-    take = ["band", "key", "lb", "rb", "side", "node", "c", "n"]
-    both = left.select([F.col(x).cast("long") for x in take]).unionByName(right.select([F.col(x).cast("long") for x in take])).withColumnRenamed("c", "component")
+    take = [*[F.col(x).cast("long").alias(x) for x in ("band", "key", "lb", "rb", "side", "n")], "node", F.col("c").alias("component")]
+    both = left.select(*take).unionByName(right.select(*take))
     held = of(rows.select("node"))
-    more = _across(both.join(nodes.select("node", "bands"), "node").join(held, "node"), percent)
-    final = components(links.unionByName(more), "a", "b").withColumnRenamed("component", "c")
-    named = sets.select("fp1", "fp2", F.col("n").alias("n_shingles"), "node").join(final, "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("c", "node").alias("component_id"))
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        more = materialize(_across(both.join(nodes.select("node", "bands"), "node").join(held, "node"), percent), "more-links")
+    final = components(links.unionByName(more), "a", "b")
+    named = sets.select("fp1", "fp2", F.col("n").alias("n_shingles"), "node").join(final.withColumnRenamed("component", "c"), "node", "left").select("fp1", "fp2", "n_shingles", F.coalesce("c", "node").alias("component_id"))
     out = all_docs.drop("bands").join(named, ["fp1", "fp2", "n_shingles"], "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialize(out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")), "groups-of-copies")
+    release(all_docs, sets, links, label, groups, found, mixed, more, final)
+    return out

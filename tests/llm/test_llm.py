@@ -35,7 +35,7 @@ def rows():
             for _ in range(rnd.randrange(1, 4)):
                 c[rnd.randrange(len(c))] = "zz"
             texts.append(" ".join(c))
-    texts += [base[0], base[0].upper(), "", None, "one two", "One TWO", " \n\t ", "é ü ß ñ" * 40, make(rnd, 6000), "x"]
+    texts += [base[0], base[0].upper(), "", None, "one two", "One TWO", " \n\t ", "é ü ß ñ" * 40, make(rnd, 6000), "x", "a | b # c $5 <b> 100% & *", "line one\nline one\nline two"]
     return [(i, t, None if i % 9 == 0 else "en", None if i % 7 == 0 else f"src{i % 4}", 1, "clash", 5, 1) for i, t in enumerate(texts)]
 
 
@@ -57,7 +57,8 @@ def spaced(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
 
-def test_near_duplicates(docs, rows, empty):
+@pytest.mark.parametrize("cluster_rows", [4096, 2])
+def test_near_duplicates(docs, rows, empty, cluster_rows):
     sets = {}
     for i, t, *_ in rows:
         w = spaced(lower(t))
@@ -73,7 +74,7 @@ def test_near_duplicates(docs, rows, empty):
         for b in sets:
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {r.doc_id: r for r in near_duplicates(docs, 4).collect()}
+    got = {r.doc_id: r for r in near_duplicates(docs, 4, cluster_rows=cluster_rows).collect()}
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
     assert near_duplicates(empty, 4).count() == 0
 
@@ -113,7 +114,7 @@ def test_quality_measures(docs, rows, empty):
         hit = {j for k, x in enumerate(g) if n[x] > 1 for j in range(k, k + 5)}
         lines = Counter(x for x in (t or "").split("\n") if spaced(x))
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(v - 1 for v in lines.values()), len(hit))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), sum(v - 1 for v in lines.values()), len(hit))
         assert r.base_failed == (len(w) < 10 or 100 * len(hit) > 20 * len(w)) and not (r.base_failed and r.kept)
     assert quality.judge(empty).count() == 0
 
@@ -132,23 +133,28 @@ def test_quality_rejects_lists_and_marked_words(spark):
     assert sum(got[i].kept for i in range(300)) >= 298 and not any(got[i].kept for i in range(300, 316))
 
 
-def test_quality_vocabulary(docs, rows):
+def test_kneser_ney_against_plain_python(docs, rows):
     import numpy as np
+    from plain import word_model
 
-    count = Counter(w for _, t, *_ in rows for w in set(spaced(t)))
-    assert len(count) < quality.WORDS - 1 and len(quality.vocabulary(docs)) == len(count)
-    names = docs.sparkSession.sparkContext.broadcast(quality.vocabulary(docs))
-    pairs = quality.word_counts(docs, names).collect()
-    assert sum(r.n for r in pairs) == sum(len(spaced(t)) for _, t, *_ in rows)
-    table = quality.full_table(quality.kneser_ney(quality.word_counts(docs, names), quality.WORD_ORDER, quality.WORD_BITS), quality.WORD_ORDER, quality.WORD_BITS)
-    assert np.allclose((10.0 ** table.reshape(-1, quality.WORDS)).sum(1), 1, atol=2e-3)
+    from pyspark.sql import functions as F
 
+    from lumenlake.llm.textblocks import blocks
+    import pyarrow as pa
 
-def test_kneser_ney_sums_to_one(docs):
-    import numpy as np
-
-    table = quality.full_table(quality.kneser_ney(quality.ngram_counts(docs)))
-    assert np.allclose((10.0 ** table.reshape(-1, quality.SYMBOLS)).sum(1), 1, atol=2e-3)
+    langs = sorted({r[2] or "" for r in rows})
+    hashed = {r.l: r.h for r in docs.sparkSession.createDataFrame([(x,) for x in langs], "l string").withColumn("h", F.xxhash64("l")).collect()}
+    keyed = docs.select(F.xxhash64(F.coalesce("lang", F.lit(""))).alias("lang_key"), "text")
+    for size in (511, 12):  # all words known, and few
+        known, model = quality.train(keyed, size)
+        of = word_model([(r[1], r[2]) for r in rows], size)
+        for _, t, lang, *_ in rows:
+            b = next(blocks(pa.array([t or ""])))
+            key = np.array([hashed[lang or ""]])
+            before, own, row = quality._classes(b, key, known)
+            got = quality.log_probabilities(model, key[row], before, own)
+            assert np.allclose(got, of(t, lang), atol=1e-4), (size, t)
+        assert len(model["pair"][0]) <= len(langs) * (size + 1) ** 2
 
 
 def test_secrets():
@@ -340,11 +346,3 @@ def test_boundary_chain_over_small_segments(spark):
     df = spark.createDataFrame([(i, "u", f"page {i} WARC/1.1\r\n" * (i + 1), "c") for i in range(20)], PAGES)
     warc.write_archives(df, path)
     assert sorted(int(r.page_id) if "page_id" in r.asDict() else int(r.page) for r in warc.read_archives(spark, path, segment=700).collect()) == list(range(20))
-
-
-def test_pipeline_stages(spark, docs):
-    import corpus_pipeline as p
-
-    assert [n for n, _ in p.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "mixing"]
-    kept = p.near_dedup(spark, docs, "")
-    assert kept.columns == p.COLUMNS and kept.count() < docs.count()
