@@ -72,6 +72,18 @@ def regroup_library(members: DataFrame, images: DataFrame, new: DataFrame, libra
     return rest.unionByName(new.crossJoin(F.broadcast(last)).select((F.col("burst_id") + F.col("last")).alias("burst_id"), "image_id", "is_best"))  # last is one row
 
 
+def regroup(images: DataFrame, metrics: DataFrame, verdicts: DataFrame, members: DataFrame, library_id: int, config: BurstConfig = BurstConfig()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, bursts, verdicts) after one library is grouped anew: its old memberships go, pairs make new groups, keepers
+    that are not their group's best are demoted, and bursts (burst_id) without members are swept."""
+    from lumenlake.shared import materialize
+
+    own = images.where(F.col("library_id") == library_id)
+    new = materialize(group_bursts(own, metrics, config), "new-groups")
+    after = materialize(regroup_library(members, images, new, library_id), "members")
+    bursts = orphan_bursts(members.select("burst_id").union(after.select("burst_id")).distinct(), after)
+    return after, bursts, demote(verdicts, after.join(own.select(F.col("id").alias("image_id")), "image_id", "left_semi"))
+
+
 def apply_best_picks(members: DataFrame, picks: DataFrame) -> DataFrame:
     """picks: burst_id, image_id. The best moves to a picked member; picks of others are ignored."""
     valid = picks.join(members, ["burst_id", "image_id"], "left_semi").groupBy("burst_id").agg(F.max("image_id").alias("pick"))

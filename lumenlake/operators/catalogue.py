@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions.detections import merge_animals
 from lumenlake.functions.tokens import aperture_bucket, iso_bucket, orientation
 from lumenlake.functions.values import hsl, hue_distance
 
@@ -177,6 +178,39 @@ def cluster_cards(faces: DataFrame, labels: DataFrame, min_size: int = 2, most:
     return out.select("cluster_id", F.coalesce("label", F.concat(F.lit("Cluster "), F.col("cluster_id").cast("string"))).alias("label"), "images", "best_face", F.transform("top", lambda x: x["image_id"]).alias("shown"))
 
 
+def image_details(ids: DataFrame, images: DataFrame, verdicts: DataFrame, metrics: DataFrame, members: DataFrame) -> DataFrame:
+    """Everything about the listed images (ids: id), one row each: image, verdict, metrics, burst; animals that the object
+    detector saw are among the animals, where metrics have both arrays."""
+    if {"animals", "objects"} <= set(metrics.columns):
+        metrics = metrics.withColumn("animals", merge_animals("animals", "objects"))
+    out = images.join(ids.select("id").distinct(), "id", "left_semi")
+    for other in (verdicts, metrics, members):
+        out = out.join(other.withColumnRenamed("image_id", "id"), "id", "left")
+    return out
+
+
+def cached_verdicts(paths: DataFrame, images: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """path, image_id, verdict, stars, label of the listed paths (path) that have a verdict, in order of path; none without paths."""
+    found = images.join(paths.select("path").distinct(), "path", "left_semi").select("path", F.col("id").alias("image_id"))
+    return found.join(verdicts.select("image_id", "verdict", "stars", "label"), "image_id").select("path", "image_id", "verdict", "stars", "label").orderBy("path")
+
+
+def list_errors(errors: DataFrame, library_id: int | None = None, time_col: str = "at") -> DataFrame:
+    """A library's ingest errors, newest first, then by path."""
+    return scope(errors, library_id=library_id).orderBy(F.desc(time_col), "path")
+
+
+def clear_errors(errors: DataFrame, libraries: DataFrame) -> DataFrame:
+    """Errors but for those of libraries (id) that are analysed again."""
+    return errors.join(libraries.select(F.col("id").alias("library_id")), "library_id", "left_anti").select(*errors.columns)
+
+
+def bursts_with_members(members: DataFrame, least: int = 2) -> DataFrame:
+    """burst_id, n, members (structs in order of image_id) of bursts of least images or more."""
+    out = members.groupBy("burst_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("image_id", "is_best"))).alias("members"))  # a burst: pictures of one moment
+    return out.where(F.col("n") >= least)
+
+
 def stage_times(metrics: DataFrame, columns: list[str]) -> DataFrame:
     total = sum(F.sum(c) for c in columns)
     return metrics.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in columns], (F.count("*") / total).alias("images_per_second"))

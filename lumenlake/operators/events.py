@@ -27,8 +27,11 @@ def event_labels(events: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def split_by_key(rows: DataFrame, key: str, gap: int = 6 * 3600, time_col: str = "capture_s", id_col: str = "id") -> DataFrame:
-    """key, id, event_no from 0 within each key."""
-    order = Window.partitionBy(key).orderBy(time_col, id_col)
-    new = F.coalesce((F.col(time_col) - F.lag(time_col).over(order) > gap).cast("long"), F.lit(0).cast("long"))
-    timed = rows.where(F.col(time_col).isNotNull()).withColumn("new", new)
-    return timed.select(key, id_col, F.sum("new").over(order).alias("event_no"))
+    """key, id, event_no from 0 within each key; a null key is a key. As split_events, only a row a gap and key is put in order."""
+    timed = rows.where(F.col(time_col).isNotNull()).select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.floor(F.col(time_col) / gap).alias("_bucket"), F.col(time_col).alias("_t"))
+    buckets = timed.groupBy("_key", "_bucket").agg(F.min("_t").alias("low"), F.max("_t").alias("high"))
+    order = Window.partitionBy("_key").orderBy("_bucket")
+    new = F.coalesce((F.col("low") - F.lag("high").over(order) > gap).cast("long"), F.lit(0).cast("long"))
+    named = buckets.withColumn("new", new).withColumn("event_no", F.sum("new").over(order)).select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), "event_no")
+    joined = timed.join(named, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")))
+    return joined.select(F.col("_key").alias(key), F.col("_id").alias(id_col), "event_no")

@@ -18,25 +18,50 @@ def _masks(width: int, flips: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(width), n)]
 
 
-def _halves(c: str) -> Column:
-    h = F.lpad(F.col(c), 16, "0")
-    return F.array(*[F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("int") for i in range(4)])
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, hash_col: str = "phash") -> DataFrame:
-    """Distinct scope columns (null-safe), a < b: pairs of different hashes within bits of one another.
+def _close(values: DataFrame, width: int, radius: int, scope: list[str]) -> DataFrame:
+    """scope, a, b: pairs of the distinct values v (both orders, and each with itself) that differ in radius bits at most.
 
-    Multi-index hashing over four bands of 16 bits: in some band two hashes within bits differ by bits // 4 at most.
+    One half of the bits differs in radius // 2 at most, so halves are paired first, and values met through them; halves of
+    16 bits, of which there are 65,536 however many the rows, are paired by flipping bits. A pair that both halves find is
+    taken from the upper one.
     """
+    if width == 16:
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(16, radius)])
+        probes = values.select(*scope, F.col("v").alias("a"), F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("b"))
+        return probes.join(values.select(*scope, F.col("v").alias("b")), [*scope, "b"]).select(*scope, "a", "b")
+    half = width // 2
+    split = values.select(*scope, "v", F.shiftright("v", half).alias("hi"), F.col("v").bitwiseAND((1 << half) - 1).alias("lo"))
+    out = None
+    for part in ("hi", "lo"):
+        near = _close(split.select(*scope, F.col(part).alias("v")).distinct(), half, radius // 2, scope).withColumnsRenamed({"a": "p", "b": "q"})
+        left = split.select(*scope, F.col("v").alias("a"), F.col("hi").alias("hi_a"), F.col(part).alias("p")).join(near, [*scope, "p"])
+        met = left.join(split.select(*scope, F.col("v").alias("b"), F.col("hi").alias("hi_b"), F.col(part).alias("q")), [*scope, "q"])
+        met = met.where(_apart("a", "b") <= radius)
+        met = (met if part == "hi" else met.where(_apart("hi_a", "hi_b") > radius // 2)).select(*scope, "a", "b")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, hash_col: str = "phash") -> DataFrame:
+    """Distinct scope columns (null-safe), a < b: pairs of different hashes within bits of one another."""
     if not 0 <= bits <= 11:
         raise ValueError("bits must be 0 to 11; wider radii need more, narrower bands")
     scope = scope or []
     one = df.where(F.col(hash_col).isNotNull()).select(*[F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(s) for s in scope], F.lpad(F.lower(hash_col), 16, "0").alias("h")).distinct()
-    bands = one.select("*", F.posexplode(_halves("h")).alias("band", "value"))
-    masks = F.array(*[F.lit(m) for m in _masks(16, bits // 4)])
-    probes = bands.select(*scope, F.col("h").alias("a"), "band", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-    found = probes.join(bands.select(*scope, F.col("h").alias("b"), "band", "value"), [*scope, "band", "value"]).where("a < b")
-    return found.where(hamming("a", "b") <= bits).select(*scope, "a", "b").distinct()
+    whole = one.select(*scope, "h", *[F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(c) for c, at in (("hi", 1), ("lo", 9))])
+    out = None
+    for part in ("hi", "lo"):
+        near = _close(whole.select(*scope, F.col(part).alias("v")).distinct(), 32, bits // 2, scope).withColumnsRenamed({"a": "p", "b": "q"})
+        side = lambda n, key, c: whole.select(*scope, F.col("h").alias(n), F.col("hi").alias(f"hi_{n}"), F.col("lo").alias(f"lo_{n}"), F.col(c).alias(key))
+        met = side("a", "p", part).join(near, [*scope, "p"]).join(side("b", "q", part), [*scope, "q"]).where("a < b")
+        met = met.where(_apart("hi_a", "hi_b") + _apart("lo_a", "lo_b") <= bits)
+        met = (met if part == "hi" else met.where(_apart("hi_a", "hi_b") > bits // 2)).select(*scope, "a", "b")
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def duplicate_links(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
@@ -48,12 +73,18 @@ def duplicate_links(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col:
     return stars.where("src <> dst").unionByName(near)
 
 
+def hash_classes(df: DataFrame, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
+    """id, head (the least id with the same hash), copies: the classes whose heads pair_list pairs."""
+    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.lpad(F.lower(hash_col), 16, "0").alias("h"))
+    return rows.join(rows.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "h").select("id", "head", "copies")
+
+
 def pair_list(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
-    """a < b: every pair of rows within bits. The output itself grows with the square of a group of copies."""
+    """a < b, bits: heads of different hash classes within bits of one another; hash_classes names each head's copies."""
     rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.lpad(F.lower(hash_col), 16, "0").alias("h"))
-    near = hash_pairs(df, bits, hash_col=hash_col).join(rows.toDF("x", "a"), "a").join(rows.toDF("y", "b"), "b").select("x", "y")
-    same = rows.toDF("x", "h").join(rows.toDF("y", "h"), "h").where("x < y").select("x", "y")
-    return near.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    head = rows.groupBy("h").agg(F.min("id").alias("head"))
+    near = hash_pairs(df, bits, hash_col=hash_col).withColumn("bits", hamming("a", "b")).join(head.toDF("a", "x"), "a").join(head.toDF("b", "y"), "b")
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bits")
 
 
 def burst_pairs(df: DataFrame, seconds: int = 3, bits: int = 10) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.tokens import token
 from lumenlake.operators.bursts import numbered
+from lumenlake.shared import materialize
 
 
 def pending(files: DataFrame, images: DataFrame, force: bool = False) -> DataFrame:
@@ -55,16 +56,36 @@ def live_pairs(files: DataFrame) -> DataFrame:
     return parts.where(order == 0).join(video, ["dir", "stem"]).select("path", "video")
 
 
-def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id", cell: float = 10.0, rings: int = 36) -> DataFrame:
-    """id, country, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least name on ties.
+#: widths of the cells, on a sphere of radius 1, that are searched in turn; the last one's neighbours hold every place
+CELLS = (0.01, 0.04, 0.16, 0.64, 2.56)
 
-    places (country, city, lat, lon) is a gazetteer. Distinct whole coordinates are looked up once.
+
+def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id") -> DataFrame:
+    """id, country, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least names on ties; null
+    without coordinates or places.
+
+    places (country, city, lat, lon) is a gazetteer. Distinct coordinates are looked up once, in the 27 cells about them: a
+    place no farther than a cell's width is surely among those, and coordinates without one go on to wider cells.
     """
-    spots = df.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct()
     rad = F.radians
+
+    def point(df: DataFrame, lat: str, lon: str) -> DataFrame:
+        return df.withColumns({"_x": F.cos(rad(lat)) * F.cos(rad(lon)), "_y": F.cos(rad(lat)) * F.sin(rad(lon)), "_z": F.sin(rad(lat))})
+
+    cell = lambda width, by=(0, 0, 0): [(F.floor(F.col(c) / width) + d).alias(f"_c{c}") for c, d in zip(("_x", "_y", "_z"), by, strict=True)]
     far = F.pow(F.sin((rad("lat") - rad("gps_lat")) / 2), F.lit(2)) + F.cos(rad("gps_lat")) * F.cos(rad("lat")) * F.pow(F.sin((rad("lon") - rad("gps_lon")) / 2), F.lit(2))
-    # bands of latitude around each spot, nearest first, would prune more; a gazetteer is met band by band of all latitudes
-    best = spots.join(F.broadcast(places) if places.limit(100_001).count() <= 100_000 else places, F.lit(True)).groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), "country", "city")).alias("b"))
+    known = point(places.where("lat is not null and lon is not null").select("country", "city", "lat", "lon"), "lat", "lon")
+    left = point(df.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct(), "gps_lat", "gps_lon")
+    about = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    best = None
+    for width in CELLS:
+        spots = left.withColumn("_c", F.explode(F.array(*[F.struct(*cell(width, d)) for d in about]))).select("gps_lat", "gps_lon", "_c.*")
+        met = spots.join(known.select("country", "city", "lat", "lon", *cell(width)), ["_c_x", "_c_y", "_c_z"])
+        met = met.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), "country", "city")).alias("b"))
+        # the chord is twice the root of far
+        sure = materialize(met if width == CELLS[-1] else met.where(4 * F.col("b.d") <= 0.98 * width * width), "places")
+        best = sure if best is None else best.unionByName(sure)
+        left = left.join(sure, ["gps_lat", "gps_lon"], "left_anti")
     return df.select(id_col, "gps_lat", "gps_lon").join(best, ["gps_lat", "gps_lon"], "left").select(id_col, F.col("b.country").alias("country"), F.col("b.city").alias("city"))
 
 

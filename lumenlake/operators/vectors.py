@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,10 @@ from pyspark.sql import functions as F
 from lumenlake.functions.values import cosine
 from lumenlake.graph import components
 from lumenlake.operators.bursts import numbered
+from lumenlake.shared import materialize, release
 
-BLOCK = 2000
+#: rows of a block, and of it that are multiplied at once
+BLOCK, TILE = 20_000, 1000
 
 
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id") -> DataFrame:
@@ -22,52 +25,65 @@ def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id"
     return vectors.select(id_col, F.round(cosine("embedding", q), 4).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """queries: query_id, embedding. query_id, id, score, rank: every query against all rows, in blocks of queries; each
-    batch of rows keeps its k best before the shuffle."""
-    blocks = queries.select("query_id", "embedding").withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(1 + queries.count() // BLOCK))).groupBy("b").agg(F.collect_list("query_id").alias("qid"), F.collect_list("embedding").alias("qv"))
-    out = None
-    for row in blocks.toLocalIterator():
-        ids, m = np.array(row["qid"]), np.array(row["qv"], np.float64)
-        m = vectors.sparkSession.sparkContext.broadcast((ids, m / np.linalg.norm(m, axis=1, keepdims=True)))  # about BLOCK rows
-
-        def run(frames, sent=m):
-            ids, mat = sent.value
-            for f in frames:
-                v = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-                s = mat @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
-                n = min(k, s.shape[1])
-                at = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                yield pd.DataFrame({"query_id": np.repeat(ids, n), "id": f["id"].to_numpy()[at.ravel()], "score": np.take_along_axis(s, at, 1).ravel()})
-
-        got = vectors.select("id", "embedding").mapInPandas(run, "query_id long, id long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, id long, score double, rank int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
-def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", blocks: int | None = None) -> DataFrame:
-    """src < dst, with a cosine of the threshold or more: rows are dealt to blocks, and pairs of blocks are multiplied.
-    Exact; the work is that of all pairs, as the threshold is too low for a filter."""
-    rows = vectors.where("embedding is not null").select(F.col(id_col).alias("id"), "embedding")
-    blocks = blocks or 1 + rows.count() // BLOCK
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumn("lo", F.least("b", "o")).withColumn("hi", F.greatest("b", "o"))
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(f["embedding"].to_numpy()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        own, ids = f["b"].to_numpy(), f["id"].to_numpy()
-        left, right = np.flatnonzero(own == key[0]), np.flatnonzero(own == key[1])
-        i, j = np.nonzero(m[left] @ m[right].T >= threshold)
-        a, b = ids[left[i]], ids[right[j]]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        keep = a < b
-        return pd.DataFrame({"src": a[keep], "dst": b[keep]}).drop_duplicates()
-
-    return dealt.groupBy("lo", "hi").applyInPandas(run, "src long, dst long")
+def _unit(rows: pd.Series) -> np.ndarray:
+    m = np.stack(rows.to_numpy()).astype(np.float64)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+
+
+def _products(left: DataFrame, right: DataFrame, found: Callable, schema: str, block: int, once: bool = False) -> DataFrame:
+    """found(left ids, right ids, cosines) of every pair of blocks of two tables of id, embedding; once: the tables are the
+    same, and each pair of blocks is met once. Both sides are dealt to blocks of about block rows; a row goes to as many
+    tasks as the other side has blocks, and cosines are made TILE rows at a time."""
+    count = lambda df: 1 + df.count() // block
+    n = count(left)
+    m = n if once else count(right)
+    dealt = lambda df, c, of: df.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(c))
+    rows = dealt(left, "i", n).withColumn("j", F.explode(F.sequence(F.col("i") if once else F.lit(0), F.lit(m - 1))))
+    columns = dealt(right, "j", m).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if once else F.lit(n - 1))))
+    columns = columns.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("id").alias("other"), F.col("embedding").alias("vector"))
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(x) and len(y):
+            b, own = _unit(y["vector"]), y["other"].to_numpy()
+            for at in range(0, len(x), TILE):
+                part = x.iloc[at : at + TILE]
+                parts.append(found(part["id"].to_numpy(), own, _unit(part["embedding"]) @ b.T))
+        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+
+    return rows.groupBy("i", "j").cogroup(columns.groupBy("i2", "j2")).applyInPandas(run, schema)
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """queries: query_id, embedding. query_id, id, score, rank: every query against all rows, block by block of both; each
+    pair of blocks keeps its k best for a query before the shuffle. Ties (nine digits) by id."""
+
+    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        s, n = np.round(s, 9), min(k, s.shape[1])
+        least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
+        i, j = np.nonzero(s >= least[:, None])
+        order = np.lexsort((own[j], -s[i, j], i))
+        i, j = i[order], j[order]
+        first = np.searchsorted(i, np.arange(len(ids)))
+        best = np.arange(len(i)) - first[i] < n
+        return pd.DataFrame({"query_id": ids[i[best]], "id": own[j[best]], "score": s[i[best], j[best]]})
+
+    got = _products(queries.select(F.col("query_id").alias("id"), "embedding"), vectors.select("id", "embedding"), found, "query_id long, id long, score double", block)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return got.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", block: int = BLOCK) -> DataFrame:
+    """src < dst, with a cosine of the threshold or more: exact, by products of blocks. The work is that of all pairs, since a
+    low threshold leaves no filter that loses nothing; rows shuffled are rows**2 / block."""
+    rows = vectors.select(F.col(id_col).alias("id"), "embedding")
+
+    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(s >= threshold)
+        a, b = ids[i], own[j]
+        return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)})[a != b].drop_duplicates()
+
+    return _products(rows, rows, found, "src long, dst long", block, once=True)
 
 
 def cluster(faces: DataFrame, threshold: float) -> DataFrame:
@@ -90,25 +106,33 @@ def centroids(faces: DataFrame) -> DataFrame:
     return mean.withColumn("n", norm).select("cluster_id", F.transform("m", lambda x: F.when(F.col("n") > 1e-8, x / F.col("n")).otherwise(x)).alias("centroid"))
 
 
-def reanchor_labels(labels: DataFrame, old: DataFrame, new: DataFrame, threshold: float, rounds: int = 50) -> DataFrame:
+def reanchor_labels(labels: DataFrame, old: DataFrame, new: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """cluster_id (new), label: each labelled old cluster, in order of its id, takes the nearest free new one within the
-    threshold. Rounds of proposals, the lowest id winning, come to the same as one after another."""
-    want = old.join(labels, "cluster_id").select(F.col("cluster_id").alias("old"), "label", F.col("centroid").alias("c"))
-    sims = want.join(new.select(F.col("cluster_id").alias("new"), F.col("centroid").alias("d")), F.lit(True)).withColumn("s", F.round(cosine("c", "d"), 9)).where(F.col("s") >= threshold).select("old", "label", "new", "s")
-    from lumenlake.shared import materialize
-
-    left, done = materialize(sims, "similar"), None
-    for _ in range(rounds):
-        best = left.groupBy("old", "label").agg(F.max(F.struct("s", (-F.col("new")).alias("m"))).alias("x")).select("old", "label", (-F.col("x.m")).alias("new"))
+    threshold (nine digits; the least id on ties). Rounds of proposals, the lowest id winning, come to the same as one after
+    another; each round settles the lowest id that is left, so they end."""
+    want = old.join(labels, "cluster_id").select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("embedding"))
+
+    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        s = np.round(s, 9)
+        i, j = np.nonzero(s >= threshold)
+        return pd.DataFrame({"old": ids[i], "new": own[j], "s": s[i, j]})
+
+    sims = _products(want, new.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("embedding")), found, "old long, new long, s double", block)
+    left, done = materialize(sims, "similar"), []
+    while not left.isEmpty():
+        best = left.groupBy("old").agg(F.max(F.struct("s", (-F.col("new")).alias("m"))).alias("x")).select("old", (-F.col("x.m")).alias("new"))
         won = materialize(best.join(best.groupBy("new").agg(F.min("old").alias("old")), ["new", "old"]), "won")
         # a winner is final once nobody with a lower id can still come to its cluster
         lower = left.join(won.select("new", F.col("old").alias("winner")), "new").where("old < winner").select("new").distinct()
-        fixed = materialize(won.join(lower, "new", "left_anti"), "fixed")
-        done = fixed if done is None else materialize(done.unionByName(fixed), "done")
-        left = materialize(left.join(fixed.select("old"), "old", "left_anti").join(fixed.select("new"), "new", "left_anti"), "left")
-        if left.isEmpty():
-            break
-    return done.select(F.col("new").alias("cluster_id"), "label")
+        done.append(materialize(won.join(lower, "new", "left_anti"), "fixed"))
+        before, left = left, materialize(left.join(done[-1].select("old"), "old", "left_anti").join(done[-1].select("new"), "new", "left_anti"), "left")
+        release(before, won)
+        if len(done) > 20:
+            done = [materialize(reduce(DataFrame.unionByName, done), "done")]
+    if not done:
+        return labels.select("cluster_id", "label").where("false")
+    settled = reduce(DataFrame.unionByName, done)
+    return settled.join(labels.select(F.col("cluster_id").alias("old"), "label"), "old").select(F.col("new").alias("cluster_id"), "label")
 
 
 def assign_new(faces: DataFrame, threshold: float) -> DataFrame:

@@ -223,7 +223,15 @@ def _(i, m):
     return bursts.group_bursts(i, m)
 
 
-@_add("grp_3_hash_pairs", "images_fx", _EDGES + " SELECT x AS a, y AS b FROM e WHERE x < y")
+_HEADS = "SELECT min(id) AS id, count(*) AS copies, phash FROM images_fx WHERE phash IS NOT NULL GROUP BY phash"
+
+
+@_add("grp_3_hash_classes", "images_fx", f", c AS ({_HEADS}) SELECT i.id, c.id AS head, copies FROM images_fx i JOIN c ON c.phash = i.phash")
+def _(i):
+    return pairs.hash_classes(i)
+
+
+@_add("grp_3_hash_pairs", "images_fx", f", hx AS (SELECT id, ('0x'||substr(phash,1,8))::bigint AS hi, ('0x'||substr(phash,9,8))::bigint AS lo FROM ({_HEADS})), p AS (SELECT a.id AS a, b.id AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS bits FROM hx a JOIN hx b ON a.id < b.id) SELECT * FROM p WHERE bits <= 10")
 def _(i):
     return pairs.pair_list(i)
 

@@ -74,10 +74,13 @@ FACES = {
     "quality": "CASE WHEN vec_id % 19 = 0 THEN NULL ELSE CAST(vec_id * 37 % 101 AS DOUBLE) / 100e0 END",
 }
 
+PROPS = {"id": "event_id", "props": "props"}
+PLACES = {"country": "concat('country ', CAST(c_nationkey AS {S}))", "city": "concat('city ', CAST(c_custkey AS {S}))", "lat": "CAST(c_custkey * 37 % 170 - 85 AS DOUBLE)", "lon": "CAST(c_custkey * 101 % 360 - 180 AS DOUBLE)"}
+
 SPARK = {"S": "STRING", "div": "div", "sec": "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"}
 DUCKDB = {"S": "VARCHAR", "div": "//", "sec": "(epoch_us(ts) // 1000000)"}
 #: view -> (table, columns)
-VIEWS = {"images_fx": ("events", IMAGES), "metrics_fx": ("events", METRICS), "faces_fx": ("embeddings", FACES)}
+VIEWS = {"images_fx": ("events", IMAGES), "metrics_fx": ("events", METRICS), "faces_fx": ("embeddings", FACES), "props_fx": ("events", PROPS), "places_fx": ("customer", PLACES)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

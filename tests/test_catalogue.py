@@ -54,7 +54,9 @@ def test_pairs_and_bursts_against_brute_force(spark):
         rows.append((i, rnd.choice([None, 1, 2]), rnd.choice([None, *range(100, 140)]), f"{h:016x}"))
     df = spark.createDataFrame(rows, "id long, library_id int, capture_s long, phash string")
     near = lambda a, b: bin(int(a[3], 16) ^ int(b[3], 16)).count("1") <= 10
-    assert {tuple(r) for r in pairs.pair_list(df).collect()} == brute_pairs(rows, near)
+    heads = {r[3]: r for r in sorted(rows, reverse=True)}
+    assert {(r.a, r.b) for r in pairs.pair_list(df).collect()} == brute_pairs(list(heads.values()), near)
+    assert {(r.id, r.head) for r in pairs.hash_classes(df).collect()} == {(r[0], heads[r[3]][0]) for r in rows}
 
     def close(a, b):
         return a[1] == b[1] and near(a, b) and (a[2] is None and b[2] is None or None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 3)
@@ -116,8 +118,8 @@ def test_faces(spark):
     rows = [(c * 8 + i, [x + rnd.gauss(0, 0.02) for x in centres[c]], None) for c in range(3) for i in range(8)]
     df = spark.createDataFrame(rows, "id long, embedding array<float>, cluster_id int")
     assert vectors.preview(df, 0.8).first() == (24, 3)
-    assert {r.src // 8 == r.dst // 8 for r in vectors.cosine_pairs(df, 0.8, blocks=3).collect()} == {True}
-    assert vectors.cosine_pairs(df, 0.8, blocks=3).count() == 3 * 28
+    assert {r.src // 8 == r.dst // 8 for r in vectors.cosine_pairs(df, 0.8, block=10).collect()} == {True}
+    assert vectors.cosine_pairs(df, 0.8, block=10).count() == 3 * 28
 
 
 def test_duplicate_groups_short_hashes(spark):

@@ -19,7 +19,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("events", "embeddings"):
+    for t in ("events", "embeddings", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries()[name](spark, SF)
     got = sorted(repr([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
