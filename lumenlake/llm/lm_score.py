@@ -1,17 +1,19 @@
-"""Log probabilities of texts by a lattice over subwords, and smoothed word counts as a base.
+"""Log probabilities of texts: the marginal likelihood of a subword lattice, and smoothed word counts as a base.
 
-Training words are counted by Spark over all training documents. A word's probability is the sum over all of its
-segmentations: one arc spans a whole known word, with its count less DISCOUNT, and the mass so set aside goes to paths of
-pieces of an existing vocabulary. Pieces weigh by the vocabulary's scores, and log-space forward recursion sums all paths.
-Scores of a merge-ranked vocabulary are read as Zipf weights, 1 / (rank + ZIPF); some passes of expectation and maximisation
-over the training words then fit the weights, not the pieces. Single bytes are pieces too, so that every text has a
-probability.
+A text's probability is that of its words and an end; a word's is the sum over all of its segmentations into pieces of an
+existing vocabulary, by log-space forward recursion. Words part at white space, where a piece may not cross, so that the
+text's lattice is the chain of its words' lattices and the recursion runs once for each distinct word. Pieces weigh by the
+vocabulary's scores; those of a merge-ranked vocabulary are read as Zipf weights, 1 / (rank + ZIPF). Passes of expectation
+and maximisation over all training words, each as often as it occurs, then fit the weights, and how often a word ends after
+a piece; the pieces stay. Single bytes are pieces too, so that every text has a probability.
 
-Frequent words, at most HOT of them by construction (each has more than 1 / HOT of all tokens), are broadcast with their
-values; places of all others meet theirs in a join, so no key holds more than 1 / HOT of the tokens.
+Spark counts the words of all documents. Frequent words, at most HOT of them by construction (each has more than 1 / HOT of
+all tokens), are broadcast with their values; places of all others meet theirs in a join, so no key holds more than 1 / HOT
+of the tokens. Which way a word goes changes no value.
 
 Defined results: null text is empty and has its end token only; a null doc_id is not held out; rows are scored one by one,
-repeated ones alike; without training documents N and V are 0; other columns are ignored.
+repeated ones alike; without training documents N and V are 0 and the weights are the vocabulary's own; a word of very many
+bytes is scored whole, in as many steps; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.llm.textblocks import LOWER, SAME, SPACED, U64, Block, blocks
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-DISCOUNT, ZIPF, STOP, HOT, SHARE_OF_BYTES = 0.75, 50.0, 0.35, 200_000, 0.01
+ZIPF, STOP, HOT, SHARE_OF_BYTES = 50.0, 0.35, 200_000, 0.01
+#: uses that the given weights count for in a pass
+PRIOR = 100.0
 MARK = "▁".encode()
 
 
@@ -64,8 +68,9 @@ def _span_table(names: np.ndarray, logs: np.ndarray) -> dict[int, tuple[np.ndarr
     return out
 
 
-def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]], weights: np.ndarray | None = None):
-    """Natural log of the marginal probability of each word over all segmentations, by log-space forward recursion.
+def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]], weights: np.ndarray | None = None, stop: float = STOP):
+    """Natural log of the marginal probability of each word over all segmentations, by log-space forward recursion; after a
+    piece the word ends with probability stop.
 
     With weights (one a word): each piece's expected uses instead, length -> array, by a backward recursion as well."""
     b = next(blocks(pa.array([MARK + w for w in words], pa.large_binary()), 1 << 40))
@@ -84,7 +89,7 @@ def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]],
                 arcs[k] = np.full(n, -np.inf)
                 arcs[k][at[hit]] = logs[i[hit]]
                 which[k] = at[hit], i[hit]
-    go = np.log(1 - STOP)
+    go = np.log(1 - stop)
     base = first + np.arange(len(words))  # a word's places 0..size are at its base + place
     order = np.argsort(-size, kind="stable")
     by_size = size[order]
@@ -109,7 +114,7 @@ def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]],
 
     alpha = run(True)
     if weights is None:
-        return alpha[base + size] - go + np.log(STOP)
+        return alpha[base + size] - go + np.log(stop)
     beta = run(False)
     whole = alpha[base + size]
     out = {}
@@ -121,30 +126,35 @@ def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]],
     return out
 
 
-def reweighted(words: DataFrame, table: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The vocabulary's weights after one pass of expectation and maximisation over the training words, each word once, drawn
-    towards the given weights by one use a piece in all. Tasks send one number a piece."""
-    sent = words.sparkSession.sparkContext.broadcast(table)
+def reweighted(words: DataFrame, table: dict[int, tuple[np.ndarray, np.ndarray]], stop: float = STOP) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], float]:
+    """The vocabulary's weights and the chance of an end after one pass of expectation and maximisation over the training
+    words, each as often as it occurs, drawn towards the given weights by PRIOR uses in all. Tasks send a number a piece."""
+    sent = words.sparkSession.sparkContext.broadcast((table, stop))
 
     def run(batches):
-        held = {k: np.zeros(len(v[0])) for k, v in sent.value.items()}
+        own, end = sent.value
+        held = {k: np.zeros(len(v[0])) for k, v in own.items()}
         for batch in batches:
-            texts = [w.encode() for w in batch.column(0).to_pylist()]
+            texts, n = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
             for i in range(0, len(texts), 4000):
-                part = texts[i : i + 4000]
-                for k, got in lattice(part, sent.value, np.ones(len(part))).items():
+                for k, got in lattice(texts[i : i + 4000], own, n[i : i + 4000], end).items():
                     held[k] += got
         for k, x in held.items():
             at = np.flatnonzero(x)
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(x[at])], ["size", "i", "x"])
 
-    got = words.where("n_train > 0").select("word").mapInArrow(run, "size long, i long, x double").groupBy("size", "i").agg(F.sum("x").alias("x")).toPandas()  # a row a piece
-    uses = {k: np.exp(v[1]) * sum(len(x[0]) for x in table.values()) * 0.01 for k, v in table.items()}
+    train = words.where("n_train > 0")
+    got = train.select("word", "n_train").mapInArrow(run, "size long, i long, x double").groupBy("size", "i").agg(F.sum("x").alias("x")).toPandas()  # a row a piece
+    n = float(train.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0])
+    sent.destroy()
+    if not n:
+        return table, stop
+    uses = {k: np.exp(v[1]) * PRIOR for k, v in table.items()}
     for k, own in got.groupby("size"):
         uses[int(k)][own["i"].to_numpy()] += own["x"].to_numpy()
     total = sum(x.sum() for x in uses.values())
-    return {k: (v[0], np.log(uses[k] / total)) for k, v in table.items()}
+    return {k: (v[0], np.log(uses[k] / total)) for k, v in table.items()}, (n + PRIOR * stop) / (float(got["x"].sum()) + PRIOR)
 
 
 def word_table(docs: DataFrame) -> DataFrame:
@@ -188,20 +198,15 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.select("train", "text").mapInArrow(run, "h long, word string, n_train long, n long").groupBy("h", "word").agg(F.sum("n_train").alias("n_train"), F.sum("n").alias("n"))
 
 
-def _valued(words: DataFrame, table, n: float, v: float) -> DataFrame:
-    """h, n, n_train and each word's log10 probability by the model."""
+def _valued(words: DataFrame, model) -> DataFrame:
+    """h, n, n_train and each word's log10 probability by the lattice."""
 
     def run(batches):
+        table, stop = model.value
         for batch in batches:
             for i in range(0, batch.num_rows, 4000):
                 part = batch.slice(i, 4000)
-                texts = [w.encode() for w in part.column(1).to_pylist()]
-                c = part.column(2).to_numpy().astype(float)
-                paths = lattice(texts, table.value)
-                rest = DISCOUNT * v / n if n else 1.0
-                whole = np.maximum(c - DISCOUNT, 0) / n if n else np.zeros(len(c))
-                with np.errstate(divide="ignore"):
-                    logp = np.logaddexp(np.log(whole), np.log(rest) + paths) / np.log(10)
+                logp = lattice([w.encode() for w in part.column(1).to_pylist()], table, stop=stop) / np.log(10)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(logp)], ["h", "n_train", "n", "logp"])
 
     return words.select("h", "word", "n_train", "n").mapInArrow(run, "h long, n_train long, n long, logp double")
@@ -212,16 +217,17 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False)))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("row", F.unhex(F.md5(F.coalesce(F.concat(F.lit("v"), "text"), F.lit("n")))))
     counts = materialize(word_table(rows.select((~F.col("held_out")).alias("train"), "text")), "word-counts")
     ends = rows.where("not held_out").count()
     total, words, all_words = counts.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
     n, v = total + ends, words + (ends > 0)
-    table = _span_table(*vocabulary(vocabulary_path))
+    table, stop = _span_table(*vocabulary(vocabulary_path)), STOP
     for _ in range(passes):
-        table = reweighted(counts, table)
-    pieces = spark.sparkContext.broadcast(table)
-    valued = materialize(_valued(counts, pieces, float(n), float(v)), "word-values")
+        table, stop = reweighted(counts, table, stop)
+    pieces = spark.sparkContext.broadcast((table, stop))
+    valued = materialize(_valued(counts, pieces), "word-values")
+    pieces.destroy()
     hot = valued.where(F.col("n") > all_words / HOT).select("h", "n_train", "logp").toPandas().sort_values("h")  # fewer than HOT rows
     known = spark.sparkContext.broadcast((hot["h"].to_numpy(np.int64), np.log10(hot["n_train"].to_numpy(float) + 1), hot["n_train"].to_numpy() > 0, hot["logp"].to_numpy(float)))
 
@@ -248,8 +254,9 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str
                 lists = pa.ListArray.from_arrays(pa.array(edge), pa.StructArray.from_arrays([pa.array(cold[first]), pa.array(times)], ["h", "k"]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, b.rows), pa.array(sums[0]), pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), lists], ["row", "words", "seen", "base", "logp", "cold"])
 
-    scored = rows.select("row", "text").mapInArrow(run, "row long, words long, seen long, base double, logp double, cold array<struct<h:long,k:int>>")
+    scored = rows.select("row", "text").mapInArrow(run, "row binary, words long, seen long, base double, logp double, cold array<struct<h:long,k:int>>")
     scored = materialize(scored, "hot-scores")
+    known.destroy()
     rest = valued.select(F.col("h").alias("h2"), (F.col("n_train") > 0).alias("in_train"), F.log10(F.col("n_train") + 1).alias("b"), F.col("logp").alias("m"))
     places = scored.select("row", F.explode("cold").alias("x")).select("row", "x.h", "x.k").join(rest, F.col("h") == F.col("h2"))
     sums = places.groupBy("row").agg(F.sum(F.when(F.col("in_train"), F.col("k")).otherwise(0)).alias("seen2"), F.sum(F.col("k") * F.col("b")).alias("base2"), F.sum(F.col("k") * F.col("m")).alias("logp2"))
@@ -258,14 +265,17 @@ def score_texts(docs: DataFrame, vocabulary_path: str = VOCABULARY, id_col: str
     own = rows.select("doc_id", "held_out", "row").join(per, "row")
     part = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
     end_base = float(np.log10(ends + 1))
-    end_p = max(ends - DISCOUNT, 0.25) / n if n else 1.0
+    end_p = (ends + 0.5) / (n + 1)  # the end of the text rather than a word
     tokens = F.col("words") + 1
-    return own.select(
+    out = own.select(
         "doc_id",
         "held_out",
         tokens.alias("n_tokens"),
         (F.col("seen") + part("seen2") + (1 if ends else 0)).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + part("base2") + end_base - tokens * float(np.log10(n + v + 1))).alias("base_score"),
-        (F.col("logp") + part("logp2") + float(np.log10(end_p))).alias("score"),
+        (F.col("logp") + part("logp2") + F.col("words") * float(np.log10(1 - end_p)) + float(np.log10(end_p))).alias("score"),
     )
+    out = materialize(out, "scores")
+    release(counts, valued, scored)
+    return out
