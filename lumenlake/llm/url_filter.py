@@ -1,9 +1,10 @@
 """URL filters: host and path rules first, else a naive Bayes verdict over segmented names.
 
 Host labels that run words together are split by unigram Viterbi: candidate pieces are joined with word counts of the
-pages' own text, and the best split is chosen for each distinct label. Multinomial naive Bayes learns from the pages
-that a rule decides; its tokens are the pieces of the host's labels and the words of the path, numbers as one token.
-Pages with equal tokens are scored once.
+pages' own text, without markup, and the best split is chosen for each distinct label. Multinomial naive Bayes learns from
+the pages that a rule decides; its tokens are the pieces of the host's labels and the words of the path, numbers as one
+token. What a rule itself reads is no token anywhere, neither the labels of the rules' hosts nor the words of their paths:
+else the model would repeat the rules. Pages with equal tokens are scored once.
 
 Defined results: a null url, or one without "://", has empty host and path, no rule and no tokens, and gets the more
 frequent class of the learned pages, allow if there are none or as many; equal rows give equal results; other columns are
@@ -13,6 +14,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,11 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 #: host/path, verdict
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-PIECE = 20
+#: characters of a piece at most, which is the DNS's own limit of a label
+PIECE = 63
+#: markup, scripts and styles whole
+MARKUP = r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->|<[^>]*>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,13 +52,19 @@ def by_rules(spark: SparkSession, addresses: DataFrame, rules: Sequence[tuple[st
     return addresses.join(best, ["host", "path"], "left").select(*addresses.columns, F.col("x.rule").alias("rule"), F.col("x.ruled").alias("ruled"))
 
 
+def rule_words(rules: Sequence[tuple[str, str]]) -> set[str]:
+    """Labels of the rules' hosts and words of their paths."""
+    return {w for rule, _ in rules for w in re.split(r"[^\w]+", rule.lower()) if w}
+
+
 def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """word, n: lower-cased runs of letters and digits of all texts."""
+    """word, n: lower-cased runs of letters and digits of all texts, markup left out."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
-                words = pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(batch.column(0).slice(i, 500), "")), r"[^\p{L}\p{N}]+"))
+                plain = pc.replace_substring_regex(pc.fill_null(batch.column(0).slice(i, 500), ""), MARKUP, " ")
+                words = pc.list_flatten(pc.split_pattern_regex(pc.utf8_lower(plain), r"[^\p{L}\p{N}]+"))
                 got = pc.value_counts(words)
                 yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], ["word", "n"])
 
@@ -105,10 +116,14 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url:
     counts = materialize(word_counts(pages, text), "words")
     hosts = ruled.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", r"\.")).alias("i", "label")).where("label <> ''")
+    labels = labels.where(~F.col("label").isin(sorted(rule_words(rules))))
     split = segment(labels.select("label").distinct(), counts)
     named = labels.join(split, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"])).alias("names"))
     words = F.transform(F.regexp_extract_all(F.translate("path", UPPER, LOWER), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda w: F.regexp_replace(w, r"^\p{N}+$", "0"))
-    bags = ruled.join(named, "host", "left").withColumn("bag", F.array_sort(F.concat(F.coalesce("names", F.array().cast("array<string>")), words)))
+    none = F.array().cast("array<string>")
+    read = [F.lit(w) for w in sorted(rule_words(rules))]
+    bag = F.filter(F.concat(F.coalesce("names", none), words), lambda w: ~F.array_contains(F.array(*read) if read else none, w))
+    bags = ruled.join(named, "host", "left").withColumn("bag", F.array_sort(bag))
     bags = materialize(bags.select("host", "path", "rule", "ruled", "pages", "bag"), "bags")
 
     learned = bags.where("ruled is not null").groupBy("bag", "ruled").agg(F.sum("pages").alias("pages"))
@@ -124,4 +139,6 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, url:
     scored = tokens.join(table, "token", "left").groupBy("bag").agg(F.sum(odds(F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0)))).alias("s"))
     judged = bags.join(scored, "bag", "left").withColumn("log_odds", F.lit(start) + F.coalesce("s", F.lit(0.0)))
     judged = judged.select("host", "path", "rule", F.coalesce("ruled", F.when(F.round("log_odds", 9) > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")
-    return rows.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "log_odds")
+    out = materialize(rows.join(judged, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict", "log_odds"), "verdicts")
+    release(rows, ruled, counts, bags, table)
+    return out
