@@ -6,8 +6,10 @@ of single letters together; ends of a unit count as characters. Its feature spac
 on landmark features folds into one weight for each subsequence, and scoring a text is one pass of array look-ups.
 
 Training: from at most LABELLED labelled documents (a bounded sample by hash order, a documented limit on learning
-only). A clean text's units are all negative; a toxic text's witnesses are the units that toxic texts hold far more often
-than clean ones. A logistic curve over a text's best unit, its number of positive and of strong units and their rate gives
+only). Labels are of documents, so units get theirs by what documents hold them: a clean text's units are all negative, of
+which the NEGATIVES that most documents hold, then others by hash, take part; a toxic text's witnesses are the units that
+toxic texts hold far more often than clean ones, at most WITNESSES. LANDMARKS of both span the Nystrom features. These
+limits bound what the driver gets and solves, whatever the input; README names them. A logistic curve over a text's best unit, its number of positive and of strong units and their rate gives
 the score.
 
 Defined results: null or empty text has no units and gets the score of a text without any; a document with several labels
@@ -28,6 +30,7 @@ from lumenlake.llm.textblocks import BYTES, LOWER, SPACED, blocks
 
 SPAN, DECAY, EDGE = 6, 0.6, 31
 LABELLED, LANDMARKS, NEGATIVES, WITNESSES = 20_000, 128, 6_000, 256
+PARTS = 8
 #: standard deviations from chance for a witness; the margin of a strong unit; a rate's scale
 APART, STRONG, RATE = 3.0, 0.5, 50.0
 STEPS = [(i, j, DECAY ** (i + j - 2)) for i in range(1, SPAN) for j in range(1, SPAN) if i + j < SPAN]
@@ -150,12 +153,13 @@ def _word_table(sample: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = sorted({w for w in ("".join(ch for ch in x if ch.isalpha()) for x in (text or "").lower().split()) if 2 < len(w) < 40})
+                words = sorted({w for w in ("".join(ch for ch in x if ch.isalpha()) for x in (text or "").lower().split()) if len(w) > 2})
                 if words:
                     yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([toxic] * len(words), pa.int64())], ["word", "toxic"])
 
     seen = sample.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(run, "word string, toxic long")
-    return seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    # few partitions: the sample is bounded, and each of them sends its own first words to the driver
+    return seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).coalesce(PARTS)
 
 
 def measures(docs: DataFrame, weights, offset: float, text_col: str = "text") -> DataFrame:
@@ -198,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple
         by_chance = (F.col("t") + F.col("c")) * share
         apart = (F.col("t") - by_chance) / F.sqrt(by_chance + 0.5)
         witness = [r["word"] for r in table.where((apart > APART) & (F.col("t") > F.col("c"))).orderBy(apart.desc(), "word").limit(WITNESSES).collect()]
-        negative = [r["word"] for r in table.where("t = 0 or c > t").orderBy((F.col("c") < 20), F.xxhash64("word")).limit(NEGATIVES).collect()]
+        negative = [r["word"] for r in table.where("t = 0 or c > t").orderBy((F.col("c") < 20), F.xxhash64("word"), "word").limit(NEGATIVES).collect()]
         table.unpersist()
         if not witness or not negative:
             return None, share
