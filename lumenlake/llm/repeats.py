@@ -4,8 +4,10 @@ Triggers cut all texts alike: places whose rolling hash of TRIGGER bytes is the
 window has one, so any repeated string meets its copies at a trigger. The dictionary holds, for each trigger string, its
 distinct surroundings (LENGTH bytes to the right, LENGTH - TRIGGER to the left, inside the document); the parse holds
 their places. Surroundings that occur twice are repeated throughout. The others of a trigger are compared by the hashes of
-all their LENGTH-byte windows, so each window's answer is exact. A trigger with more than GROUP different surroundings is
-compared in pairs of blocks, so that no task holds a whole group.
+all their LENGTH-byte windows, so each window's answer is exact. The windows of a trigger with more than GROUP different
+surroundings are counted by a shuffle instead, in work that grows with their number, so that no task holds a whole group.
+
+Rows are known by 96 bits of their content.
 
 Text is read twice and shuffled by row at most once a join; what else moves is a few bytes a trigger.
 
@@ -19,13 +21,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.llm.textblocks import SAME, U64, Block, blocks, mix
 from lumenlake.shared import materialize, release
 
 LENGTH, TRIGGER, GROUP = 400, 32, 4000
+#: surroundings, of whole triggers, that a task compares at once
+AT_ONCE = 4000
 
 
 def _sliding_least(x: np.ndarray, w: np.ndarray | int) -> np.ndarray:
@@ -49,11 +53,10 @@ def triggers(h: np.ndarray, length: int, trigger: int) -> np.ndarray:
 
 
 def occurrences(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """rows: row long, text. row, at, lo, hi, gram (the trigger's hash), around (that of the surroundings lo to hi)."""
+    """rows: row binary, text. row, at, hi, gram (the trigger's hash), around (that of the surroundings, up to hi)."""
 
     def run(batches):
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
             for b in blocks(batch.column(1)):
                 if len(b.data) < length:
                     continue
@@ -71,44 +74,47 @@ def occurrences(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -
                 lo, hi = np.maximum(at - (length - trigger), b.offs[row]), np.minimum(at + length, b.offs[row + 1])
                 around = mix(b.span(prefix, lo, hi) ^ ((at - lo).astype(U64) << U64(20) | (hi - at).astype(U64)))
                 first = b.offs[row]
-                yield pa.RecordBatch.from_arrays([pa.array(rid[b.first + row]), *[pa.array((x - first).astype(np.int32)) for x in (at, lo, hi)], pa.array(h[at].view(np.int64)), pa.array(around.view(np.int64))], ["row", "at", "lo", "hi", "gram", "around"])
-
-    return rows.select("row", "text").mapInArrow(run, "row long, at int, lo int, hi int, gram long, around long")
-
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b.first + row)), *[pa.array((x - first).astype(np.int32)) for x in (at, hi)], pa.array(h[at].view(np.int64)), pa.array(around.view(np.int64))], ["row", "at", "hi", "gram", "around"])
 
-SURROUNDINGS = "row long, at int, lo int, gram long, lone boolean, parts int, bytes binary"
+    return rows.select("row", "text").mapInArrow(run, "row binary, at int, hi int, gram long, around long")
 
 
-def _fetch(joined: DataFrame) -> DataFrame:
-    """joined: text, row, wanted (array of at, lo, hi, gram, lone, parts). The bytes of every wanted place."""
+def _fetch(rows: DataFrame, some: DataFrame, length: int, trigger: int) -> DataFrame:
+    """some: row, at, hi, gram, lone. row, at, lo, gram, lone, bytes: the surroundings of every place."""
 
     def run(batches):
         for batch in batches:
-            for text, row, wanted in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                cols = [[w[k] for w in wanted] for k in ("at", "lo", "gram", "lone", "parts")]
-                cut = [data[w["lo"] : w["hi"]] for w in wanted]
-                for i in range(0, len(cut), 5000):
-                    s = slice(i, i + 5000)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(cut[s]), pa.int64()), pa.array(cols[0][s], pa.int32()), pa.array(cols[1][s], pa.int32()), pa.array(cols[2][s], pa.int64()), pa.array(cols[3][s], pa.bool_()), pa.array(cols[4][s], pa.int32()), pa.array(cut[s], pa.binary())], ["row", "at", "lo", "gram", "lone", "parts", "bytes"])
-
-    return joined.select("text", "row", "wanted").mapInArrow(run, SURROUNDINGS)
+            for i, wanted in enumerate(batch.column(2).to_pylist()):
+                data = batch.column(1)[i].as_buffer()
+                for at in range(0, len(wanted), 5000):
+                    part = wanted[at : at + 5000]
+                    low = [max(w["at"] - (length - trigger), 0) for w in part]
+                    cut = [data.slice(a, w["hi"] - a).to_pybytes() for a, w in zip(low, part, strict=True)]
+                    of = lambda k, t: pa.array([w[k] for w in part], t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part))), of("at", pa.int32()), pa.array(low, pa.int32()), of("gram", pa.int64()), of("lone", pa.bool_()), pa.array(cut, pa.binary())], ["row", "at", "lo", "gram", "lone", "bytes"])
+
+    wanted = some.groupBy("row").agg(F.collect_list(F.struct("at", "hi", "gram", "lone")).alias("wanted"))  # a row's own triggers
+    texts = rows.select("row", "text").dropDuplicates(["row"])
+    return texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(run, "row binary, at int, lo int, gram long, lone boolean, bytes binary")
+
+
+def _window_keys(group: np.ndarray, place: np.ndarray, column: pa.Array, length: int, trigger: int):
+    """For each distance d of a window's start before the trigger: d, the surroundings that hold such a window, and its keys."""
+    b = next(blocks(column, 1 << 40))
+    prefix = b.prefix(SAME)
+    trig = b.offs[:-1] + place
+    salt = mix(group.astype(np.int64).view(U64))
+    for d in range(length - trigger + 1):
+        ok = np.flatnonzero((place >= d) & (trig - d + length <= b.offs[1:]))
+        if len(ok):
+            yield d, ok, Block.span(prefix, trig[ok] - d, trig[ok] - d + length) ^ salt[ok]
 
 
 def _shared_windows(group: np.ndarray, place: np.ndarray, column: pa.Array, length: int, trigger: int) -> list[tuple[int, int, int]]:
     """(index, from, to): stretches of surroundings, relative to their first byte, covered by windows that another of the
     same group has at the same offset from its trigger. place: the trigger's offset in each."""
-    b = next(blocks(column, 1 << 40))
-    prefix = b.prefix(SAME)
-    start, end = b.offs[:-1], b.offs[1:]
-    trig = start + place
-    salt = mix(group.astype(np.int64).view(U64))
     hit = np.zeros((length - trigger + 1, len(group)), bool)
-    for d in range(length - trigger + 1):
-        ok = np.flatnonzero((place >= d) & (trig - d + length <= end))
-        if len(ok) < 2:
-            continue
-        key = Block.span(prefix, trig[ok] - d, trig[ok] - d + length) ^ salt[ok]
+    for d, ok, key in _window_keys(group, place, column, length, trigger):
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         hit[d, ok[order[1:][same]]] = True
@@ -123,29 +129,29 @@ def _shared_windows(group: np.ndarray, place: np.ndarray, column: pa.Array, leng
 
 
 def _compare(found: DataFrame, length: int, trigger: int) -> DataFrame:
-    """Covered stretches (row, lo, hi) of lone surroundings. found is sorted by group within partitions."""
+    """Covered stretches (row, lo, hi) of lone surroundings. found is sorted by gram within partitions."""
 
     def run(batches):
         held: list[pa.Table] = []
 
         def work(t: pa.Table):
-            group = t.column("group").to_numpy()
+            gram = t.column("gram").to_numpy()
             at, lo = t.column("at").to_numpy().astype(np.int64), t.column("lo").to_numpy().astype(np.int64)
-            lone, row = t.column("lone").to_numpy(zero_copy_only=False), t.column("row").to_numpy()
-            got = [(row[i], lo[i] + a, lo[i] + z) for i, a, z in _shared_windows(group, at - lo, t.column("bytes").combine_chunks(), length, trigger) if lone[i]]
+            lone = t.column("lone").to_numpy(zero_copy_only=False)
+            got = [x for x in _shared_windows(gram, at - lo, t.column("bytes").combine_chunks(), length, trigger) if lone[x[0]]]
             if got:
-                r, a, z = (np.array(x, np.int64) for x in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(z)], ["row", "lo", "hi"])
+                i, a, z = (np.array(x, np.int64) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(pa.array(i)), pa.array(lo[i] + a), pa.array(lo[i] + z)], ["row", "lo", "hi"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(pa.Table.from_batches([batch]))
-            if sum(t.num_rows for t in held) < GROUP:
+            if sum(t.num_rows for t in held) < AT_ONCE:
                 continue
             t = pa.concat_tables(held)
-            group = t.column("group").to_numpy()
-            whole = int(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[-1])
+            gram = t.column("gram").to_numpy()
+            whole = int(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))[-1])
             if whole:
                 yield from work(t.slice(0, whole))
                 t = t.slice(whole)
@@ -153,32 +159,52 @@ def _compare(found: DataFrame, length: int, trigger: int) -> DataFrame:
         if held:
             yield from work(pa.concat_tables(held))
 
-    return found.select("row", "at", "lo", "group", "lone", "bytes").mapInArrow(run, "row long, lo long, hi long")
+    return found.select("row", "at", "lo", "gram", "lone", "bytes").mapInArrow(run, "row binary, lo long, hi long")
+
+
+def _count(found: DataFrame, length: int, trigger: int) -> DataFrame:
+    """The same as _compare, by a shuffle of one row a window."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                t = pa.Table.from_batches([batch.slice(i, 200)])
+                at, lo = t.column("at").to_numpy().astype(np.int64), t.column("lo").to_numpy().astype(np.int64)
+                for d, ok, key in _window_keys(t.column("gram").to_numpy(), at - lo, t.column("bytes").combine_chunks(), length, trigger):
+                    take = pa.array(ok)
+                    yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(take), t.column("lone").combine_chunks().take(take), pa.array(at[ok]), pa.array(at[ok] - d), pa.array(mix(key ^ U64(d)).view(np.int64))], ["row", "lone", "at", "lo", "key"])
+
+    windows = found.select("row", "at", "lo", "gram", "lone", "bytes").mapInArrow(run, "row binary, lone boolean, at long, lo long, key long")
+    twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    hit = windows.where("lone").join(twice, "key")
+    run_of = F.col("lo") - F.row_number().over(Window.partitionBy("row", "at").orderBy("lo"))  # a trigger's windows
+    return hit.withColumn("run", run_of).groupBy("row", "at", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi")).select("row", "lo", "hi")
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, group: int = GROUP) -> DataFrame:
-    """rows: row long, text (and what else). (row, lo, hi), written: byte stretches covered by repeated strings; they may overlap."""
+    """rows: row binary, text (and what else). (row, lo, hi), written: byte stretches covered by repeated strings; they may overlap."""
     seen = materialize(occurrences(rows, length, trigger), "triggers")
-    kinds = seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "lo", "hi")).alias("one"))
+    kinds = seen.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("row", "at", "hi")).alias("one"))
     per = kinds.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1")
     kinds = materialize(kinds.join(per, "gram"), "surroundings")
-    twins = seen.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"]).select("row", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    parts = F.ceil(F.col("kinds") / (group // 2)).cast("int")
-    some = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") == 1).alias("lone"), F.when(F.col("kinds") > group, parts).otherwise(1).alias("parts"))
-    wanted = some.groupBy("row").agg(F.collect_list(F.struct("at", "lo", "hi", "gram", "lone", "parts")).alias("wanted"))  # a row's own triggers
-    cut = _fetch(rows.select("row", "text").dropDuplicates(["row"]).join(wanted, "row"))
-    mine = F.pmod(F.xxhash64("row", "at"), F.col("parts"))
-    cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.withColumn("group", F.xxhash64("gram", F.least("mine", "other"), F.greatest("mine", "other")))
-    cut = cut.repartition("group").sortWithinPartitions("group")
-    out = materialize(twins.unionByName(_compare(cut, length, trigger)).where("hi > lo"), "spans")
-    release(seen, kinds)  # the final join takes room for the texts
+    twins = seen.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"])
+    spans = twins.select("row", F.greatest(F.col("at") - (length - trigger), F.lit(0)).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    some = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") == 1).alias("lone"), "kinds")
+    few = _fetch(rows, some.where(F.col("kinds") <= group), length, trigger)
+    spans = spans.unionByName(_compare(few.repartition("gram").sortWithinPartitions("gram"), length, trigger))
+    many = some.where(F.col("kinds") > group)
+    cut = None
+    if not many.isEmpty():
+        cut = materialize(_fetch(rows, many, length, trigger), "many-surroundings")
+        spans = spans.unionByName(_count(cut, length, trigger))
+    out = materialize(spans.where("hi > lo"), "spans")
+    release(seen, kinds, *([cut] if cut is not None else []))  # the final join takes room for the texts
     return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, as binary), for every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.substring(F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.concat(F.lit("v"), "text"), F.lit("n"))))), 1, 12))
     spans = repeated_spans(rows, length)
     per = spans.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))  # a row's own bytes bound it
     kind = dict(rows.dtypes)["doc_id"]

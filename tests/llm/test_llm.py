@@ -385,15 +385,17 @@ def test_repeats(spark, empty, group):
     data = [(t or "").encode() for t in texts]
     for b in data:
         seen.update(b[k : k + 400] for k in range(len(b) - 399))
-    rows = df.selectExpr("doc_id AS row", "text")
+    rows = df.selectExpr("CAST(CAST(doc_id AS STRING) AS BINARY) AS row", "text")
     spans = {}
     for r in repeats.repeated_spans(rows, group=group).collect():
-        spans.setdefault(r.row, set()).update(range(r.lo, r.hi))
+        spans.setdefault(int(bytes(r.row)), set()).update(range(r.lo, r.hi))
     got = {r.doc_id: r for r in repeats.remove_repeats(df).collect()}
     for i, b in enumerate(data):
         hit = {j for k in range(len(b) - 399) if seen[b[k : k + 400]] > 1 for j in range(k, k + 400)}
         assert spans.get(i, set()) == hit, i
-        assert got[i].n_removed == len(hit) and bytes(got[i].kept) == bytes(x for j, x in enumerate(b) if j not in hit)
+        assert (got[i].n_removed, got[i].n_spans) == (len(hit), sum(j - 1 not in hit for j in hit)) and bytes(got[i].kept) == bytes(x for j, x in enumerate(b) if j not in hit)
+    again = spark.createDataFrame([(1, "y" + shared, "clash"), (1, "y" + shared, "clash"), (None, "z", "clash")], "doc_id long, text string, row string")
+    assert sorted((r.n_bytes, r.n_removed) for r in repeats.remove_repeats(again).collect()) == [(1, 0), (1 + len(shared), 1 + len(shared)), (1 + len(shared), 1 + len(shared))]
     assert repeats.remove_repeats(empty).count() == 0
 
 
