@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: fixed values: limits and weights of decisions; the texts of reasons and warnings below are fixed as well
 @dataclass(frozen=True)
 class Thresholds:
     sharp_keeper: float = 0.55

@@ -8,13 +8,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.operators import mutate, pixels, reconcile, vectors
+from lumenlake.operators import bursts, mutate, pixels, reconcile, vectors
 from lumenlake.operators.decide import Thresholds, decide
 from lumenlake.shared import materialize
 from lumenlake.sources.files import Catalog, keyed_files, read_images
 from lumenlake.streaming.live import VERDICTS
 
-LIBRARIES = "id long, root_path string"
+LIBRARIES = "id long, root_path string, models_run map<string,string>, models_pending array<string>"
+MEMBERS, BURSTS = "burst_id long, image_id long, is_best boolean", "burst_id long"
+#: the measures of an ingest, as a run of models
+MODELS = {"pixels": "1", "decisions": "1"}
 IMAGES = "id long, path string, size_bytes long, mtime double, content_hash string, capture_s long, camera_make string, camera_model string, width int, height int, phash string, library_id long"
 ERRORS = "path string, error string, library_id long"
 #: what decisions read beyond the pixel measures; detectors fill these columns in
@@ -39,7 +42,7 @@ def _of_folders(spark: SparkSession, libraries: DataFrame, roots: Sequence[str],
 
 def ingest_folders(spark: SparkSession, catalog: Catalog, roots: Sequence[str], t: Thresholds = Thresholds(), force: bool = False) -> None:
     """Measure and decide the pending pictures below the folders (trimmed, each once), a library for each, and save libraries,
-    images, metrics, verdicts and errors. A picture that fails or that Spark cannot decode is an error; the others go on, and
+    images, metrics, verdicts and errors; the libraries get MODELS among their runs and nothing pending. A picture that fails or that Spark cannot decode is an error; the others go on, and
     the errors of libraries that are read again are replaced. Spark's sources read all files below the folders."""
     roots = sorted({r.strip().rstrip("/") for r in roots if r.strip()})
     if not roots:
@@ -65,23 +68,31 @@ def ingest_folders(spark: SparkSession, catalog: Catalog, roots: Sequence[str],
     unread = fresh.join(measured, "path", "left_anti").select("path", F.lit("not decoded").alias("error"))
     errors = failed.unionByName(unread).join(files.select("path", "library_id"), "path")
     again = libraries.join(named, "root_path", "left_semi").select(F.col("id").alias("library_id"))
+    stamp = F.create_map(*[F.lit(x) for kv in MODELS.items() for x in kv])
+    runs = libraries.join(named, "root_path", "left_semi").select("id", stamp.alias("models_run"), F.array().cast("array<string>").alias("models_pending"))
+    catalog.save("libraries", mutate.merge_model_runs(libraries, runs).select("id", "root_path", "models_run", "models_pending"))
     catalog.save("errors", catalog.load("errors", ERRORS).join(again, "library_id", "left_anti").select("path", "error", "library_id").unionByName(errors))
 
 
-def sync_library(spark: SparkSession, catalog: Catalog, root: str, t: Thresholds = Thresholds()) -> DataFrame:
-    """Reconcile a library with its folder, drop what its removed images leave behind, ingest what is new; id, path, status."""
+def sync_library(spark: SparkSession, catalog: Catalog, root: str, t: Thresholds = Thresholds(), captured: DataFrame | None = None) -> DataFrame:
+    """Reconcile a library with its folder, drop what its removed images leave behind, bursts without members too, ingest what
+    is new; id, path, status. captured (path, capture_s, camera_model): what a reader of capture data says of the files, for
+    the match by size, time and camera."""
     root = root.strip().rstrip("/")
     library = catalog.load("libraries", LIBRARIES).where(F.col("root_path") == root).select(F.col("id").alias("library_id"))
     images = catalog.load("images", IMAGES)
     own = images.join(library, "library_id", "left_semi")
-    files = keyed_files(spark, root).withColumns({"capture_s": F.lit(None).cast("long"), "camera_model": F.lit(None).cast("string")})
+    files = keyed_files(spark, root)
+    none = {"capture_s": F.lit(None).cast("long"), "camera_model": F.lit(None).cast("string")}
+    files = files.withColumns(none) if captured is None else files.join(captured.select("path", *none), "path", "left")
     report = materialize(reconcile.reconcile(files, own), "reconciled")
     moved = report.where("status = 'rehoused'").select("id", F.col("path").alias("to"))
     gone = report.where("status = 'removed'").select("id")
     kept = images.join(gone, "id", "left_anti").join(moved, "id", "left").withColumn("path", F.coalesce("to", "path"))
     catalog.save("images", kept.select(*images.columns))
-    for name, schema in (("metrics", METRICS), ("verdicts", VERDICTS)):
+    for name, schema in (("metrics", METRICS), ("verdicts", VERDICTS), ("members", MEMBERS)):
         catalog.save(name, catalog.load(name, schema).join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti"))
+    catalog.save("bursts", bursts.orphan_bursts(catalog.load("bursts", BURSTS), catalog.load("members", MEMBERS)))
     ingest_folders(spark, catalog, [root], t)
     return report
 

@@ -10,15 +10,22 @@ from lumenlake.functions.tokens import HEIC, JPEG, OTHER, RAW, col, file_kind
 EDGE = 65536
 
 
+def _bare() -> Column:
+    return F.regexp_replace("path", "^file:/*", "/")
+
+
+def _listed() -> Column:
+    """Pictures; of a photo-library package only those below originals and masters."""
+    in_package = F.lower("path").rlike(r"\.photoslibrary/")
+    own = F.lower("path").rlike(r"\.photoslibrary/(originals|masters)/")
+    return (~in_package | own) & (file_kind("path") != "unknown")
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
     """path, size_bytes, mtime (seconds), kind of all pictures below root, by their suffix in either case. Of a photo-library
     package only originals and masters are listed. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    bare = F.regexp_replace("path", "^file:/*", "/")
-    in_package = F.lower("path").rlike(r"\.photoslibrary/")
-    own = F.lower("path").rlike(r"\.photoslibrary/(originals|masters)/")
-    listed = files.select(bare.alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime")).where(~in_package | own)
-    return listed.withColumn("kind", file_kind("path")).where("kind <> 'unknown'")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(_listed())
+    return files.select(_bare().alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime"), file_kind("path").alias("kind"))
 
 
 def supported() -> tuple[str, ...]:
@@ -35,15 +42,15 @@ def content_key(content: str | Column, length: str | Column) -> Column:
 
 def keyed_files(spark: SparkSession, root: str) -> DataFrame:
     """path, size_bytes, mtime, content_hash: contents are read in tasks and dropped there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime"), content_key("content", "length").alias("content_hash")).where(file_kind("path") != "unknown")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(_listed())
+    return files.select(_bare().alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime"), content_key("content", "length").alias("content_hash"))
 
 
 def read_images(spark: SparkSession, root: str) -> DataFrame:
     """path, width, height, channels, data (rows of BGR bytes) of the pictures that Spark's image source decodes; files that
     are not pictures are left out."""
     rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
-    return rows.select(F.regexp_replace("image.origin", "^file:/*", "/").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data")
+    return rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data").where(_listed()).withColumn("path", _bare())
 
 
 class Catalog:

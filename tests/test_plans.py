@@ -24,6 +24,12 @@ def test_ingest_and_sync(spark, tmp_path):
     assert catalog.load("verdicts", pipelines.VERDICTS).count() == catalog.load("metrics", pipelines.METRICS).count() == 4
     assert [r.error for r in catalog.load("errors", pipelines.ERRORS).collect()] == ["not decoded"]
 
+    library = catalog.load("libraries", pipelines.LIBRARIES).first()
+    assert library.models_run == pipelines.MODELS and library.models_pending == []
+    id_of = lambda n: images[n].id
+    catalog.save("members", spark.createDataFrame([(1, id_of("0.png"), True), (1, id_of("2.png"), False), (2, id_of("2.png"), True)], pipelines.MEMBERS))
+    catalog.save("bursts", spark.createDataFrame([(1,), (2,)], pipelines.BURSTS))
+
     os.rename(root / "1.png", root / "moved.png")
     os.remove(root / "2.png")
     (root / "new.png").write_bytes(png(rng.integers(0, 256, (40, 48, 3), dtype=np.uint8)))
@@ -32,6 +38,23 @@ def test_ingest_and_sync(spark, tmp_path):
     after = {os.path.basename(r.path): r.id for r in catalog.load("images", pipelines.IMAGES).collect()}
     assert sorted(after) == ["0.png", "3.png", "moved.png", "new.png"] and after["moved.png"] == images["1.png"].id
     assert {r.image_id for r in catalog.load("verdicts", pipelines.VERDICTS).collect()} == set(after.values())
+    assert [r.burst_id for r in catalog.load("bursts", pipelines.BURSTS).collect()] == [1] and catalog.load("members", pipelines.MEMBERS).count() == 1
+
+
+def test_sync_by_size_time_and_camera(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    root = tmp_path / "pics"
+    root.mkdir()
+    (root / "a.nef").write_bytes(b"first content")
+    catalog = Catalog(spark, str(tmp_path / "cat"))
+    catalog.save("libraries", spark.createDataFrame([(1, str(root), None, None)], pipelines.LIBRARIES))
+    row = {"id": 7, "path": f"{root}/old.nef", "size_bytes": 13, "content_hash": "v2:other", "capture_s": 100, "camera_model": "Z", "library_id": 1}
+    catalog.save("images", spark.createDataFrame([row], pipelines.IMAGES))
+    captured = spark.createDataFrame([(f"{root}/a.nef", 100, "Z")], "path string, capture_s long, camera_model string")
+    report = pipelines.sync_library(spark, catalog, str(root), captured=captured)
+    assert [(r.id, os.path.basename(r.path), r.status) for r in report.collect()] == [(7, "a.nef", "rehoused")]
+    assert catalog.load("images", pipelines.IMAGES).where(F.col("id") == 7).first().path == f"{root}/a.nef"
 
 
 def test_faces_run(spark):
