@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.functions import detections as D
 from lumenlake.functions import tokens as T
 from lumenlake.functions import values as V
 from lumenlake.operators import bursts, catalogue, decide, events, mutate, reconcile, vectors
@@ -84,6 +85,26 @@ def _(m):
     return m.select("image_id", V.focus_on_background("laplacian_var", "tenengrad").alias("behind"))
 
 
+@_add(
+    "fn_21_primary_subjects",
+    "images_fx",
+    ", b AS (SELECT id, k, k * 200 AS x, 100 AS y, 10 + id * k % 160 AS s FROM images_fx, (SELECT unnest(range(1, 4)) AS k) WHERE k <= id % 4),"
+    " sal AS (SELECT id, 0 AS x, 0 AS y, 300 + id % 5 * 100 AS w, 300 + id % 3 * 200 AS h FROM images_fx WHERE id % 3 <> 0), per AS (SELECT id, 100 AS x, 50 AS y, 400 AS w, 350 AS h FROM images_fx WHERE id % 7 < 3),"
+    " front AS (SELECT * FROM sal WHERE w * h <= 250000 UNION ALL SELECT * FROM per),"
+    " ins AS (SELECT DISTINCT b.id, k, s FROM b JOIN front f ON f.id = b.id WHERE greatest(0, least(b.x + s, f.x + f.w) - greatest(b.x, f.x)) * greatest(0, least(b.y + s, f.y + f.h) - greatest(b.y, f.y)) > 0.5e0 * s * s),"
+    " tall AS (SELECT id, max(s * s) AS t, (list(s * s ORDER BY s DESC)) AS areas FROM b GROUP BY id), own AS (SELECT id, list(s * s ORDER BY s DESC) AS areas FROM ins GROUP BY id), box AS (SELECT id, max(w * h) AS a FROM (SELECT id, w, h FROM sal UNION ALL SELECT id, w, h FROM per) GROUP BY id)"
+    " SELECT i.id, CASE WHEN t IS NULL THEN coalesce(CAST(a AS VARCHAR), '') WHEN own.areas IS NOT NULL THEN array_to_string(own.areas, ',') WHEN t < 500 OR len(list_filter(tall.areas, lambda z: z >= 0.55e0 * t)) >= 3 THEN '' ELSE array_to_string(list_filter(tall.areas, lambda z: z >= 0.55e0 * t), ',') END AS areas FROM images_fx i LEFT JOIN tall ON tall.id = i.id LEFT JOIN own ON own.id = i.id LEFT JOIN box ON box.id = i.id",
+)
+def _(i):
+    box = lambda x0, y0, x1, y1: f"named_struct('x0', {x0}, 'y0', {y0}, 'x1', {x1}, 'y1', {y1})"
+    side = "CAST(10 + id * k % 160 AS DOUBLE)"
+    faces = F.expr(f"transform(slice(sequence(1, 3), 1, CAST(id % 4 AS INT)), k -> named_struct('kind', 'face', 'x', CAST(k * 200 AS DOUBLE), 'y', 100D, 'w', {side}, 'h', {side}))")
+    salient = F.expr(f"CASE WHEN id % 3 <> 0 THEN {box('0L', '0L', '300 + id % 5 * 100', '300 + id % 3 * 200')} END")
+    persons = F.expr(f"CASE WHEN id % 7 < 3 THEN array({box('100L', '50L', '500L', '400L')}) ELSE array() END")
+    found = D.primary_subjects(faces, salient, persons, F.lit(1000), F.lit(1000))
+    return i.select("id", F.array_join(F.transform(found, lambda s: (s["w"] * s["h"]).cast("long").cast("string")), ",").alias("areas"))
+
+
 # ---- decisions, listings
 
 
