@@ -122,5 +122,6 @@ def test_whole_chain(spark, rows, tables, tmp_path):
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in p.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), stage(spark, docs, str(tmp_path)).schema)
+        out = stage(spark, docs, str(tmp_path))
+        docs = spark.createDataFrame(out.collect(), out.schema)
     assert Counter(tuple(r) for r in p.run(spark, str(tmp_path)).collect()) == Counter(tuple(r) for r in docs.collect())
