@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = getattr(spark.sparkContext, "_lumenlake_dir", None)
     if own is None:
-        own = spark.sparkContext._lumenlake_dir = f"file://{tempfile.mkdtemp(prefix='lumenlake-')}"
+        folder = tempfile.mkdtemp(prefix="lumenlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = spark.sparkContext._lumenlake_dir = f"file://{folder}"
     return own
 
 
