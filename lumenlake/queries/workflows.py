@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,54 @@ def _(i, m):
     return out.select("id", "path", "verdict", "stars", "sharp_score", "burst_id", "is_best", F.array_join(F.array_sort(F.transform("animals", lambda a: a["species"])), ",").alias("species"))
 
 
+#: name, the filter, and the same as SQL
+_EACH = (
+    ("verdict", {"verdict": "keeper"}, "verdict = 'keeper'"),
+    ("stars", {"stars_min": 4}, "stars >= 4"),
+    ("sharpness", {"sharpness_min": 0.5}, "sharp_score >= 0.5e0"),
+    ("aesthetic", {"aesthetic_min": 0.6}, "coalesce(aesthetic_score, 0) >= 0.6e0"),
+    ("eyes", {"reason_eyes": True}, "said LIKE '%eyes%'"),
+    ("exposure", {"reason_exposure": True}, "said LIKE '%exposed%'"),
+    ("tilt", {"reason_tilt": True}, "said LIKE '%tilt%'"),
+    ("cast", {"reason_cast": True}, "said LIKE '%cast%'"),
+    ("content", {"content_type": "photo"}, "coalesce(content_type, 'photo') = 'photo'"),
+    ("scene", {"scene": "beach"}, "scene = 'beach'"),
+    ("temperature", {"temperature": "warm"}, "temperature = 'warm'"),
+    ("saturation", {"saturation": "vivid"}, "saturation = 'vivid'"),
+    ("hue", {"cast_hue": "red"}, "cast_hue = 'red'"),
+    ("camera", {"camera": "EOS R5"}, "camera_model = 'EOS R5'"),
+    ("iso", {"iso": "high"}, "iso > 1600 AND iso <= 6400"),
+    ("iso_low", {"iso": "low"}, "coalesce(iso, 0) <= 200"),
+    ("aperture", {"aperture": "wide"}, "f_number > 0 AND f_number < 2.8e0"),
+    ("square", {"orientation": "square"}, "abs(width - height) <= 0.02e0 * greatest(width, height)"),
+    ("landscape", {"orientation": "landscape"}, "width IS NULL OR height IS NULL OR (width > height AND abs(width - height) > 0.02e0 * greatest(width, height))"),
+    ("from", {"date_from_s": 1704153600}, "capture_s >= 1704153600"),
+    ("to", {"date_to_s": 1704153600}, "capture_s <= 1704153600"),
+    ("path", {"path_contains": "IMG_2"}, "path ILIKE '%img_2%'"),
+    ("burst", {"burst_only": True}, "burst_id IS NOT NULL"),
+    ("best", {"burst_best": True}, "is_best"),
+)
+_WIDE = _SHEET + _MEM + ", w AS (SELECT j.*, m.sharp_score, m.aesthetic_score, m.content_type, m.scene, m.temperature, m.saturation, m.cast_hue, mem.burst_id, mem.is_best, lower(array_to_string(list_concat(reasons, warnings), '|')) AS said FROM j JOIN metrics_fx m ON m.image_id = j.id LEFT JOIN mem ON mem.image_id = j.id AND j.id % 5 <> 0)"
+
+
+def _wide(i: DataFrame, m: DataFrame) -> DataFrame:
+    return catalogue.list_images(i, _verdicts(m).drop("label"), m, _members(m).where("image_id % 5 <> 0"))
+
+
+@_add("q_3_each_filter", "images_fx metrics_fx", _WIDE + " " + " UNION ALL ".join(f"SELECT '{name}' AS name, id FROM w WHERE {sql}" for name, _, sql in _EACH))
+def _(i, m):
+    # every filter's own predicates side by side, over one pass
+    hit = lambda f: reduce(lambda a, b: a & b, catalogue.predicates(catalogue.Filters(**f)))
+    names = F.array_compact(F.array(*[F.when(hit(f), F.lit(name)) for name, f, _ in _EACH]))
+    return _wide(i, m).select(F.explode(names).alias("name"), "id")
+
+
+@_add("q_5_sort_keys", "images_fx metrics_fx", _WIDE + " SELECT w.id, CAST(coalesce(capture_s, 0) AS DOUBLE) AS taken, coalesce(aesthetic_score, 0e0) AS aesthetic, sharp_score AS sharpness, CAST(stars AS DOUBLE) AS stars, CAST(coalesce(iso, 0) AS DOUBLE) AS iso, CAST(coalesce(exposure_time, 0) AS DOUBLE) AS exposure, CAST(coalesce(f_number, 999) AS DOUBLE) AS aperture, CASE temperature WHEN 'cool' THEN 1 WHEN 'neutral' THEN 2 WHEN 'warm' THEN 3 ELSE 0 END AS temperature, split_part(path, '/', 5) AS filename FROM w")
+def _(i, m):
+    key = lambda k, n=None: catalogue.sort_key(k).alias(n or k)
+    return _wide(i, m).select("id", key("timestamp", "taken"), *map(key, ("aesthetic", "sharpness", "stars", "iso", "exposure", "aperture", "temperature", "filename")))
+
+
 @_add("q_4_scope", "images_fx metrics_fx", " SELECT id, path FROM images_fx WHERE library_id = 3 AND id IN (SELECT image_id FROM metrics_fx WHERE aesthetic_score > 0.5e0)")
 def _(i, m):
     return catalogue.scope(i, m.where("aesthetic_score > 0.5").select(F.col("image_id").alias("id")), 3).select("id", "path")
