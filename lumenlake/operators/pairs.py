@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.functions.values import hamming
+from lumenlake.shared import materialize
 
 
 def _masks(width: int, flips: int) -> list[int]:
@@ -22,12 +23,17 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _ways(radius: int) -> list[tuple[str, int]]:
+    """The half to search, and its radius."""
+    return [("hi", radius // 2), *([("lo", radius - radius // 2 - 1)] if radius else [])]
+
+
 def _close(values: DataFrame, width: int, radius: int, scope: list[str]) -> DataFrame:
     """scope, a, b: pairs of the distinct values v (both orders, and each with itself) that differ in radius bits at most.
 
-    One half of the bits differs in radius // 2 at most, so halves are paired first, and values met through them; halves of
-    16 bits, of which there are 65,536 however many the rows, are paired by flipping bits. A pair that both halves find is
-    taken from the upper one.
+    Either the upper halves differ in radius // 2 bits at most, or the lower ones in what is then left of the radius; so
+    halves are paired first, and values met through them, a pair by one way only. Halves of 16 bits, of which there are
+    65,536 however many the rows, are paired by flipping bits.
     """
     if width == 16:
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(16, radius)])
@@ -36,8 +42,8 @@ def _close(values: DataFrame, width: int, radius: int, scope: list[str]) -> Data
     half = width // 2
     split = values.select(*scope, "v", F.shiftright("v", half).alias("hi"), F.col("v").bitwiseAND((1 << half) - 1).alias("lo"))
     out = None
-    for part in ("hi", "lo"):
-        near = _close(split.select(*scope, F.col(part).alias("v")).distinct(), half, radius // 2, scope).withColumnsRenamed({"a": "p", "b": "q"})
+    for part, most in _ways(radius):
+        near = _close(split.select(*scope, F.col(part).alias("v")).distinct(), half, most, scope).withColumnsRenamed({"a": "p", "b": "q"})
         left = split.select(*scope, F.col("v").alias("a"), F.col("hi").alias("hi_a"), F.col(part).alias("p")).join(near, [*scope, "p"])
         met = left.join(split.select(*scope, F.col("v").alias("b"), F.col("hi").alias("hi_b"), F.col(part).alias("q")), [*scope, "q"])
         met = met.where(_apart("a", "b") <= radius)
@@ -52,10 +58,11 @@ def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, ha
         raise ValueError("bits must be 0 to 11; wider radii need more, narrower bands")
     scope = scope or []
     one = df.where(F.col(hash_col).isNotNull()).select(*[F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(s) for s in scope], F.lpad(F.lower(hash_col), 16, "0").alias("h")).distinct()
-    whole = one.select(*scope, "h", *[F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(c) for c, at in (("hi", 1), ("lo", 9))])
+    whole = materialize(one.select(*scope, "h", *[F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(c) for c, at in (("hi", 1), ("lo", 9))]), "hashes")
     out = None
-    for part in ("hi", "lo"):
-        near = _close(whole.select(*scope, F.col(part).alias("v")).distinct(), 32, bits // 2, scope).withColumnsRenamed({"a": "p", "b": "q"})
+    for part, most in _ways(bits):
+        halves = materialize(whole.select(*scope, F.col(part).alias("v")).distinct(), "halves")
+        near = materialize(_close(halves, 32, most, scope).withColumnsRenamed({"a": "p", "b": "q"}), "near-halves")
         side = lambda n, key, c: whole.select(*scope, F.col("h").alias(n), F.col("hi").alias(f"hi_{n}"), F.col("lo").alias(f"lo_{n}"), F.col(c).alias(key))
         met = side("a", "p", part).join(near, [*scope, "p"]).join(side("b", "q", part), [*scope, "q"]).where("a < b")
         met = met.where(_apart("hi_a", "hi_b") + _apart("lo_a", "lo_b") <= bits)
