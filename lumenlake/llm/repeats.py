@@ -4,8 +4,8 @@ Triggers cut all texts alike: places whose rolling hash of TRIGGER bytes is the
 window has one, so any repeated string meets its copies at a trigger. The dictionary holds, for each trigger string, its
 distinct surroundings (LENGTH bytes to the right, LENGTH - TRIGGER to the left, inside the document); the parse holds
 their places. Surroundings that occur twice are repeated throughout. The others of a trigger are compared by the hashes of
-all their LENGTH-byte windows, so each window's answer is exact. The windows of a trigger with more than GROUP different
-surroundings are counted by a shuffle instead, in work that grows with their number, so that no task holds a whole group.
+all their LENGTH-byte windows, so each window's answer is exact. A trigger with more than GROUP different surroundings is
+narrowed down by shuffles instead, in work that grows with their number, so that no task holds a whole group.
 
 Rows are known by 96 bits of their content.
 
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from lumenlake.llm.textblocks import SAME, U64, Block, blocks, mix
 from lumenlake.shared import materialize, release
 
-LENGTH, TRIGGER, GROUP = 400, 32, 4000
+LENGTH, TRIGGER, GROUP = 400, 32, 800
 #: surroundings, of whole triggers, that a task compares at once
 AT_ONCE = 4000
+RANGES = 8
 
 
 def _sliding_least(x: np.ndarray, w: np.ndarray | int) -> np.ndarray:
@@ -80,7 +81,7 @@ def occurrences(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -
 
 
 def _fetch(rows: DataFrame, some: DataFrame, length: int, trigger: int) -> DataFrame:
-    """some: row, at, hi, gram, lone. row, at, lo, gram, lone, bytes: the surroundings of every place."""
+    """some: row, at, hi, gram, lone, many. row, at, lo, gram, lone, many, bytes: the surroundings of every place."""
 
     def run(batches):
         for batch in batches:
@@ -91,11 +92,11 @@ def _fetch(rows: DataFrame, some: DataFrame, length: int, trigger: int) -> DataF
                     low = [max(w["at"] - (length - trigger), 0) for w in part]
                     cut = [data.slice(a, w["hi"] - a).to_pybytes() for a, w in zip(low, part, strict=True)]
                     of = lambda k, t: pa.array([w[k] for w in part], t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part))), of("at", pa.int32()), pa.array(low, pa.int32()), of("gram", pa.int64()), of("lone", pa.bool_()), pa.array(cut, pa.binary())], ["row", "at", "lo", "gram", "lone", "bytes"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part))), of("at", pa.int32()), pa.array(low, pa.int32()), of("gram", pa.int64()), of("lone", pa.bool_()), of("many", pa.bool_()), pa.array(cut, pa.binary())], ["row", "at", "lo", "gram", "lone", "many", "bytes"])
 
-    wanted = some.groupBy("row").agg(F.collect_list(F.struct("at", "hi", "gram", "lone")).alias("wanted"))  # a row's own triggers
+    wanted = some.groupBy("row").agg(F.collect_list(F.struct("at", "hi", "gram", "lone", "many")).alias("wanted"))  # a row's own triggers
     texts = rows.select("row", "text").dropDuplicates(["row"])
-    return texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(run, "row binary, at int, lo int, gram long, lone boolean, bytes binary")
+    return texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(run, "row binary, at int, lo int, gram long, lone boolean, many boolean, bytes binary")
 
 
 def _window_keys(group: np.ndarray, place: np.ndarray, column: pa.Array, length: int, trigger: int):
@@ -162,23 +163,86 @@ def _compare(found: DataFrame, length: int, trigger: int) -> DataFrame:
     return found.select("row", "at", "lo", "gram", "lone", "bytes").mapInArrow(run, "row binary, lo long, hi long")
 
 
-def _count(found: DataFrame, length: int, trigger: int) -> DataFrame:
-    """The same as _compare, by a shuffle of one row a window."""
+def _ranges(length: int, trigger: int) -> list[tuple[int, int]]:
+    """Windows before a trigger by the distance of their start, in RANGES stretches."""
+    n = length - trigger + 1
+    step = -(-n // RANGES)
+    return [(r, min(r + step, n)) for r in range(0, n, step)]
+
+
+def _cores_and_hulls(found: DataFrame, length: int, trigger: int) -> DataFrame:
+    """row, at, lone, r0, r1, core, hull for every range with a window inside the surroundings: keys of the bytes that all of
+    the range's windows share, and of all their bytes together (null if not all are inside)."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                t = pa.Table.from_batches([batch.slice(i, 500)])
+                at, lo = t.column("at").to_numpy().astype(np.int64), t.column("lo").to_numpy().astype(np.int64)
+                place = at - lo
+                b = next(blocks(t.column("bytes").combine_chunks(), 1 << 40))
+                prefix, trig, end = b.prefix(SAME), b.offs[:-1] + place, b.offs[1:]
+                salt = mix(t.column("gram").to_numpy().view(U64))
+                for r0, r1 in _ranges(length, trigger):
+                    ok = np.flatnonzero((place >= r0) & (trig - (r1 - 1) + length <= end))
+                    if not len(ok):
+                        continue
+                    core = mix(Block.span(prefix, trig[ok] - r0, trig[ok] - (r1 - 1) + length) ^ salt[ok] ^ U64(2 * r0 + 1))
+                    whole = (place[ok] >= r1 - 1) & (trig[ok] - r0 + length <= end[ok])
+                    low, high = np.where(whole, trig[ok] - (r1 - 1), 0), np.where(whole, trig[ok] - r0 + length, 0)
+                    hull = mix(Block.span(prefix, low, high) ^ salt[ok] ^ U64(2 * r0 + 2))
+                    n, take = len(ok), pa.array(ok)
+                    yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(take), pa.array(at[ok]), t.column("lone").combine_chunks().take(take), pa.array(np.full(n, r0)), pa.array(np.full(n, r1)), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64), mask=~whole)], ["row", "at", "lone", "r0", "r1", "core", "hull"])
+
+    return found.select("row", "at", "lo", "gram", "lone", "bytes").mapInArrow(run, "row binary, at long, lone boolean, r0 long, r1 long, core long, hull long")
+
+
+def _windows(asked: DataFrame, length: int, trigger: int) -> DataFrame:
+    """asked: row, at, lo, gram, bytes, wanted (array of r0, told). row, told, at, lo, key: every window of the ranges wanted."""
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 t = pa.Table.from_batches([batch.slice(i, 200)])
                 at, lo = t.column("at").to_numpy().astype(np.int64), t.column("lo").to_numpy().astype(np.int64)
+                told = np.full((len(at), RANGES), -1)
+                ranges = _ranges(length, trigger)
+                of = {r0: k for k, (r0, _) in enumerate(ranges)}
+                for j, wanted in enumerate(t.column("wanted").to_pylist()):
+                    for w in wanted:
+                        told[j, of[w["r0"]]] = max(told[j, of[w["r0"]]], w["told"])
+                step = ranges[0][1]
                 for d, ok, key in _window_keys(t.column("gram").to_numpy(), at - lo, t.column("bytes").combine_chunks(), length, trigger):
-                    take = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(take), t.column("lone").combine_chunks().take(take), pa.array(at[ok]), pa.array(at[ok] - d), pa.array(mix(key ^ U64(d)).view(np.int64))], ["row", "lone", "at", "lo", "key"])
-
-    windows = found.select("row", "at", "lo", "gram", "lone", "bytes").mapInArrow(run, "row binary, lone boolean, at long, lo long, key long")
+                    on = told[ok, d // step] >= 0
+                    ok, key = ok[on], key[on]
+                    if len(ok):
+                        yield pa.RecordBatch.from_arrays([t.column("row").combine_chunks().take(pa.array(ok)), pa.array(told[ok, d // step] > 0), pa.array(at[ok]), pa.array(at[ok] - d), pa.array(mix(key ^ U64(d)).view(np.int64))], ["row", "told", "at", "lo", "key"])
+
+    return asked.select("row", "at", "lo", "gram", "bytes", "wanted").mapInArrow(run, "row binary, told boolean, at long, lo long, key long")
+
+
+def _narrow(found: DataFrame, length: int, trigger: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The same as _compare, for triggers with many surroundings, by shuffles of a few keys a surrounding; and the tables that
+    it reads. Windows that two surroundings share lie in a range whose core they share, so other ranges are done with. A
+    range whose hull is shared is covered as a whole. Only what is left, ranges at the edges of shared text, is compared window
+    by window; surroundings of one shared hull are alike there, and one stands for all."""
+    ranges = materialize(_cores_and_hulls(found, length, trigger), "ranges")
+    shared = ranges.select(F.explode(F.array("core", "hull")).alias("key")).where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared.select("key"), "shared-ranges")
+    kept = ranges.join(shared.withColumnRenamed("key", "core"), "core")
+    kept = materialize(kept.join(shared.select(F.col("key").alias("hull"), F.lit(True).alias("whole")), "hull", "left").withColumn("whole", F.coalesce("whole", F.lit(False))), "kept-ranges")
+    spans = kept.where("lone and whole").select("row", (F.col("at") - F.col("r1") + 1).alias("lo"), (F.col("at") - F.col("r0") + length).alias("hi"))
+    edge = kept.where("not whole").select("core", "row", "at", "r0", F.col("lone").cast("int").alias("told"))
+    one = kept.where("whole").groupBy("hull").agg(F.min(F.struct("core", "row", "at", "r0")).alias("x")).select("x.*", F.lit(0).alias("told"))
+    asked = edge.unionByName(one).join(edge.where("told = 1").select("core").distinct(), "core")
+    wanted = asked.groupBy("row", "at").agg(F.collect_list(F.struct("r0", "told")).alias("wanted"))  # a few of one surrounding
+    windows = materialize(_windows(found.join(wanted, ["row", "at"]), length, trigger), "edge-windows")
     twice = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    hit = windows.where("lone").join(twice, "key")
+    hit = windows.where("told").join(twice, "key")
     run_of = F.col("lo") - F.row_number().over(Window.partitionBy("row", "at").orderBy("lo"))  # a trigger's windows
-    return hit.withColumn("run", run_of).groupBy("row", "at", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi")).select("row", "lo", "hi")
+    runs = hit.withColumn("run", run_of).groupBy("row", "at", "run").agg(F.min("lo").alias("lo"), (F.max("lo") + length).alias("hi"))
+    release(ranges, shared)
+    return spans.unionByName(runs.select("row", "lo", "hi")), [kept, windows]
 
 
 def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, group: int = GROUP) -> DataFrame:
@@ -189,16 +253,13 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     kinds = materialize(kinds.join(per, "gram"), "surroundings")
     twins = seen.join(kinds.where("n > 1").select("gram", "around"), ["gram", "around"])
     spans = twins.select("row", F.greatest(F.col("at") - (length - trigger), F.lit(0)).cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
-    some = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") == 1).alias("lone"), "kinds")
-    few = _fetch(rows, some.where(F.col("kinds") <= group), length, trigger)
-    spans = spans.unionByName(_compare(few.repartition("gram").sortWithinPartitions("gram"), length, trigger))
-    many = some.where(F.col("kinds") > group)
-    cut = None
-    if not many.isEmpty():
-        cut = materialize(_fetch(rows, many, length, trigger), "many-surroundings")
-        spans = spans.unionByName(_count(cut, length, trigger))
+    some = kinds.where("kinds > 1").select("one.*", "gram", (F.col("n") == 1).alias("lone"), (F.col("kinds") > group).alias("many"))
+    cut = materialize(_fetch(rows, some, length, trigger), "cut")
+    few = cut.where("not many").repartition("gram").sortWithinPartitions("gram")
+    more, held = _narrow(cut.where("many").withColumn("at", F.col("at").cast("long")), length, trigger)
+    spans = spans.unionByName(_compare(few, length, trigger)).unionByName(more)
     out = materialize(spans.where("hi > lo"), "spans")
-    release(seen, kinds, *([cut] if cut is not None else []))  # the final join takes room for the texts
+    release(seen, kinds, cut, *held)  # the final join takes room for the texts
     return out
 
 

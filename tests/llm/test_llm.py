@@ -375,7 +375,7 @@ def test_lm_base(docs, rows, empty):
     assert lm_score.score_texts(empty).count() == 0
 
 
-@pytest.mark.parametrize("group", [4000, 4])
+@pytest.mark.parametrize("group", [800, 4])
 def test_repeats(spark, empty, group):
     rnd = random.Random(8)
     shared = make(rnd, 130)
