@@ -161,14 +161,14 @@ def _(i, m):
     return catalogue.filter_images(joined, catalogue.Filters(stars_min=2, reason_blur=True, iso="mid", path_contains="IMG_1")).select("id")
 
 
-@_add("q_5_sort", "images_fx", " SELECT id, coalesce(f_number, 999) AS key FROM images_fx ORDER BY key DESC, id LIMIT 200")
+@_add("q_5_sort", "images_fx", " SELECT id, coalesce(f_number, 999) AS key FROM images_fx ORDER BY key DESC, id")
 def _(i):
-    return catalogue.sort_images(i, "aperture", True).limit(200).select("id", catalogue.sort_key("aperture").alias("key"))
+    return catalogue.sort_images(i, "aperture", True).select("id", catalogue.sort_key("aperture").alias("key"))
 
 
-@_add("q_5_sort_all", "images_fx", " SELECT id, coalesce(f_number, 999) AS key FROM images_fx ORDER BY key DESC, id")
+@_add("q_5_sort_all", "images_fx", " SELECT id, coalesce(f_number, 999) AS key FROM images_fx ORDER BY key, id")
 def _(i):
-    return catalogue.sort_images(i, "aperture", True).select("id", catalogue.sort_key("aperture").alias("key"))
+    return catalogue.sort_images(i, "aperture").select("id", catalogue.sort_key("aperture").alias("key"))
 
 
 @_add("q_6_histogram", "metrics_fx", ", g AS (SELECT least(29, CAST(floor(coalesce(aesthetic_score, 0) * 30) AS INTEGER)) AS bin, coalesce(aesthetic_score, 0) >= 0.5e0 AS p FROM metrics_fx) SELECT CAST(r.range AS INTEGER) AS bin, count(g.bin) AS n, count(*) FILTER (p) AS passing FROM range(30) r LEFT JOIN g ON g.bin = r.range GROUP BY ALL")

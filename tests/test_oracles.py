@@ -30,8 +30,9 @@ def test_oracle(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-def test_sort_gives_all_rows_in_order(spark):
+@pytest.mark.parametrize("name", ["q_5_sort", "q_5_sort_all"])
+def test_sort_gives_all_rows_in_order(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
-    got = [(r.id, r.key) for r in queries()["q_5_sort_all"](spark, SF).collect()]
-    assert got == con.sql(ORACLES["q_5_sort_all"]).fetchall() and len(got) == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    got = [(r.id, r.key) for r in queries()[name](spark, SF).collect()]
+    assert got == con.sql(ORACLES[name]).fetchall() and len(got) == con.sql("SELECT count(*) FROM events").fetchall()[0][0]
