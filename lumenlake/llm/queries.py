@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm.decontaminate import decontaminate
+from lumenlake.llm.fill_middle import fill_in_middle, restored
 from lumenlake.llm.lm_score import score_texts
 from lumenlake.llm.mixing import mix
 from lumenlake.llm.near_dup import near_duplicates
+from lumenlake.llm.ngram_join import ngram_join
 from lumenlake.llm.oracles import ORACLES
 from lumenlake.llm.quality import judge
+from lumenlake.llm.ranked_search import ranked
 from lumenlake.llm.repeats import remove_repeats
 from lumenlake.llm.secrets import find_secrets
 from lumenlake.llm.toxicity import toxicity
@@ -68,7 +71,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = (op1_minhash_near_dedup, op2_source_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op6_toxicity, op7_lm_scoring, op8_suffix_dedup, op9_url_filters, op10_warc)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    keep = ("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256")
+    return restored(made, keep).select(*keep, "restored_sha256")
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_minhash_near_dedup, op2_source_mixing, op3_benchmark_decontamination, op4_quality_rules, op5_secret_scans, op6_toxicity, op7_lm_scoring, op8_suffix_dedup, op9_url_filters, op10_warc, op11_fill_in_middle, op12_ranked_search, op13_ngram_join)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
