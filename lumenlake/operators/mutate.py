@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.shared import materialize
+
 
 def upsert(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Supplied non-null values win, new keys are added; the columns are base's."""
+    """Supplied columns of a known key are replaced, by null too; new keys are added, null where nothing is supplied. The columns
+    are base's. Keys of updates are distinct; rows of base with a null key stay, and null keys of updates are added."""
     given = [c for c in updates.columns if c != key and c in base.columns]
-    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in given])
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in given], F.lit(True).alias("_given"))
     joined = base.join(new, key, "full_outer")
-    return joined.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in given else F.col(c) for c in base.columns])
+    return joined.select(*[F.when(F.col("_given"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in base.columns])
+
+
+def patch(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Supplied values of known keys that are not null win; unknown keys are skipped. Keys of updates are distinct."""
+    given = [c for c in updates.columns if c != key and c in base.columns]
+    new = updates.select(key, *[F.col(c).alias(f"new_{c}") for c in given])
+    return base.join(new, key, "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in given else F.col(c) for c in base.columns])
 
 
 def with_new_ids(df: DataFrame, order: str, id_col: str = "id") -> DataFrame:
@@ -34,10 +44,9 @@ def save_verdicts(verdicts: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(verdicts, new.join(held, "image_id", "left_anti").withColumn("user_override", F.lit(False)), "image_id")
 
 
-def override_verdicts(verdicts: DataFrame, patch: DataFrame) -> DataFrame:
-    """patch: image_id and some of verdict, stars, label; marks the rows as set by hand; unknown ids are skipped."""
-    known = patch.join(verdicts, "image_id", "left_semi").withColumn("user_override", F.lit(True))
-    return upsert(verdicts, known, "image_id")
+def override_verdicts(verdicts: DataFrame, given: DataFrame) -> DataFrame:
+    """given: image_id and some of verdict, stars, label; marks the rows as set by hand; unknown ids are skipped."""
+    return patch(verdicts, given.withColumn("user_override", F.lit(True)), "image_id")
 
 
 def restore(verdicts: DataFrame, saved: DataFrame) -> DataFrame:
@@ -86,11 +95,27 @@ def archive_rejects(images: DataFrame, metrics: DataFrame, verdicts: DataFrame)
     return out, images.join(rows.select("id"), "id", "left_anti")
 
 
-def restore_archive(archive: DataFrame, images: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(images, verdicts) with the archived rows back, the override flag included."""
-    image = archive.select(F.from_json("image", images.schema).alias("x")).select("x.*")
-    verdict = archive.where("verdict is not null").select(F.from_json("verdict", verdicts.schema).alias("x")).select("x.*")
-    return images.unionByName(image.join(images, "path", "left_anti")), verdicts.join(verdict, "image_id", "left_anti").unionByName(verdict)
+def restore_archive(archive: DataFrame, images: DataFrame, metrics: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(images, metrics, verdicts) with the archived rows back, the override flag included. An image that is at an archived path
+    by now is replaced and keeps its id; an archived id that another path has by now gives way to a new one; metrics and
+    verdicts follow their image's id, and what the archive has none of stays. Of rows archived for one path the one with the
+    largest id counts."""
+    named = [c for c in archive.columns if c in ("image", "metrics", "verdict")]
+    last = archive.groupBy("original_path").agg(F.max(F.struct("image_id", *named)).alias("x")).select("x.*")
+    image = last.select(F.from_json("image", images.schema).alias("x")).select("x.*")
+    present = images.select("path", F.col("id").alias("_present"))
+    taken = images.select("id", F.lit(True).alias("_taken"))
+    own = F.coalesce("_present", F.when(F.col("_taken").isNull(), F.col("id")))
+    back = image.join(present, "path", "left").join(taken, "id", "left").withColumn("id", own).select(*images.columns)
+    after = materialize(with_new_ids(images.join(back, "path", "left_anti").unionByName(back), "path").select(*images.columns), "restored-images")
+    ids = last.select(F.col("image_id").alias("_old"), F.from_json("image", images.schema)["path"].alias("path"), *[c for c in named if c != "image"]).join(after.select("path", "id"), "path")
+
+    def children(table: DataFrame, name: str) -> DataFrame:
+        rows = ids.where(F.col(name).isNotNull()).select("id", F.from_json(name, table.schema).alias("x"))
+        rows = rows.select(*[F.col("id").cast(k).alias(c) if c == "image_id" else F.col(f"x.{c}").alias(c) for c, k in table.dtypes])
+        return table.join(rows, "image_id", "left_anti").select(*table.columns).unionByName(rows)
+
+    return after, children(metrics, "metrics"), children(verdicts, "verdict")
 
 
 def backfill_libraries(images: DataFrame, libraries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -312,10 +312,19 @@ def _(i):
     return reconcile.organize_plan(i, "/out", ["date:YYYY/MM", "camera:make"])
 
 
-@_add("mut_1_upsert", "images_fx", " SELECT id, path, CASE WHEN id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes FROM images_fx")
+@_add(
+    "mut_1_upsert",
+    "images_fx",
+    """, base AS (SELECT id, path, size_bytes, lens_model FROM images_fx WHERE id % 3 <> 0), top AS (SELECT max(id) AS m FROM base),
+fresh AS (SELECT path, row_number() OVER (ORDER BY path) AS n FROM images_fx WHERE id % 21 = 0)
+SELECT id, path, CASE WHEN id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes, CASE WHEN id % 7 = 0 THEN NULL ELSE lens_model END AS lens_model FROM base
+UNION ALL SELECT m + n, f.path, size_bytes + 1, NULL FROM fresh f JOIN images_fx i ON i.path = f.path, top""",
+)
 def _(i):
-    base = i.select("id", "path", "size_bytes")
-    return mutate.upsert(base, base.where("id % 7 = 0").select("path", (F.col("size_bytes") + 1).alias("size_bytes")), "path")
+    """Images by path: known ones keep their id and lose the lens that is null by now, new ones get the next ids."""
+    i = i.select("id", "path", "size_bytes", "lens_model")
+    new = i.where("id % 7 = 0").select("path", (F.col("size_bytes") + 1).alias("size_bytes"), F.lit(None).cast("string").alias("lens_model"))
+    return mutate.upsert_images(i.where("id % 3 <> 0"), new)
 
 
 @_add("mut_8_archive", "images_fx metrics_fx", _DECIDED + " SELECT path AS original_path, id AS image_id FROM images_fx JOIN verdicts_fx ON image_id = id WHERE verdict = 'reject' AND path NOT LIKE '%.photoslibrary%'")

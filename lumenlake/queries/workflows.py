@@ -416,12 +416,21 @@ def _(m):
     return mutate.restore(changed, before.where("image_id % 10 = 3"))
 
 
-@_add("mut_5_upsert_metrics", "metrics_fx", ", top AS (SELECT max(image_id) AS m FROM metrics_fx) SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 0.25e0 ELSE sharp_score END AS sharp_score, scene FROM metrics_fx UNION ALL SELECT image_id + m + 1, 0.25e0, NULL FROM metrics_fx, top WHERE image_id % 5 = 0")
+@_add(
+    "mut_5_upsert_metrics",
+    "metrics_fx",
+    """, top AS (SELECT max(image_id) AS m FROM metrics_fx)
+SELECT image_id, CASE WHEN image_id % 5 = 0 THEN 0.25e0 ELSE sharp_score END AS sharp_score, CASE WHEN image_id % 5 = 0 THEN NULL ELSE cast_hue END AS cast_hue,
+  CASE WHEN image_id % 5 <> 0 THEN blur_angle_deg WHEN image_id % 10 = 0 THEN 45e0 END AS blur_angle_deg, scene FROM metrics_fx
+UNION ALL SELECT image_id + m + 1, 0.25e0, NULL, CASE WHEN (image_id + m + 1) % 10 = 0 THEN 45e0 END, NULL FROM metrics_fx, top WHERE image_id % 5 = 0""",
+)
 def _(m):
+    """Measured again: colour cast and blur angle that are null by now replace old ones; the scene is not supplied and stays."""
     top = m.agg((F.max("image_id") + 1).alias("m"))
     some = m.where("image_id % 5 = 0").select("image_id")
-    new = some.union(some.crossJoin(F.broadcast(top)).select(F.col("image_id") + F.col("m"))).withColumn("sharp_score", F.lit(0.25))  # top is one row
-    return mutate.upsert(m.select("image_id", "sharp_score", "scene"), new, "image_id")
+    new = some.union(some.crossJoin(F.broadcast(top)).select(F.col("image_id") + F.col("m")))  # top is one row
+    new = new.select("image_id", F.lit(0.25).alias("sharp_score"), F.lit(None).cast("string").alias("cast_hue"), F.expr("CASE WHEN image_id % 10 = 0 THEN 45d END").alias("blur_angle_deg"))
+    return mutate.upsert(m.select("image_id", "sharp_score", "cast_hue", "blur_angle_deg", "scene"), new, "image_id")
 
 
 _LIBS = ", lib AS (SELECT DISTINCT CAST(library_id AS BIGINT) AS id FROM images_fx WHERE library_id % 2 = 1)"
@@ -454,13 +463,25 @@ def _(i, m):
     return saved.select("image_id", at("image", "path"), at("image", "size_bytes").cast("long"), at("metrics", "scene"), at("verdict", "stars").cast("int"))
 
 
-@_add("mut_9_restore_archive", "images_fx metrics_fx", _DECIDED + " SELECT id, path, library_id, capture_s, verdict, stars, user_override FROM images_fx JOIN verdicts_fx ON image_id = id")
+@_add(
+    "mut_9_restore_archive",
+    "images_fx metrics_fx",
+    _DECIDED
+    + """, j AS (SELECT id, i.path, library_id, capture_s, iso, verdict, stars, user_override, v.reasons, sharp_score, cast_hue FROM images_fx i JOIN verdicts_fx v ON v.image_id = id JOIN metrics_fx m ON m.image_id = id)
+SELECT CASE WHEN verdict = 'reject' AND id % 2 = 0 THEN id + 1000000 ELSE id END AS id, path, library_id, capture_s, iso, verdict, stars, user_override, reasons, sharp_score, cast_hue FROM j""",
+)
 def _(i, m):
+    """Rejects go into the archive, half of their paths are scanned again under new ids and measured otherwise, and all come back."""
     v = materialize(_verdicts(m), "verdicts")
     saved, rest = mutate.archive_rejects(i, m, v)
     saved = materialize(saved, "archive")
-    images, verdicts = mutate.restore_archive(saved, rest, v.where("verdict <> 'reject'"))
-    return images.join(verdicts.withColumnRenamed("image_id", "id"), "id").select("id", "path", "library_id", "capture_s", "verdict", "stars", "user_override")
+    kept = v.where("verdict <> 'reject'")
+    known = lambda df: df.join(kept.select("image_id"), "image_id", "left_semi")
+    again = i.join(saved.select(F.col("image_id").alias("id")), "id", "left_semi").where("id % 2 = 0").withColumns({"id": F.col("id") + 1_000_000, "iso": F.lit(77), "capture_s": F.lit(None).cast("long")})
+    wrong = m.limit(0).unionByName(again.select(F.col("id").alias("image_id"), F.lit(0.5).alias("sharp_score"), F.lit("grey").alias("cast_hue")), allowMissingColumns=True)
+    images, metrics, verdicts = mutate.restore_archive(saved, rest.unionByName(again), known(m).unionByName(wrong), kept)
+    j = images.join(verdicts.withColumnRenamed("image_id", "id"), "id").join(metrics.withColumnRenamed("image_id", "id"), "id")
+    return j.select("id", "path", "library_id", "capture_s", "iso", "verdict", "stars", "user_override", "reasons", "sharp_score", "cast_hue")
 
 
 @_add("mut_10_backfill", "images_fx", f", lib AS (SELECT DISTINCT CAST(library_id AS BIGINT) AS id, concat('/lib', library_id) AS root_path FROM images_fx WHERE library_id IS NOT NULL), made AS (SELECT (SELECT max(id) FROM lib) + row_number() OVER (ORDER BY root_path) AS id, root_path FROM (SELECT DISTINCT {_FOLDER} AS root_path FROM images_fx WHERE library_id IS NULL)) SELECT i.id, coalesce(CAST(i.library_id AS BIGINT), m.id) AS library_id FROM images_fx i LEFT JOIN made m ON m.root_path = {_FOLDER.replace('path', 'i.path', 1)}")

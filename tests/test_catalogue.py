@@ -139,3 +139,26 @@ def test_reconcile_copies_of_one_content(spark):
     got = {r.id: (r.path, r.status) for r in reconcile.reconcile(spark.createDataFrame(new, names), spark.createDataFrame(old, "id long, " + names)).collect()}
     moved = {0: "a0", 1: "a1", 2: "a2", 3: "b0", 4: "b1", 6: "c0", 7: "c1"}
     assert got == {i: (f"/new/{p}", "rehoused") for i, p in moved.items()} | {5: ("/old/b5", "removed"), 8: ("/old/None8", "removed")}
+
+
+def test_upsert_replaces_by_null_and_patch_does_not(spark):
+    base = spark.createDataFrame([(1, "red", 30.0, "a"), (2, "blue", 10.0, "b")], "image_id long, cast_hue string, blur double, scene string")
+    new = spark.createDataFrame([(1, None, None), (3, "green", 5.0)], "image_id long, cast_hue string, blur double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(mutate.upsert(base, new, "image_id")) == [(1, None, None, "a"), (2, "blue", 10.0, "b"), (3, "green", 5.0, None)]
+    assert rows(mutate.patch(base, new, "image_id")) == [(1, "red", 30.0, "a"), (2, "blue", 10.0, "b")]
+
+
+def test_restore_replaces_present_paths_and_gives_way_to_taken_ids(spark):
+    image, metric, verdict = "id long, path string, iso int", "image_id long, sharp double, hue string", "image_id long, verdict string, user_override boolean"
+    images = spark.createDataFrame([(1, "/a", 100), (2, "/b", 200), (3, "/c", 300)], image)
+    metrics = spark.createDataFrame([(1, 0.1, None), (2, 0.2, "red"), (3, 0.3, "blue")], metric)
+    verdicts = spark.createDataFrame([(1, "reject", True), (2, "reject", False), (3, "reject", False)], verdict)
+    archive, rest = mutate.archive_rejects(images, metrics, verdicts)
+    assert rest.isEmpty()
+    now = spark.createDataFrame([(7, "/a", 1), (2, "/other", 2)], image)  # /a was scanned again, the id of /b is another's
+    i, m, v = mutate.restore_archive(archive, now, spark.createDataFrame([(7, 0.9, "green"), (2, 0.8, None)], metric), spark.createDataFrame([(7, "keeper", False), (2, "keeper", False)], verdict))
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(i) == [(2, "/other", 2), (3, "/c", 300), (7, "/a", 100), (8, "/b", 200)]
+    assert got(m) == [(2, 0.8, None), (3, 0.3, "blue"), (7, 0.1, None), (8, 0.2, "red")]
+    assert got(v) == [(2, "keeper", False), (3, "reject", False), (7, "reject", True), (8, "reject", False)]

@@ -149,6 +149,26 @@ def test_live_ingest(spark, tmp_path):
     assert len(after) == 40 and all(after[i] == "reject" for i in range(5)) and all(after[i] == before[i] for i in range(5, 40))
 
 
+def test_live_ingest_measured_again_as_null(spark, tmp_path):
+    """A colour cast and a blur angle that a later measure does not find are gone from metrics and from the verdict's texts."""
+    from lumenlake.sources.fixtures import METRICS, SPARK
+
+    rows = spark.range(1).withColumnRenamed("id", "event_id").selectExpr(*[f"{e.format(**SPARK)} AS {c}" for c, e in METRICS.items()])
+    bad = {"sharp_score": 0.1, "subject_sharp_score": 0.1, "fft_anisotropy": 0.9, "blur_angle_deg": 30.0, "cast_hue": "red", "cast_strength": 0.5, "mtime": 1.0}
+    first = rows.withColumns({c: F.lit(v) for c, v in bad.items()})
+    catalog = files.Catalog(spark, str(tmp_path / "cat"))
+
+    def run(df):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        live.ingest(spark.readStream.schema(first.schema).parquet(str(tmp_path / "in")), catalog, str(tmp_path / "cp")).awaitTermination()
+        return catalog.load("metrics").first(), catalog.load("verdicts").first()
+
+    m, v = run(first)
+    assert (m.cast_hue, m.blur_angle_deg) == ("red", 30.0) and v.reasons[0] == "motion blur (~30°)" and "red colour cast" in v.warnings
+    m, v = run(first.withColumns({"cast_hue": F.lit(None).cast("string"), "blur_angle_deg": F.lit(None).cast("double"), "mtime": F.lit(2.0)}))
+    assert (m.cast_hue, m.blur_angle_deg) == (None, None) and v.reasons[0] == "motion blur" and not any("cast" in w for w in v.warnings)
+
+
 def test_live_events(spark, tmp_path):
     day = dt.datetime(2024, 1, 1)
     times = [("u", day), ("u", day + dt.timedelta(hours=6)), ("u", day + dt.timedelta(hours=12, seconds=1)), ("v", day), ("w", day + dt.timedelta(days=9))]
