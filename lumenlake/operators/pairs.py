@@ -1,74 +1,27 @@
 """Near pairs of 64-bit hashes and of capture times, as equi-joins.
 
 Rows with equal hashes are one node; the pairs are between distinct hashes, with rows attached later, so a hot hash never
-meets itself.
+meets itself. The search itself is that of `hamming`.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.functions.values import hamming
-from lumenlake.shared import materialize
-
-
-def _masks(width: int, flips: int) -> list[int]:
-    return [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(width), n)]
-
-
-def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-
-
-def _ways(radius: int) -> list[tuple[str, int]]:
-    """The half to search, and its radius."""
-    return [("hi", radius // 2), *([("lo", radius - radius // 2 - 1)] if radius else [])]
-
-
-def _close(values: DataFrame, width: int, radius: int, scope: list[str]) -> DataFrame:
-    """scope, a, b: pairs of the distinct values v (both orders, and each with itself) that differ in radius bits at most.
-
-    Either the upper halves differ in radius // 2 bits at most, or the lower ones in what is then left of the radius; so
-    halves are paired first, and values met through them, a pair by one way only. Halves of 16 bits, of which there are
-    65,536 however many the rows, are paired by flipping bits.
-    """
-    if width == 16:
-        masks = F.array(*[F.lit(m).cast("long") for m in _masks(16, radius)])
-        probes = values.select(*scope, F.col("v").alias("a"), F.explode(F.transform(masks, lambda m: F.col("v").bitwiseXOR(m))).alias("b"))
-        return probes.join(values.select(*scope, F.col("v").alias("b")), [*scope, "b"]).select(*scope, "a", "b")
-    half = width // 2
-    split = values.select(*scope, "v", F.shiftright("v", half).alias("hi"), F.col("v").bitwiseAND((1 << half) - 1).alias("lo"))
-    out = None
-    for part, most in _ways(radius):
-        near = _close(split.select(*scope, F.col(part).alias("v")).distinct(), half, most, scope).withColumnsRenamed({"a": "p", "b": "q"})
-        left = split.select(*scope, F.col("v").alias("a"), F.col("hi").alias("hi_a"), F.col(part).alias("p")).join(near, [*scope, "p"])
-        met = left.join(split.select(*scope, F.col("v").alias("b"), F.col("hi").alias("hi_b"), F.col(part).alias("q")), [*scope, "q"])
-        met = met.where(_apart("a", "b") <= radius)
-        met = (met if part == "hi" else met.where(_apart("hi_a", "hi_b") > radius // 2)).select(*scope, "a", "b")
-        out = met if out is None else out.unionByName(met)
-    return out
+from lumenlake.operators.hamming import hash_text, hash_value, near_values
 
 
 def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, hash_col: str = "phash") -> DataFrame:
-    """Distinct scope columns (null-safe), a < b: pairs of different hashes within bits of one another."""
-    if not 0 <= bits <= 11:
-        raise ValueError("bits must be 0 to 11; wider radii need more, narrower bands")
+    """Distinct scope columns (as text, null-safe), a < b: pairs of different hashes within bits of one another."""
     scope = scope or []
-    one = df.where(F.col(hash_col).isNotNull()).select(*[F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(s) for s in scope], F.lpad(F.lower(hash_col), 16, "0").alias("h")).distinct()
-    whole = materialize(one.select(*scope, "h", *[F.conv(F.substring("h", at, 8), 16, 10).cast("long").alias(c) for c, at in (("hi", 1), ("lo", 9))]), "hashes")
-    out = None
-    for part, most in _ways(bits):
-        halves = materialize(whole.select(*scope, F.col(part).alias("v")).distinct(), "halves")
-        near = materialize(_close(halves, 32, most, scope).withColumnsRenamed({"a": "p", "b": "q"}), "near-halves")
-        side = lambda n, key, c: whole.select(*scope, F.col("h").alias(n), F.col("hi").alias(f"hi_{n}"), F.col("lo").alias(f"lo_{n}"), F.col(c).alias(key))
-        met = side("a", "p", part).join(near, [*scope, "p"]).join(side("b", "q", part), [*scope, "q"]).where("a < b")
-        met = met.where(_apart("hi_a", "hi_b") + _apart("lo_a", "lo_b") <= bits)
-        met = (met if part == "hi" else met.where(_apart("hi_a", "hi_b") > bits // 2)).select(*scope, "a", "b")
-        out = met if out is None else out.unionByName(met)
-    return out
+    named = [F.coalesce(F.col(s).cast("string"), F.lit("\0")).alias(s) for s in scope]
+    key = F.xxhash64(*scope) if scope else F.lit(0).cast("long")
+    rows = df.where(F.col(hash_col).isNotNull()).select(*named, hash_value(hash_col).alias("h")).withColumn("scope", key)
+    met = near_values(rows.select("scope", "h").distinct(), bits)
+    if scope:
+        met = met.join(rows.select("scope", *scope).distinct(), "scope")
+    return met.select(*scope, hash_text("a").alias("a"), hash_text("b").alias("b"))
 
 
 def duplicate_links(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
@@ -86,31 +39,37 @@ def hash_classes(df: DataFrame, id_col: str = "id", hash_col: str = "phash") ->
     return rows.join(rows.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "h").select("id", "head", "copies")
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
 def pair_list(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
     """a < b, bits: heads of different hash classes within bits of one another; hash_classes names each head's copies."""
     rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.lpad(F.lower(hash_col), 16, "0").alias("h"))
     head = rows.groupBy("h").agg(F.min("id").alias("head"))
-    near = hash_pairs(df, bits, hash_col=hash_col).withColumn("bits", hamming("a", "b")).join(head.toDF("a", "x"), "a").join(head.toDF("b", "y"), "b")
+    near = hash_pairs(df, bits, hash_col=hash_col).withColumn("bits", _apart(hash_value("a"), hash_value("b"))).join(head.toDF("a", "x"), "a").join(head.toDF("b", "y"), "b")
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bits")
 
 
 def burst_pairs(df: DataFrame, seconds: int = 3, bits: int = 10) -> DataFrame:
-    """src, dst: rows of one library (null only with null) whose hashes are within bits and whose times, whole seconds in
-    capture_s, are within seconds of one another, or both missing.
+    """src, dst: links whose components are those of all pairs of one library (null only with null) whose hashes are within
+    bits and whose times, whole seconds in capture_s, are within seconds of one another, or both missing.
 
-    Times are cut into buckets of the limit's width and met in the neighbouring one. Rows with one library, time and hash
-    are one node, so a bucket holds distinct hashes of a few seconds.
+    Rows with one library, time and hash are one node. Times are cut into spans of the limit's width, and the hashes of a
+    library in two spans that follow one another are a scope, as are those without a time: in a scope the search for near
+    hashes goes by its size, so a moment of very many pictures costs little more than a library of as many.
     """
-    rows = df.where("phash is not null").select("id", F.coalesce(F.col("library_id").cast("string"), F.lit("\0")).alias("lib"), "capture_s", F.lpad(F.lower("phash"), 16, "0").alias("h"))
+    rows = df.where("phash is not null").select("id", F.coalesce(F.col("library_id").cast("string"), F.lit("\0")).alias("lib"), "capture_s", hash_value("phash").alias("h"))
     key = ["lib", "capture_s", "h"]
     head = rows.groupBy(*key).agg(F.min("id").alias("head"))
-    same = lambda x, y: x.eqNullSafe(y)
     r, d = rows.alias("r"), head.alias("d")
-    stars = r.join(d, (F.col("r.lib") == F.col("d.lib")) & same(F.col("r.capture_s"), F.col("d.capture_s")) & (F.col("r.h") == F.col("d.h"))).select(F.col("d.head").alias("src"), F.col("r.id").alias("dst"))
-    timed = head.where("capture_s is not null").withColumn("bucket", F.floor(F.col("capture_s") / max(seconds, 1)))
-    left = timed.withColumn("bucket", F.explode(F.array("bucket", F.col("bucket") + 1)))
-    x, y = left.toDF("lib", "t1", "h1", "src", "bucket"), timed.toDF("lib", "t2", "h2", "dst", "bucket")
-    near = x.join(y, ["lib", "bucket"]).where((F.col("src") != F.col("dst")) & (F.abs(F.col("t1") - F.col("t2")) <= seconds)).where(hamming("h1", "h2") <= bits).select("src", "dst")
-    loose = head.where("capture_s is null")
-    untimed = hash_pairs(loose.select("lib", "h"), bits, ["lib"], "h").join(loose.select("lib", F.col("h").alias("a"), F.col("head").alias("src")), ["lib", "a"]).join(loose.select("lib", F.col("h").alias("b"), F.col("head").alias("dst")), ["lib", "b"]).select("src", "dst")
-    return stars.where("src <> dst").unionByName(near).unionByName(untimed)
+    stars = r.join(d, (F.col("r.lib") == F.col("d.lib")) & F.col("r.capture_s").eqNullSafe(F.col("d.capture_s")) & (F.col("r.h") == F.col("d.h"))).select(F.col("d.head").alias("src"), F.col("r.id").alias("dst"))
+    span = F.floor(F.col("capture_s") / max(seconds, 1))
+    spans = F.when(F.col("capture_s").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(span, span - 1))
+    nodes = head.withColumn("span", F.explode(spans)).withColumn("scope", F.xxhash64("lib", F.col("span").isNull(), "span")).select("scope", "h", F.col("capture_s").alias("t"), "head")
+    close = F.coalesce(F.abs(F.col("t1") - F.col("t2")) <= seconds, F.lit(True))  # without times there is one node a hash
+    one, two = nodes.toDF("scope", "a", "t1", "src"), nodes.toDF("scope", "b", "t2", "dst")
+    near = near_values(nodes.select("scope", "h").distinct(), bits).join(one, ["scope", "a"]).join(two, ["scope", "b"]).where(close).select("src", "dst")
+    # one hash at several times of a scope, of which there are few
+    again = one.join(two.withColumnRenamed("b", "a"), ["scope", "a"]).where((F.col("t1") < F.col("t2")) & close).select("src", "dst")
+    return stars.where("src <> dst").unionByName(near).unionByName(again).distinct()
