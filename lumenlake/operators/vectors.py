@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -12,84 +13,89 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.values import cosine
 from lumenlake.graph import components
+from lumenlake.operators import cells as C
 from lumenlake.operators.bursts import numbered
 from lumenlake.shared import materialize, release
 
-#: rows of a block, and of it that are multiplied at once
-BLOCK, TILE = 20_000, 1000
-
-
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id") -> DataFrame:
     """id, score (rounded to 4): the k rows nearest to one vector; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select(id_col, F.round(cosine("embedding", q), 4).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.stack(rows.to_numpy()).astype(np.float64)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-
-
-def _products(left: DataFrame, right: DataFrame, found: Callable, schema: str, block: int, once: bool = False) -> DataFrame:
-    """found(left ids, right ids, cosines) of every pair of blocks of two tables of id, embedding; once: the tables are the
-    same, and each pair of blocks is met once. Both sides are dealt to blocks of about block rows; a row goes to as many
-    tasks as the other side has blocks, and cosines are made TILE rows at a time."""
-    count = lambda df: 1 + df.count() // block
-    n = count(left)
-    m = n if once else count(right)
-    dealt = lambda df, c, of: df.where("embedding is not null").select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(of)).cast("int").alias(c))
-    rows = dealt(left, "i", n).withColumn("j", F.explode(F.sequence(F.col("i") if once else F.lit(0), F.lit(m - 1))))
-    columns = dealt(right, "j", m).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if once else F.lit(n - 1))))
-    columns = columns.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("id").alias("other"), F.col("embedding").alias("vector"))
-
-    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(x) and len(y):
-            b, own = _unit(y["vector"]), y["other"].to_numpy()
-            for at in range(0, len(x), TILE):
-                part = x.iloc[at : at + TILE]
-                parts.append(found(part["id"].to_numpy(), own, _unit(part["embedding"]) @ b.T))
-        return pd.concat(parts) if parts else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    return rows.groupBy("i", "j").cogroup(columns.groupBy("i2", "j2")).applyInPandas(run, schema)
-
-
-def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """queries: query_id, embedding. query_id, id, score, rank: every query against all rows, block by block of both; each
-    pair of blocks keeps its k best for a query before the shuffle. Ties (nine digits) by id."""
-
-    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        s, n = np.round(s, 9), min(k, s.shape[1])
-        least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-        i, j = np.nonzero(s >= least[:, None])
-        order = np.lexsort((own[j], -s[i, j], i))
-        i, j = i[order], j[order]
-        first = np.searchsorted(i, np.arange(len(ids)))
-        best = np.arange(len(i)) - first[i] < n
-        return pd.DataFrame({"query_id": ids[i[best]], "id": own[j[best]], "score": s[i[best], j[best]]})
-
-    got = _products(queries.select(F.col("query_id").alias("id"), "embedding"), vectors.select("id", "embedding"), found, "query_id long, id long, score double", block)
+def _best(ids: np.ndarray, own: np.ndarray, s: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of every row of s (nine digits; ties by id): only scores near the kth are rounded and sorted."""
+    n = min(k, s.shape[1])
+    least = -np.partition(-s, n - 1, axis=1)[:, n - 1] - 2e-9
+    i, j = np.nonzero(s >= least[:, None])
+    score = np.round(s[i, j], 9)
+    order = np.lexsort((own[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    best = np.arange(len(i)) - np.searchsorted(i, i) < n
+    return pd.DataFrame({"query_id": ids[i[best]], "id": own[j[best]], "score": score[best]})
+
+
+def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
+    """queries: query_id, embedding. query_id, id, score, rank: the k nearest of all rows to every query. Ties (nine digits) by id.
+
+    A query first meets the nearest cells that hold k rows together; its kth score there bounds the answer, and of the other
+    cells it meets those whose bound reaches that. Blocks keep their k best for a query before the shuffle."""
+    to = C.cells(vectors.select("id", "embedding"), cell_rows)
+    asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding")
+    sizes, radius = to.sizes, to.radius
+
+    def nearest(a: np.ndarray) -> np.ndarray:
+        order = np.argsort(np.where(sizes > 0, a, np.inf), axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        out = np.zeros(a.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out
+
+    found = lambda x, m, own, b: _best(x["id"].to_numpy(), own, m @ b.T, k)
+    schema = "query_id long, id long, score double"
+    first = materialize(C.products(C.dealt(asked, to, lambda a, other: nearest(a)), to, found, schema, block), "nearest-cells")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return got.withColumn("rank", rank).where(F.col("rank") <= k)
+    kth = first.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.acos(F.greatest(F.least(F.col("score") - 1e-9, F.lit(1.0)), F.lit(-1.0))) + C.SLACK).alias("most"))
+    bound = asked.join(kth, "id", "left").withColumn("most", F.coalesce("most", F.lit(7.0)))
 
+    def others(a: np.ndarray, other: dict[str, np.ndarray]) -> np.ndarray:
+        return ~nearest(a) & (a - radius[None] <= other["most"][:, None])
 
-def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", block: int = BLOCK) -> DataFrame:
-    """src < dst, with a cosine of the threshold or more: exact, by products of blocks. The work is that of all pairs, since a
-    low threshold leaves no filter that loses nothing; rows shuffled are rows**2 / block."""
-    rows = vectors.select(F.col(id_col).alias("id"), "embedding")
+    second = C.products(C.dealt(bound, to, others), to, found, schema, block)
+    return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k)
 
-    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        i, j = np.nonzero(s >= threshold)
-        a, b = ids[i], own[j]
+
+def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
+    """src < dst, with a cosine of the threshold or more, by products of the cells that may hold such pairs."""
+    to = C.cells(vectors.select(F.col(id_col).alias("id"), "embedding"), cell_rows)
+
+    def found(x: pd.DataFrame, m: np.ndarray, own: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        i, j = np.nonzero(m @ b.T >= threshold)
+        a, b = x["id"].to_numpy()[i], own[j]
         return pd.DataFrame({"src": np.minimum(a, b), "dst": np.maximum(a, b)})[a != b].drop_duplicates()
 
-    return _products(rows, rows, found, "src long, dst long", block, once=True)
+    return C.products(C.within(to, threshold), to, found, "src long, dst long", block).distinct()
+
 
+def cluster(faces: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
+    """id, cluster_id: components of the threshold graph, numbered by their least member; lone faces are clusters. Of each
+    pair of blocks a spanning forest is kept, fewer links than it has rows, not every pair."""
+    to = C.cells(faces.select("id", "embedding"), cell_rows)
 
-def cluster(faces: DataFrame, threshold: float) -> DataFrame:
-    """id, cluster_id: components of the threshold graph, numbered by their least member; lone faces are clusters."""
-    with_selves = cosine_pairs(faces, threshold).unionByName(faces.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    def found(x: pd.DataFrame, m: np.ndarray, own: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        ids = np.concatenate([x["id"].to_numpy(), own])
+        labels = np.arange(len(ids))
+        for at in range(0, len(m), 64):
+            i, j = np.nonzero(m[at : at + 64] @ b.T >= threshold)
+            labels = C.joined_labels(labels, i + at, j + len(m))
+        some = np.flatnonzero(labels != np.arange(len(ids)))
+        out = pd.DataFrame({"src": ids[labels[some]], "dst": ids[some]})
+        return out[out["src"] != out["dst"]]
+
+    links = C.products(C.within(to, threshold), to, found, "src long, dst long", block, whole=True)
+    with_selves = links.unionByName(faces.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     label = components(with_selves)
+    to.release()
     names = numbered(label.select("component").distinct(), "component", "cluster_id")
     return label.join(names, "component").select(F.col("node").alias("id"), "cluster_id")
 
@@ -106,18 +112,23 @@ def centroids(faces: DataFrame) -> DataFrame:
     return mean.withColumn("n", norm).select("cluster_id", F.transform("m", lambda x: F.when(F.col("n") > 1e-8, x / F.col("n")).otherwise(x)).alias("centroid"))
 
 
-def reanchor_labels(labels: DataFrame, old: DataFrame, new: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def reanchor_labels(labels: DataFrame, old: DataFrame, new: DataFrame, threshold: float) -> DataFrame:
     """cluster_id (new), label: each labelled old cluster, in order of its id, takes the nearest free new one within the
     threshold (nine digits; the least id on ties). Rounds of proposals, the lowest id winning, come to the same as one after
     another; each round settles the lowest id that is left, so they end."""
     want = old.join(labels, "cluster_id").select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("embedding"))
 
-    def found(ids: np.ndarray, own: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        s = np.round(s, 9)
+    to = C.cells(new.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("embedding")))
+    most = math.acos(max(-1.0, min(1.0, threshold - 1e-9))) + C.SLACK
+
+    def found(x: pd.DataFrame, m: np.ndarray, own: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        s = np.round(m @ b.T, 9)
         i, j = np.nonzero(s >= threshold)
-        return pd.DataFrame({"old": ids[i], "new": own[j], "s": s[i, j]})
+        return pd.DataFrame({"old": x["id"].to_numpy()[i], "new": own[j], "s": s[i, j]})
 
-    sims = _products(want, new.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("embedding")), found, "old long, new long, s double", block)
+    radius = to.radius
+    near = C.dealt(want, to, lambda a, other: (a - radius[None] <= most) | (threshold <= 0))
+    sims = C.products(near, to, found, "old long, new long, s double")
     left, done = materialize(sims, "similar"), []
     while not left.isEmpty():
         best = left.groupBy("old").agg(F.max(F.struct("s", (-F.col("new")).alias("m"))).alias("x")).select("old", (-F.col("x.m")).alias("new"))
