@@ -110,27 +110,30 @@ def term_bounds(indexed: DataFrame, size: int, docs: int, terms: int) -> tuple[n
     return out[0], out[1]
 
 
-def accumulate(lists, order: np.ndarray, weights: np.ndarray, rest: np.ndarray, creating: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
+def accumulate(lists, order: np.ndarray, weights: np.ndarray, rest: np.ndarray, creating: int, floor: int, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and exact scores of the documents that reach floor. lists(term): its rows, rising, and their tf parts; order: the
     item's terms, the rarest first; rest[j]: the bound of all terms from the jth on. The first creating terms may create
-    accumulators, and later ones too while rest could reach the floor; creating < 0: the floor alone decides."""
-    rows, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for j, term in enumerate(order):
-        own, part = lists(term)
-        add = weights[j] * part
-        if j < creating if creating >= 0 else rest[j] >= floor:
-            both = np.concatenate([rows, own])
-            rows, at = np.unique(both, return_inverse=True)
-            total = np.zeros(len(rows), np.int64)
-            np.add.at(total, at, np.concatenate([score, add]))
-            score = total
-        elif len(rows) and len(own):
+    accumulators; creating < 0: those while rest could reach the floor. held: zeros, a row each, and zeros again afterwards."""
+    n = creating if creating >= 0 else int(np.searchsorted(-rest[:-1], -floor, "right"))
+    met = []
+    for j in range(min(n, len(order))):
+        own, part = lists(order[j])
+        held[own] += weights[j] * part
+        met.append(own)
+    rows = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    score = held[rows]
+    held[rows] = 0
+    for j in range(len(met), len(order)):
+        alive = score + rest[j] >= floor
+        rows, score = rows[alive], score[alive]
+        if not len(rows):
+            break
+        own, part = lists(order[j])
+        if len(own):
             at = np.minimum(np.searchsorted(own, rows), len(own) - 1)
-            score = score + np.where(own[at] == rows, add[at], 0)
-        alive = score + rest[j + 1] >= floor
-        if not alive.all():
-            rows, score = rows[alive], score[alive]
-    return rows, score
+            score = score + np.where(own[at] == rows, weights[j] * part[at], 0)
+    alive = score >= floor
+    return rows[alive], score[alive]
 
 
 def _round(indexed: DataFrame, plan, k: int) -> DataFrame:
@@ -138,15 +141,16 @@ def _round(indexed: DataFrame, plan, k: int) -> DataFrame:
     kind = dict(indexed.dtypes)["doc_id"]
 
     def run(batches):
-        orders, weights, rests, creating, floors, docs, terms = plan.value
+        orders, weights, rests, creating, floors, docs, terms, size = plan.value
         for batch in batches:
             term, row, part = _postings(batch, 1, docs, terms)
             by = np.argsort(term, kind="stable")
             term, row, part = term[by], row[by], part[by]
-            lists = lambda t: slice(*np.searchsorted(term, [t, t + 1]))
-            found = []
+            edge = np.searchsorted(term, np.arange(size + 1))
+            lists = lambda t: (row[edge[t] : edge[t + 1]], part[edge[t] : edge[t + 1]])
+            found, held = [], np.zeros(batch.num_rows, np.int64)
             for i, order in enumerate(orders):
-                rows, score = accumulate(lambda t: (row[s := lists(t)], part[s]), order, weights[i], rests[i], creating[i], max(1, floors[i]))
+                rows, score = accumulate(lists, order, weights[i], rests[i], creating[i], max(1, floors[i]), held)
                 if len(rows):
                     found.append((np.full(len(rows), i), rows, score))
             if not found:
@@ -201,7 +205,7 @@ def _block(docs: DataFrame, terms_of: DataFrame, k: int) -> DataFrame:
         seeds.append(int(np.searchsorted(np.cumsum(df[order]), SEEDS)) + 1)
 
     def one(creating: list[int], floors: list[int]) -> DataFrame:
-        plan = spark.sparkContext.broadcast((orders, weights, rests, creating, floors, n_docs, n_terms))
+        plan = spark.sparkContext.broadcast((orders, weights, rests, creating, floors, n_docs, n_terms, len(vocabulary)))
         out = materialize(_best(_round(indexed, plan, k), k), "search-round")
         plan.destroy()
         return out
