@@ -13,11 +13,13 @@ of the tokens. Which way a word goes changes no value.
 
 Defined results: null text is empty and has its end token only; a null doc_id is not held out; rows are scored one by one,
 repeated ones alike; without training documents N and V are 0 and the weights are the vocabulary's own; a word of very many
-bytes is scored whole, in as many steps; other columns are ignored.
+bytes is scored whole, in as many steps and by stretches of STRETCH bytes; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,10 @@ ZIPF, STOP, HOT, SHARE_OF_BYTES = 50.0, 0.35, 200_000, 0.01
 #: uses that the given weights count for in a pass
 PRIOR = 100.0
 MARK = "▁".encode()
+#: bytes of words in one lattice; a longer word is taken in stretches of as many
+STRETCH = 100_000
+#: bytes of distinct words that a task holds before it hands them on
+HELD_BYTES = 32 << 20
 
 
 def vocabulary(path: str = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
@@ -126,6 +132,91 @@ def lattice(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]],
     return out
 
 
+def _long_word(word: bytes, table: dict[int, tuple[np.ndarray, np.ndarray]], weight: float | None = None, stop: float = STOP, stretch: int = STRETCH):
+    """What lattice gives for one word, by stretches of its bytes: only a stretch's arcs are held, and the forward values at the
+    stretches' ends, from which the backward pass makes those inside anew."""
+    data, go = MARK + word, np.log(1 - stop)
+    n, sizes = len(data), np.array(sorted(table))
+    reach = int(sizes.max())
+
+    def arcs(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """Log weights and places in the table of the pieces from each byte a..b on, a column a size."""
+        own = next(blocks(pa.array([data[a : b + reach]], pa.large_binary()), 1 << 40))
+        prefix, at = own.prefix(SAME), np.arange(b - a)
+        logs, which = np.full((b - a, len(sizes)), -np.inf), np.zeros((b - a, len(sizes)), np.int64)
+        for c, k in enumerate(sizes):
+            some = at[at + k <= len(own.data)]
+            known, values = table[int(k)]
+            h = Block.span(prefix, some, some + k)
+            i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            hit = known[i] == h
+            logs[some[hit], c], which[some[hit], c] = values[i[hit]], i[hit]
+        return logs, which
+
+    def forward(logs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        out = np.full(len(logs) + reach + 1, -np.inf)
+        out[: reach + 1] = first
+        for t in range(len(logs)):
+            out[t + sizes] = np.logaddexp(out[t + sizes], out[t] + logs[t] + go)
+        return out
+
+    starts, ends = list(range(0, n, stretch)), np.full(reach + 1, -np.inf)
+    ends[0], saved = 0.0, []
+    for a in starts:
+        b = min(a + stretch, n)
+        saved.append(ends)
+        ends = forward(arcs(a, b)[0], ends)[b - a :]
+    whole = ends[0]
+    if weight is None:
+        return whole - go + np.log(stop)
+    uses = {k: np.zeros(len(v[0])) for k, v in table.items()}
+    after = np.full(reach + 1, -np.inf)
+    after[0] = 0.0
+    for a, first in zip(reversed(starts), reversed(saved), strict=True):
+        b = min(a + stretch, n)
+        logs, which = arcs(a, b)
+        alpha = forward(logs, first)
+        beta = np.concatenate([np.full(b - a, -np.inf), after])
+        for t in range(b - a - 1, -1, -1):
+            m = logs[t] + go + beta[t + sizes]
+            top = m.max()
+            beta[t] = top + np.log(np.exp(m - top).sum()) if np.isfinite(top) else top
+        at = np.arange(b - a)[:, None]
+        got = np.exp(alpha[at] + logs + go + beta[at + sizes[None]] - whole) * weight
+        for c, k in enumerate(sizes):
+            uses[int(k)] += np.bincount(which[:, c], weights=got[:, c], minlength=len(uses[int(k)]))
+        after = beta[: reach + 1]
+    return uses
+
+
+def _by_bytes(words: list[bytes], most: int = STRETCH) -> Iterator[slice]:
+    """Slices of words of most bytes together, or of one longer word."""
+    at, held = 0, 0
+    for i, w in enumerate(words):
+        if i > at and held + len(w) > most:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(w)
+    if at < len(words):
+        yield slice(at, len(words))
+
+
+def values_of(words: list[bytes], table: dict[int, tuple[np.ndarray, np.ndarray]], stop: float = STOP, most: int = STRETCH) -> np.ndarray:
+    """Natural log probability of each word; memory follows most bytes, not the words."""
+    parts = [np.array([_long_word(words[s.start], table, None, stop, most)]) if len(words[s.start]) > most else lattice(words[s], table, None, stop) for s in _by_bytes(words, most)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def uses_of(words: list[bytes], n: np.ndarray, table: dict[int, tuple[np.ndarray, np.ndarray]], stop: float = STOP, most: int = STRETCH) -> dict[int, np.ndarray]:
+    """Expected uses of every piece in the words, the ith n[i] times."""
+    held = {k: np.zeros(len(v[0])) for k, v in table.items()}
+    for s in _by_bytes(words, most):
+        got = _long_word(words[s.start], table, float(n[s.start]), stop, most) if len(words[s.start]) > most else lattice(words[s], table, n[s], stop)
+        for k, x in got.items():
+            held[k] += x
+    return held
+
+
 def reweighted(words: DataFrame, table: dict[int, tuple[np.ndarray, np.ndarray]], stop: float = STOP) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], float]:
     """The vocabulary's weights and the chance of an end after one pass of expectation and maximisation over the training
     words, each as often as it occurs, drawn towards the given weights by PRIOR uses in all. Tasks send a number a piece."""
@@ -136,9 +227,8 @@ def reweighted(words: DataFrame, table: dict[int, tuple[np.ndarray, np.ndarray]]
         held = {k: np.zeros(len(v[0])) for k, v in own.items()}
         for batch in batches:
             texts, n = [w.encode() for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float)
-            for i in range(0, len(texts), 4000):
-                for k, got in lattice(texts[i : i + 4000], own, n[i : i + 4000], end).items():
-                    held[k] += got
+            for k, got in uses_of(texts, n, own, end).items():
+                held[k] += got
         for k, x in held.items():
             at = np.flatnonzero(x)
             if len(at):
@@ -162,6 +252,7 @@ def word_table(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
+        size = 0
 
         def merged():
             h, words, t, n = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -171,8 +262,7 @@ def word_table(docs: DataFrame) -> DataFrame:
         def rows():
             h, words, t, n = merged()
             held.clear()
-            for i in range(0, len(h), 50_000):
-                s = slice(i, i + 50_000)
+            for s in _by_bytes(words, 4 << 20):
                 yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(words[s].tolist(), pa.binary()).cast(pa.string()), pa.array(t[s].astype(np.int64)), pa.array(n[s].astype(np.int64))], ["h", "word", "n_train", "n"])
 
         for batch in batches:
@@ -188,10 +278,13 @@ def word_table(docs: DataFrame) -> DataFrame:
                 words = np.empty(len(key), object)
                 words[:] = [low[i:j] for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)]
                 held.append((key, words, t, n))
-                if len(held) > 1 and sum(len(x[0]) for x in held) > 400_000:
+                size += int((end[at] - start[at]).sum())
+                if len(held) > 1 and (size > HELD_BYTES or sum(len(x[0]) for x in held) > 400_000):
                     held[:] = [merged()]
-                    if len(held[0][0]) > 300_000:
+                    size = sum(map(len, held[0][1]))
+                    if size > HELD_BYTES // 2 or len(held[0][0]) > 300_000:
                         yield from rows()
+                        size = 0
         if held:
             yield from rows()
 
@@ -204,10 +297,8 @@ def _valued(words: DataFrame, model) -> DataFrame:
     def run(batches):
         table, stop = model.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 4000):
-                part = batch.slice(i, 4000)
-                logp = lattice([w.encode() for w in part.column(1).to_pylist()], table, stop=stop) / np.log(10)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(logp)], ["h", "n_train", "n", "logp"])
+            logp = values_of([w.encode() for w in batch.column(1).to_pylist()], table, stop) / np.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(logp)], ["h", "n_train", "n", "logp"])
 
     return words.select("h", "word", "n_train", "n").mapInArrow(run, "h long, n_train long, n long, logp double")
 
