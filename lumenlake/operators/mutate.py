@@ -24,11 +24,11 @@ def patch(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     return base.join(new, key, "left").select(*[F.coalesce(f"new_{c}", c).alias(c) if c in given else F.col(c) for c in base.columns])
 
 
-def with_new_ids(df: DataFrame, order: str, id_col: str = "id") -> DataFrame:
-    """Rows whose id is null get ids after the largest, in an order."""
+def with_new_ids(df: DataFrame, order: str, id_col: str = "id", known: DataFrame | None = None) -> DataFrame:
+    """Rows whose id is null get ids after the largest, of df or of known, in an order."""
     from lumenlake.operators.bursts import numbered
 
-    top = df.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
+    top = (df if known is None else known).agg(F.coalesce(F.max(id_col), F.lit(0)).alias("top"))
     fresh = numbered(df.where(F.col(id_col).isNull()), order, "_n", 1).crossJoin(F.broadcast(top)).withColumn(id_col, F.col("_n") + F.col("top")).select(*df.columns)  # top is one row
     return df.where(F.col(id_col).isNotNull()).unionByName(fresh)
 
@@ -38,6 +38,12 @@ def upsert_images(images: DataFrame, updates: DataFrame) -> DataFrame:
     return with_new_ids(upsert(images, updates.drop("id"), "path"), "path")
 
 
+def changed_images(images: DataFrame, updates: DataFrame) -> DataFrame:
+    """The rows that upsert_images would change or add, alone."""
+    known = images.join(updates, "path", "left_semi").select(*images.columns)
+    return with_new_ids(upsert(known, updates.drop("id"), "path"), "path", known=images)
+
+
 def save_verdicts(verdicts: DataFrame, new: DataFrame) -> DataFrame:
     """New verdicts replace old ones, but for those set by hand."""
     held = verdicts.where(F.coalesce("user_override", F.lit(False))).select("image_id")

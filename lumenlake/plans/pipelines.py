@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lumenlake.operators import bursts, mutate, pixels, reconcile, vectors
 from lumenlake.operators.decide import Thresholds, decide
-from lumenlake.shared import materialize
-from lumenlake.sources.files import Catalog, keyed_files, read_images
+from lumenlake.shared import materialize, release
+from lumenlake.sources.files import content_keys, read_images, scan_files
+from lumenlake.sources.tables import Catalog, Change
 from lumenlake.streaming.live import VERDICTS
 
 LIBRARIES = "id long, root_path string, models_run map<string,string>, models_pending array<string>"
@@ -43,35 +44,36 @@ def _of_folders(spark: SparkSession, libraries: DataFrame, roots: Sequence[str],
 def ingest_folders(spark: SparkSession, catalog: Catalog, roots: Sequence[str], t: Thresholds = Thresholds(), force: bool = False) -> None:
     """Measure and decide the pending pictures below the folders (trimmed, each once), a library for each, and save libraries,
     images, metrics, verdicts and errors; the libraries get MODELS among their runs and nothing pending. A picture that fails or that Spark cannot decode is an error; the others go on, and
-    the errors of libraries that are read again are replaced. Spark's sources read all files below the folders."""
+    the errors of libraries that are read again are replaced. Files are listed without their contents; only pending ones are read.
+    All tables change in one version."""
     roots = sorted({r.strip().rstrip("/") for r in roots if r.strip()})
     if not roots:
         return
     named = spark.createDataFrame([(r,) for r in roots], "root_path string")
-    catalog.save("libraries", mutate.ensure_libraries(catalog.load("libraries", LIBRARIES), named))
-    libraries = catalog.load("libraries", LIBRARIES)
+    libraries = materialize(mutate.ensure_libraries(catalog.load("libraries", LIBRARIES), named), "libraries")
     images = catalog.load("images", IMAGES)
-    files = materialize(_of_folders(spark, libraries, roots, lambda r: keyed_files(spark, r)), "files")
-    work = materialize(reconcile.pending(files.select("path", "mtime"), images, force).select("path").distinct(), "pending")
-    seen = reduce(DataFrame.unionByName, [read_images(spark, r) for r in roots]).dropDuplicates(["path"]).join(work, "path", "left_semi")
+    files = materialize(_of_folders(spark, libraries, roots, lambda r: scan_files(spark, r)), "files")
+    pending = files.join(reconcile.pending(files.select("path", "mtime"), images, force).select("path").distinct(), "path", "left_semi")
+    fresh = materialize(content_keys(pending.drop("kind")).drop("bytes_read"), "pending")
+    seen = reduce(DataFrame.unionByName, [read_images(spark, r, fresh.where(F.col("path").startswith(r + "/"))) for r in roots]).dropDuplicates(["path"])
     measured = materialize(pixels.derived(pixels.image_metrics(seen)), "measured")
     done, failed = mutate.split_errors(measured)
 
-    fresh = files.join(work, "path", "left_semi")
-    catalog.save("images", mutate.upsert_images(images, fresh.join(done.select("path", "width", "height", "phash"), "path")))
-    ids = catalog.load("images", IMAGES).select(F.col("id").alias("image_id"), "path")
-    rows = done.withColumn("decoded_long", F.greatest("width", "height")).join(ids, "path")
+    changed = materialize(mutate.changed_images(images, fresh.join(done.select("path", "width", "height", "phash"), "path")), "changed")
+    rows = done.withColumn("decoded_long", F.greatest("width", "height")).join(changed.select(F.col("id").alias("image_id"), "path"), "path")
     metrics = materialize(rows.select("image_id", *MEASURED, *[F.lit(None).cast(k).alias(c) for c, k in DETECTED.items()]), "new-metrics")
-    catalog.save("metrics", mutate.upsert(catalog.load("metrics", METRICS), metrics, "image_id"))
-    catalog.save("verdicts", mutate.save_verdicts(catalog.load("verdicts", VERDICTS), decide(metrics, t)))
+    by_hand = catalog.find("verdicts", metrics, VERDICTS).where(F.coalesce("user_override", F.lit(False)))
+    verdicts = decide(metrics, t).join(by_hand, "image_id", "left_anti").withColumn("user_override", F.lit(False))
 
     unread = fresh.join(measured, "path", "left_anti").select("path", F.lit("not decoded").alias("error"))
     errors = failed.unionByName(unread).join(files.select("path", "library_id"), "path")
-    again = libraries.join(named, "root_path", "left_semi").select(F.col("id").alias("library_id"))
+    own = libraries.join(named, "root_path", "left_semi")
     stamp = F.create_map(*[F.lit(x) for kv in MODELS.items() for x in kv])
-    runs = libraries.join(named, "root_path", "left_semi").select("id", stamp.alias("models_run"), F.array().cast("array<string>").alias("models_pending"))
-    catalog.save("libraries", mutate.merge_model_runs(libraries, runs).select("id", "root_path", "models_run", "models_pending"))
-    catalog.save("errors", catalog.load("errors", ERRORS).join(again, "library_id", "left_anti").select("path", "error", "library_id").unionByName(errors))
+    runs = own.select("id", stamp.alias("models_run"), F.array().cast("array<string>").alias("models_pending"))
+    stamped = mutate.merge_model_runs(libraries, runs).select("id", "root_path", "models_run", "models_pending")
+    kept = catalog.load("errors", ERRORS).join(own.select(F.col("id").alias("library_id")), "library_id", "left_anti").select("path", "error", "library_id")
+    catalog.commit({"images": Change(changed.select(*images.columns)), "metrics": Change(metrics), "verdicts": Change(verdicts)}, whole={"libraries": stamped, "errors": kept.unionByName(errors)})
+    release(libraries, files, fresh, measured, changed, metrics)
 
 
 def sync_library(spark: SparkSession, catalog: Catalog, root: str, t: Thresholds = Thresholds(), captured: DataFrame | None = None) -> DataFrame:
@@ -82,25 +84,33 @@ def sync_library(spark: SparkSession, catalog: Catalog, root: str, t: Thresholds
     library = catalog.load("libraries", LIBRARIES).where(F.col("root_path") == root).select(F.col("id").alias("library_id"))
     images = catalog.load("images", IMAGES)
     own = images.join(library, "library_id", "left_semi")
-    files = keyed_files(spark, root)
+    listed = scan_files(spark, root).drop("kind")
+    fresh = content_keys(listed.join(own, "path", "left_anti")).drop("bytes_read")  # what the catalogue knows by its path is not read
+    files = listed.join(own, "path", "left_semi").withColumn("content_hash", F.lit(None).cast("string")).unionByName(fresh)
     none = {"capture_s": F.lit(None).cast("long"), "camera_model": F.lit(None).cast("string")}
-    files = files.withColumns(none) if captured is None else files.join(captured.select("path", *none), "path", "left")
+    files = materialize(files.withColumns(none) if captured is None else files.join(captured.select("path", *none), "path", "left"), "listing")
     report = materialize(reconcile.reconcile(files, own), "reconciled")
     moved = report.where("status = 'rehoused'").select("id", F.col("path").alias("to"))
     gone = report.where("status = 'removed'").select("id")
-    kept = images.join(gone, "id", "left_anti").join(moved, "id", "left").withColumn("path", F.coalesce("to", "path"))
-    catalog.save("images", kept.select(*images.columns))
-    for name, schema in (("metrics", METRICS), ("verdicts", VERDICTS), ("members", MEMBERS)):
-        catalog.save(name, catalog.load(name, schema).join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti"))
-    catalog.save("bursts", bursts.orphan_bursts(catalog.load("bursts", BURSTS), catalog.load("members", MEMBERS)))
+    members = catalog.load("members", MEMBERS).join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti").select("burst_id", "image_id", "is_best")
+    children = gone.withColumnRenamed("id", "image_id")
+    catalog.commit(
+        {
+            "images": Change(images.join(moved, "id").withColumn("path", F.col("to")).select(*images.columns), gone),
+            "metrics": Change(catalog.load("metrics", METRICS).limit(0), children),
+            "verdicts": Change(catalog.load("verdicts", VERDICTS).limit(0), children),
+        },
+        whole={"members": members, "bursts": bursts.orphan_bursts(catalog.load("bursts", BURSTS), members)},
+    )
+    release(files)
     ingest_folders(spark, catalog, [root], t)
     return report
 
 
-def faces_run(faces: DataFrame, labels: DataFrame, threshold: float, full: bool = False) -> tuple[DataFrame, DataFrame]:
+def faces_run(faces: DataFrame, labels: DataFrame, config: vectors.ClusterConfig = vectors.ClusterConfig(), full: bool = False) -> tuple[DataFrame, DataFrame]:
     """(faces, labels): all faces clustered anew and labels re-anchored, or only faces without a cluster given one."""
     if full:
-        new = materialize(faces.drop("cluster_id").join(vectors.cluster(faces, threshold), "id"), "clustered")
-        return new, vectors.reanchor_labels(labels, vectors.centroids(faces), vectors.centroids(new), threshold)
-    given = vectors.assign_new(faces, threshold).withColumnRenamed("cluster_id", "given")
+        new = materialize(faces.drop("cluster_id").join(vectors.cluster(faces, config.similarity), "id"), "clustered")
+        return new, vectors.reanchor_labels(labels, vectors.centroids(faces), vectors.centroids(new), config.similarity)
+    given = vectors.assign_new(faces, config.similarity).withColumnRenamed("cluster_id", "given")
     return faces.join(given, "id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "given")).drop("given"), labels

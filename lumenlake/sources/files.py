@@ -1,11 +1,18 @@
-"""Files and pictures as tables, and versioned tables of the catalogue."""
+"""Files and pictures as tables."""
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.tokens import HEIC, JPEG, OTHER, RAW, col, file_kind
+from lumenlake.sources.tables import Catalog
+
+__all__ = ["Catalog", "content_key", "content_keys", "parse_metrics", "read_images", "scan_files", "supported"]
 
 EDGE = 65536
 
@@ -40,49 +47,57 @@ def content_key(content: str | Column, length: str | Column) -> Column:
     return F.concat(F.lit("v2:"), F.sha1(F.concat(n.cast("string").cast("binary"), F.substring(data, F.lit(1), F.lit(EDGE)), tail)))
 
 
-def keyed_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, size_bytes, mtime, content_hash: contents are read in tasks and dropped there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(_listed())
-    return files.select(_bare().alias("path"), F.col("length").alias("size_bytes"), F.col("modificationTime").cast("double").alias("mtime"), content_key("content", "length").alias("content_hash"))
+def content_keys(files: DataFrame) -> DataFrame:
+    """files (path and more) with content_hash and bytes_read: tasks open each file and read its first and last 64 KiB, at most
+    128 KiB whatever its length. A file that cannot be read has neither."""
+    kinds = ", ".join(f"`{c}` {k}" for c, k in files.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            keys, sizes = zip(*[_ends_key(p) for p in batch.column(batch.schema.names.index("path")).to_pylist()], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.string()), pa.array(sizes, pa.int64())], [*batch.schema.names, "content_hash", "bytes_read"])
+
+    return files.repartition("path").mapInArrow(run, f"{kinds}, content_hash string, bytes_read long")
+
+
+def _ends_key(path: str) -> tuple[str | None, int | None]:
+    """The key of content_key for a file, by its ends, and how many bytes were read for it."""
+    try:
+        store, name = (fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path))
+        with store.open_input_file(name) as f:
+            n = f.size()
+            head = f.read(min(n, EDGE))
+            start = max(n - EDGE, EDGE)
+            tail = b""
+            if n > EDGE:
+                f.seek(start)
+                tail = f.read(n - start)
+    except OSError:
+        return None, None
+    return "v2:" + hashlib.sha1(str(n).encode() + head + tail).hexdigest(), len(head) + len(tail)
+
+
+#: folders that are read one by one, rather than all below a root
+FOLDERS = 1000
 
 
-def read_images(spark: SparkSession, root: str) -> DataFrame:
+def read_images(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
     """path, width, height, channels, data (rows of BGR bytes) of the pictures that Spark's image source decodes; files that
-    are not pictures are left out."""
-    rows = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root)
-    return rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data").where(_listed()).withColumn("path", _bare())
-
-
-class Catalog:
-    """Tables below a folder, a new version for each save; images are parted by library."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _versions(self, name: str) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        done = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("v")]
-        return sorted(int(p.getName()[1:]) for p in done if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def save(self, name: str, df: DataFrame) -> int:
-        """Write the next version, which may be derived from the present one, and return its number."""
-        number = max(self._versions(name), default=0) + 1
-        writer = df.write.partitionBy("library_id") if name == "images" else df.write
-        writer.mode("overwrite").parquet(f"{self.root}/{name}/v{number}")
-        return number
-
-    def load(self, name: str, schema: str | None = None, version: int | None = None) -> DataFrame:
-        """The latest complete version, or the one given; an empty table of the schema where there is none."""
-        known = self._versions(name)
-        if not known and schema:
-            return self.spark.createDataFrame([], schema)
-        if not known:
-            raise ValueError(f"no table {name} in {self.root}")
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(f"{self.root}/{name}/v{version or known[-1]}")
+    are not pictures are left out. only (path): of these files; the folders that hold them are read, and nothing below others,
+    or all below root where they are more than FOLDERS or their names hold a pattern."""
+    source = spark.read.format("image").option("dropInvalid", "true")
+    if only is None:
+        rows = source.option("recursiveFileLookup", "true").load(root)
+    else:
+        held = [r[0] for r in only.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).distinct().limit(FOLDERS + 1).collect()]
+        if not held:
+            rows = source.load(root).limit(0)
+        elif len(held) > FOLDERS or any(set(h) & set("*?[]{}\\") for h in held):
+            rows = source.option("recursiveFileLookup", "true").load(root)
+        else:
+            rows = source.load(held)
+    rows = rows.select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"), "image.data").where(_listed()).withColumn("path", _bare())
+    return rows if only is None else rows.join(only.select("path").distinct(), "path", "left_semi")
 
 
 def parse_metrics(df: DataFrame, schema: str, column: str = "metrics_json") -> DataFrame:

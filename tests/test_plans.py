@@ -5,6 +5,7 @@ import os
 import numpy as np
 
 from lumenlake.plans import pipelines
+from lumenlake.operators.vectors import ClusterConfig
 from lumenlake.sources.files import Catalog
 from tests.test_sources_and_streams import png
 
@@ -63,11 +64,11 @@ def test_faces_run(spark):
     rows = [(i, (centres[i % 3] + rng.normal(0, 0.02, 16)).tolist(), None) for i in range(18)]
     faces = spark.createDataFrame(rows, "id long, embedding array<double>, cluster_id long")
     labels = spark.createDataFrame([], "cluster_id long, label string")
-    first, _ = pipelines.faces_run(faces, labels, 0.5)
+    first, _ = pipelines.faces_run(faces, labels, ClusterConfig(0.5))
     first = {r.id: r.cluster_id for r in first.collect()}
     assert len(set(first.values())) == 3 and all(first[i] == first[i % 3] for i in range(18))
     known = spark.createDataFrame([(i, e, first[i]) for i, e, _ in rows], "id long, embedding array<double>, cluster_id long")
     named = spark.createDataFrame([(first[1], "Ann")], "cluster_id long, label string")
-    again, kept = pipelines.faces_run(known, named, 0.5, full=True)
+    again, kept = pipelines.faces_run(known, named, ClusterConfig(0.5), full=True)
     of = {r.id: r.cluster_id for r in again.collect()}
     assert [(r.cluster_id, r.label) for r in kept.collect()] == [(of[1], "Ann")]
