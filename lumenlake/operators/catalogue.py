@@ -144,11 +144,14 @@ def facets(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def library_statistics(libraries: DataFrame, images: DataFrame, verdicts: DataFrame, errors: DataFrame) -> DataFrame:
-    """id, root_path, images, errors, keeper, review, reject; libraries without images too."""
+    """id, root_path, added_at where libraries have it, images, errors, keeper, review, reject; libraries without images too, the
+    latest added first, then the largest id."""
     per = images.join(verdicts.select(F.col("image_id").alias("id"), "verdict"), "id", "left").groupBy("library_id").agg(F.count("*").alias("images"), *[F.count_if(F.col("verdict") == v).alias(v) for v in ("keeper", "review", "reject")])
     bad = errors.groupBy("library_id").agg(F.count("*").alias("errors"))
     out = libraries.join(per.withColumnRenamed("library_id", "id"), "id", "left").join(bad.withColumnRenamed("library_id", "id"), "id", "left")
-    return out.select("id", "root_path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("images", "errors", "keeper", "review", "reject")])
+    added = [c for c in ("added_at",) if c in libraries.columns]
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("images", "errors", "keeper", "review", "reject")]
+    return out.select("id", "root_path", *added, *counts).orderBy(*[F.desc_nulls_last(c) for c in added], F.desc("id"))
 
 
 def global_statistics(images: DataFrame, verdicts: DataFrame, members: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """Cells of vectors about sampled pivots, and exact searches that leave out what the angles rule out.
 
-A bounded sample of the rows, at most PIVOTS, are pivots; every row belongs to the cell of the nearest one, and a cell knows
-the largest angle of its rows to its pivot, its radius. Angles obey the triangle inequality, so a vector is no nearer to any
-row of a cell than its angle to the pivot less the radius: it is dealt only to cells that this lets in. What is let in is
-multiplied, BLOCK rows by BLOCK, so the answer does not depend on the sample; on vectors without any clusters every cell is
-let in, and all pairs are multiplied. A cell of very many rows is several blocks. Rows without a direction (all zeros) have
-a cosine of 0 with all and open their cell to everything.
+A bounded sample of the rows, at most PIVOTS, are pivots; every row belongs to the nearest one, and to a ring about it by its
+angle. A cell is a pivot's ring, and knows the least and the largest angle of its rows. Angles obey the triangle inequality,
+so a vector at an angle to the pivot is no nearer to any row of the cell than that angle is to the ring's: it is dealt only to
+cells that this lets in. What is let in is multiplied, BLOCK rows by BLOCK, so the answer does not depend on the sample; on
+vectors without any clusters every cell is let in, and all pairs are multiplied. A cell of very many rows is several blocks.
+Rows without a direction (all zeros) have a cosine of 0 with all and a cell of their own that is open to everything.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.shared import materialize, release
@@ -27,6 +27,10 @@ PIVOTS, CELL_ROWS = 2048, 2000
 BLOCK, TILE = 8192, 512
 #: radians by which rounding may move an angle
 SLACK = 1e-6
+#: width of a ring in radians, and how many a pivot has
+RING, RINGS = 0.2, 16
+#: rows whose bounds on all cells are held at once
+AT_ONCE = 512
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -50,11 +54,14 @@ def angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """rows: id, embedding, cell; a pivot, radius and number of rows for each cell."""
+    """rows: id, embedding, cell; of each cell that has rows its number (rising), pivot, least and largest angle, and rows."""
 
     rows: DataFrame
     pivots: np.ndarray
-    radius: np.ndarray
+    number: np.ndarray
+    pivot_of: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     sizes: np.ndarray
 
     def release(self) -> None:
@@ -76,31 +83,43 @@ def cells(vectors: DataFrame, cell_rows: int = CELL_ROWS) -> Cells:
                 m = _listed(batch.column(1))
                 a = angles(m, sent.value)
                 own = a.argmin(1)
-                far = np.where(np.linalg.norm(m, axis=1) < 1e-12, np.pi, a[np.arange(len(m)), own])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array(far)], ["id", "embedding", "cell", "angle"])
+                angle = a[np.arange(len(m)), own]
+                cell = own * RINGS + np.minimum(angle / RING, RINGS - 1).astype(np.int64)
+                cell[np.linalg.norm(m, axis=1) < 1e-12] = len(sent.value) * RINGS
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], ["id", "embedding", "cell", "angle"])
 
     held = materialize(rows.mapInArrow(run, f"id {kinds['id']}, embedding {kinds['embedding']}, cell int, angle double"), "cells")
     sent.destroy()
-    radius, sizes = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
-    for r in held.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("a")).collect():  # a row a pivot
-        radius[r["cell"]], sizes[r["cell"]] = r["a"], r["n"]
-    return Cells(held, pivots, radius, sizes)
+    known = held.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).orderBy("cell").toPandas()  # RINGS rows a pivot at most
+    number = known["cell"].to_numpy(np.int64)
+    bare = number == len(pivots) * RINGS
+    low, high = np.where(bare, 0, known["low"]), np.where(bare, 7, known["high"])
+    return Cells(held, pivots, number, np.where(bare, 0, number // RINGS), low.astype(float), high.astype(float), known["n"].to_numpy(np.int64))
+
+
+def least_angles(a: np.ndarray, pivot_of: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least angle that rows at these angles to the pivots can have to any row of each cell."""
+    own = a[:, pivot_of]
+    return np.maximum(np.maximum(own - high, low - own), 0)
 
 
 def dealt(rows: DataFrame, to: Cells, chosen: Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
-    """rows (id, embedding and more) with probe, a row for each cell that chosen lets in: it gets the angles to all pivots and
-    the rows' other columns, and gives a mask of rows by cells."""
+    """rows (id, embedding and more) with probe, a row for each cell that chosen lets in: it gets the least angles to all cells
+    and the rows' other columns, and gives a mask of rows by cells. Rows without a direction have the least angle 0 to all."""
     kinds = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes)
-    pivots, filled = to.pivots, to.sizes > 0
+    pivots, number, shape = to.pivots, to.number, (to.pivot_of, to.low, to.high)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows and len(pivots):
-                a = angles(_listed(batch.column(batch.schema.names.index("embedding"))), pivots)
+        for whole in batches:
+            for at in range(0, whole.num_rows if len(pivots) else 0, AT_ONCE):
+                batch = whole.slice(at, AT_ONCE)
+                m = _listed(batch.column(batch.schema.names.index("embedding")))
+                least = least_angles(angles(m, pivots), *shape)
+                least[np.linalg.norm(m, axis=1) < 1e-12] = 0
                 other = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names) if c != "embedding"}
-                row, cell = np.nonzero(chosen(a, other) & filled)
+                row, cell = np.nonzero(chosen(least, other))
                 edge = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(edge), pa.array(cell.astype(np.int32)))], [*batch.schema.names, "probes"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(edge), pa.array(number[cell].astype(np.int32)))], [*batch.schema.names, "probes"])
 
     got = rows.mapInArrow(run, f"{kinds}, probes array<int>")
     return got.withColumn("probe", F.explode("probes")).drop("probes")
@@ -111,7 +130,8 @@ def products(probes: DataFrame, to: Cells, found: Callable[[pd.DataFrame, np.nda
     every block of its rows. Probing rows come tile by tile, or a block at once (whole)."""
     spark = probes.sparkSession
     met = {r["probe"]: r["count"] for r in probes.groupBy("probe").count().collect()}  # a row a cell
-    shape = [(c, math.ceil(int(to.sizes[c]) / block), math.ceil(n / block)) for c, n in met.items()]
+    size = dict(zip(to.number.tolist(), to.sizes.tolist(), strict=True))
+    shape = [(c, math.ceil(size[c] / block), math.ceil(n / block)) for c, n in met.items()]
     of = F.broadcast(spark.createDataFrame(shape, "probe int, homes int, blocks int"))  # a row a cell
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -133,21 +153,21 @@ def products(probes: DataFrame, to: Cells, found: Callable[[pd.DataFrame, np.nda
 def within(to: Cells, threshold: float) -> DataFrame:
     """The cells' rows dealt to all cells that may hold a row with a cosine of the threshold or more, those of later cells
     only, as a pair needs to be met once; own is the row's cell."""
-    most, numbers, radius = math.acos(max(-1.0, min(1.0, threshold))) + SLACK, np.arange(len(to.pivots)), to.radius
+    most, number = math.acos(max(-1.0, min(1.0, threshold))) + SLACK, to.number
     anywhere = threshold <= 0  # rows without a direction have a cosine of 0 with all
 
-    def chosen(a: np.ndarray, other: dict[str, np.ndarray]) -> np.ndarray:
-        later = numbers[None] >= other["own"][:, None]
-        return later if anywhere else later & (a - radius[None] <= most)
+    def chosen(least: np.ndarray, other: dict[str, np.ndarray]) -> np.ndarray:
+        later = number[None] >= other["own"][:, None]
+        return later if anywhere else later & (least <= most)
 
     return dealt(to.rows.select("id", "embedding", F.col("cell").alias("own")), to, chosen)
 
 
 def multiplied(probes: DataFrame, to: Cells) -> DataFrame:
     """rows, cells and multiplied: how many of the pairs of a row and a row that it may meet are multiplied, as a share."""
-    n, sizes = int(to.sizes.sum()), to.sizes
-    size: Column = F.element_at(F.array(*[F.lit(int(s)) for s in sizes]), F.col("probe") + 1)
-    return probes.agg(F.lit(n).alias("rows"), F.lit(int((sizes > 0).sum())).alias("cells"), (F.sum(size.cast("double")) / (n * (n + 1) / 2)).alias("multiplied"))
+    n = int(to.sizes.sum())
+    size = probes.sparkSession.createDataFrame([(int(c), float(x)) for c, x in zip(to.number, to.sizes, strict=True)], "probe int, size double")
+    return probes.join(F.broadcast(size), "probe").agg(F.lit(n).alias("rows"), F.lit(len(to.sizes)).alias("cells"), (F.sum("size") / (n * (n + 1) / 2)).alias("multiplied"))  # a row a cell
 
 
 def joined_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -38,8 +38,11 @@ def _clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def exposure_flags(df: DataFrame) -> DataFrame:
-    """underexposed and overexposed from mean luma and clipped shares."""
-    return df.withColumn("underexposed", (F.col("mean_luma") < 50) & (F.col("clipped_shadow") > 0.20)).withColumn("overexposed", (F.col("mean_luma") > 210) | (F.col("clipped_highlight") > 0.15))
+    """underexposed and overexposed from mean luma and clipped shares, where df does not say so itself."""
+    dark = (F.col("mean_luma") < 50) & (F.col("clipped_shadow") > 0.20)
+    bright = (F.col("mean_luma") > 210) | (F.col("clipped_highlight") > 0.15)
+    known = lambda name, c: F.coalesce(F.col(name), c) if name in df.columns else c
+    return df.withColumns({"underexposed": known("underexposed", dark), "overexposed": known("overexposed", bright)})
 
 
 def exposure_score() -> Column:
@@ -79,13 +82,14 @@ def quality_score(t: Thresholds = Thresholds()) -> Column:
 def soft_face_threshold(t: Thresholds = Thresholds()) -> Column:
     """For the widest face, by its long edge against the decoded frame's; the base value without one."""
     scale = _clamp(F.greatest("face_w", "face_h") / F.col("decoded_long") / t.soft_face_ref, 0.4, 1.5)
-    return F.when((F.coalesce("faces", F.lit(0)) > 0) & F.col("decoded_long").isNotNull(), t.soft_face_lap_max * scale).otherwise(t.soft_face_lap_max)
+    return F.when(F.col("face_w").isNotNull() & F.col("decoded_long").isNotNull(), t.soft_face_lap_max * scale).otherwise(t.soft_face_lap_max)
 
 
 def decide(metrics: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """image_id, verdict, stars, label, reasons, warnings, score."""
+    """image_id, verdict, stars, label, reasons, warnings, score. face_subject, where there is such a column, says whether a face
+    is among the subjects; else the number of faces does."""
     df = exposure_flags(metrics).withColumn("score", quality_score(t)).withColumn("sharp", used_sharpness())
-    has_face = F.coalesce("faces", F.lit(0)) > 0
+    has_face = F.coalesce("face_subject", F.lit(False)) if "face_subject" in metrics.columns else F.coalesce("faces", F.lit(0)) > 0
     soft = has_face & F.col("subject_sharp_score").isNotNull() & (F.coalesce("laplacian_var", F.lit(0.0)) < soft_face_threshold(t))
     blur = F.when(F.coalesce("fft_anisotropy", F.lit(0.0)) > t.motion_blur_anisotropy, F.when(F.col("blur_angle_deg").isNotNull(), F.concat(F.lit("motion blur (~"), F.rint("blur_angle_deg").cast("int").cast("string"), F.lit("°)"))).otherwise("motion blur")).otherwise("out of focus")
     blurred = (F.col("sharp") < t.sharp_reject) | (soft & (F.col("sharp") < t.sharp_keeper))

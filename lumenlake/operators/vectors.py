@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -17,6 +18,13 @@ from lumenlake.operators import cells as C
 from lumenlake.operators.bursts import numbered
 from lumenlake.shared import materialize, release
 
+@dataclass(frozen=True)
+class ClusterConfig:
+    """similarity: the least cosine of two faces of one person."""
+
+    similarity: float = 0.30
+
+
 def top_k(vectors: DataFrame, query: Sequence[float], k: int, id_col: str = "id") -> DataFrame:
     """id, score (rounded to 4): the k rows nearest to one vector; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -42,24 +50,24 @@ def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int, block: int = C.B
     cells it meets those whose bound reaches that. Blocks keep their k best for a query before the shuffle."""
     to = C.cells(vectors.select("id", "embedding"), cell_rows)
     asked = queries.where("embedding is not null").select(F.col("query_id").alias("id"), "embedding")
-    sizes, radius = to.sizes, to.radius
+    sizes = to.sizes
 
-    def nearest(a: np.ndarray) -> np.ndarray:
-        order = np.argsort(np.where(sizes > 0, a, np.inf), axis=1, kind="stable")
+    def nearest(least: np.ndarray) -> np.ndarray:
+        order = np.argsort(least, axis=1, kind="stable")
         before = np.cumsum(sizes[order], axis=1) - sizes[order]
-        out = np.zeros(a.shape, bool)
+        out = np.zeros(least.shape, bool)
         np.put_along_axis(out, order, before < k, axis=1)
         return out
 
     found = lambda x, m, own, b: _best(x["id"].to_numpy(), own, m @ b.T, k)
     schema = "query_id long, id long, score double"
-    first = materialize(C.products(C.dealt(asked, to, lambda a, other: nearest(a)), to, found, schema, block), "nearest-cells")
+    first = materialize(C.products(C.dealt(asked, to, lambda least, other: nearest(least)), to, found, schema, block), "nearest-cells")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     kth = first.withColumn("rank", rank).where(F.col("rank") == k).select(F.col("query_id").alias("id"), (F.acos(F.greatest(F.least(F.col("score") - 1e-9, F.lit(1.0)), F.lit(-1.0))) + C.SLACK).alias("most"))
     bound = asked.join(kth, "id", "left").withColumn("most", F.coalesce("most", F.lit(7.0)))
 
-    def others(a: np.ndarray, other: dict[str, np.ndarray]) -> np.ndarray:
-        return ~nearest(a) & (a - radius[None] <= other["most"][:, None])
+    def others(least: np.ndarray, other: dict[str, np.ndarray]) -> np.ndarray:
+        return ~nearest(least) & (least <= other["most"][:, None])
 
     second = C.products(C.dealt(bound, to, others), to, found, schema, block)
     return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k)
@@ -126,8 +134,7 @@ def reanchor_labels(labels: DataFrame, old: DataFrame, new: DataFrame, threshold
         i, j = np.nonzero(s >= threshold)
         return pd.DataFrame({"old": x["id"].to_numpy()[i], "new": own[j], "s": s[i, j]})
 
-    radius = to.radius
-    near = C.dealt(want, to, lambda a, other: (a - radius[None] <= most) | (threshold <= 0))
+    near = C.dealt(want, to, lambda least, other: (least <= most) | (threshold <= 0))
     sims = C.products(near, to, found, "old long, new long, s double")
     left, done = materialize(sims, "similar"), []
     while not left.isEmpty():

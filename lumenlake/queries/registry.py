@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lumenlake.functions import detections as D
 from lumenlake.functions import tokens as T
 from lumenlake.functions import values as V
-from lumenlake.graph import components
+from lumenlake.graph import components, extended
 from lumenlake.operators import bursts, catalogue, decide, events, mutate, pairs, reconcile, vectors
 from lumenlake.sources.fixtures import duckdb_with, view
 
@@ -186,10 +186,19 @@ def _(i):
     return catalogue.facets(i, ["camera_model", "lens_model"])
 
 
-@_add("q_9_library_statistics", "images_fx metrics_fx", _SHEET + " SELECT CAST(l.range AS BIGINT) AS id, concat('/lib', l.range) AS root_path, count(j.id) AS images, CAST(0 AS BIGINT) AS errors, count(*) FILTER (verdict = 'keeper') AS keeper, count(*) FILTER (verdict = 'review') AS review, count(*) FILTER (verdict = 'reject') AS reject FROM range(1, 7) l LEFT JOIN j ON j.library_id = l.range GROUP BY ALL")
+@_add(
+    "q_9_library_statistics",
+    "images_fx metrics_fx",
+    _SHEET
+    + """, bad AS (SELECT library_id, count(*) AS n FROM images_fx WHERE id % 37 = 0 GROUP BY library_id),
+per AS (SELECT library_id, count(*) AS images, count(*) FILTER (verdict = 'keeper') AS keeper, count(*) FILTER (verdict = 'review') AS review, count(*) FILTER (verdict = 'reject') AS reject FROM j GROUP BY library_id)
+SELECT CAST(l.range AS BIGINT) AS id, concat('/lib', l.range) AS root_path, CASE WHEN l.range <> 4 THEN make_timestamp(l.range * 5 % 3 * 86400000000) END AS added_at,
+  coalesce(images, 0) AS images, coalesce(n, 0) AS errors, coalesce(keeper, 0) AS keeper, coalesce(review, 0) AS review, coalesce(reject, 0) AS reject
+FROM range(1, 7) l LEFT JOIN per ON per.library_id = l.range LEFT JOIN bad ON bad.library_id = l.range ORDER BY added_at DESC NULLS LAST, id DESC""",
+)
 def _(i, m):
-    libraries = i.sparkSession.range(1, 7).select("id", F.concat(F.lit("/lib"), F.col("id").cast("string")).alias("root_path"))
-    return catalogue.library_statistics(libraries, i, _verdicts(m), i.where("false").select("library_id"))
+    libraries = i.sparkSession.range(1, 7).select("id", F.concat(F.lit("/lib"), F.col("id").cast("string")).alias("root_path"), F.expr("CASE WHEN id <> 4 THEN cast(timestamp_seconds(id * 5 % 3 * 86400) AS timestamp_ntz) END").alias("added_at"))
+    return catalogue.library_statistics(libraries, i, _verdicts(m), i.where("id % 37 = 0").select("library_id", "path", F.lit("not decoded").alias("error")))
 
 
 @_add("q_10_global_statistics", "images_fx metrics_fx", _DECIDED + " SELECT (SELECT count(*) FROM images_fx) AS images, (SELECT count(DISTINCT library_id) FROM images_fx) AS libraries, count(*) FILTER (verdict = 'keeper') AS keeper, count(*) FILTER (verdict = 'review') AS review, count(*) FILTER (verdict = 'reject') AS reject, (SELECT count(DISTINCT image_id // 3) FROM metrics_fx) AS bursts FROM verdicts_fx")
@@ -218,6 +227,14 @@ def _(i):
     return components(pairs.duplicate_links(i)).select("node", "component")
 
 
+@_add("graph_1_extended", "images_fx", _EDGES + _REACH + " SELECT node, c AS component FROM comp")
+def _(i):
+    """Components of four fifths of the links, then of the rest on top of them."""
+    links = pairs.duplicate_links(i)
+    late = F.pmod(F.xxhash64("src", "dst"), F.lit(5)) == 0
+    return extended(components(links.where(~late)), links.where(late)).select("node", "component")
+
+
 @_add("grp_2_bursts", "images_fx metrics_fx", _NEAR + _REACH + f", {_FLAGS}, r AS (SELECT c, node, capture_s, round({_BURST_SCORE}, 9) AS s FROM comp JOIN images_fx ON id = node JOIN f ON image_id = node), k AS (SELECT c, row_number() OVER (ORDER BY t NULLS LAST, n) AS burst_id FROM (SELECT c, min(capture_s) AS t, arg_min(node, (coalesce(capture_s, 9e15), node)) AS n FROM r GROUP BY c)) SELECT burst_id, node AS image_id, row_number() OVER (PARTITION BY r.c ORDER BY s DESC, capture_s NULLS LAST, node) = 1 AS is_best FROM r JOIN k ON k.c = r.c")
 def _(i, m):
     return bursts.group_bursts(i, m)
@@ -294,8 +311,22 @@ def _(i):
     return reconcile.pending(_files(i).select("path", "mtime"), i)
 
 
-@_add("jn_2_reconcile", "images_fx", _FILES + ", gone AS (SELECT * FROM images_fx ANTI JOIN files_fx USING (path)), fresh AS (SELECT * FROM files_fx ANTI JOIN images_fx USING (path)), h AS (SELECT min(g.id) AS id, f.path AS np FROM gone g JOIN fresh f ON f.content_hash = g.content_hash GROUP BY f.path), s AS (SELECT size_bytes, capture_s, camera_model, min(path) AS np FROM fresh WHERE path NOT IN (SELECT np FROM h) AND capture_s IS NOT NULL AND camera_model IS NOT NULL GROUP BY ALL HAVING count(*) = 1), z AS (SELECT min(g.id) AS id, s.np FROM gone g JOIN s ON g.size_bytes = s.size_bytes AND g.capture_s = s.capture_s AND g.camera_model = s.camera_model WHERE g.id NOT IN (SELECT id FROM h) GROUP BY s.np), moved AS (SELECT * FROM h UNION ALL SELECT * FROM z) SELECT id, path, 'kept' AS status FROM images_fx SEMI JOIN files_fx USING (path) UNION ALL SELECT id, np, 'rehoused' FROM moved UNION ALL SELECT id, path, 'removed' FROM gone WHERE id NOT IN (SELECT id FROM moved)")
+@_add(
+    "jn_2_reconcile",
+    "images_fx",
+    ", copies AS (SELECT * REPLACE (concat('v2:', md5(CAST(id // 40 AS VARCHAR))) AS content_hash) FROM images_fx)"
+    + _FILES.replace("images_fx", "copies")
+    + """, gone AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY id) AS k FROM copies ANTI JOIN files_fx USING (path)),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY path) AS k FROM files_fx ANTI JOIN copies USING (path)),
+h AS (SELECT g.id, f.path AS np FROM gone g JOIN fresh f ON f.content_hash = g.content_hash AND f.k = g.k),
+s AS (SELECT size_bytes, capture_s, camera_model, min(path) AS np FROM fresh WHERE path NOT IN (SELECT np FROM h) AND capture_s IS NOT NULL AND camera_model IS NOT NULL GROUP BY ALL HAVING count(*) = 1),
+y AS (SELECT min(g.id) AS id, s.np FROM gone g JOIN s ON g.size_bytes = s.size_bytes AND g.capture_s = s.capture_s AND g.camera_model = s.camera_model WHERE g.id NOT IN (SELECT id FROM h) GROUP BY s.np),
+moved AS (SELECT * FROM h UNION ALL SELECT id, min(np) FROM y GROUP BY id)
+SELECT id, path, 'kept' AS status FROM copies SEMI JOIN files_fx USING (path) UNION ALL SELECT id, np, 'rehoused' FROM moved UNION ALL SELECT id, path, 'removed' FROM gone WHERE id NOT IN (SELECT id FROM moved)""",
+)
 def _(i):
+    """Up to forty images have one content, of which some are moved and some are gone."""
+    i = i.withColumn("content_hash", F.concat(F.lit("v2:"), F.md5(F.expr("id div 40").cast("string"))))
     return reconcile.reconcile(_files(i), i)
 
 
@@ -312,6 +343,19 @@ def _(i):
     return reconcile.organize_plan(i, "/out", ["date:YYYY/MM", "camera:make"])
 
 
+@_add(
+    "org_1_existing",
+    "images_fx",
+    f""", t AS (SELECT id, path, {_NAMED} AS target FROM images_fx), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY id) > 1 OR target IN (SELECT target FROM t WHERE id % 5 = 0) AS again FROM t)
+SELECT id, path AS source, CASE WHEN again THEN concat(regexp_replace(target, '\\.[^./]+$', ''), '__', substr(sha1(path), 1, 6), regexp_extract(target, '\\.[^./]+$')) ELSE target END AS target FROM r""",
+)
+def _(i):
+    """Some of the targets hold a file already."""
+    there = reconcile.organize_plan(i, "/out", ["date:YYYY/MM", "camera:make"]).where("id % 5 = 0 AND target NOT LIKE '%\\_\\_%'").select(F.col("target").alias("path"))
+    plain = i.where("id % 5 = 0").select(F.concat_ws("/", F.lit("/out"), T.token("date:YYYY/MM"), T.token("camera:make"), F.element_at(F.split("path", "/"), -1)).alias("path"))
+    return reconcile.organize_plan(i, "/out", ["date:YYYY/MM", "camera:make"], there.union(plain))
+
+
 @_add(
     "mut_1_upsert",
     "images_fx",

@@ -14,6 +14,7 @@ from lumenlake.operators import bursts, catalogue, decide, events, mutate, recon
 from lumenlake.plans.pipelines import faces_run
 from lumenlake.queries.registry import _BOTH, _BURST_SCORE, _COS, _DECIDED, _FLAGS, _NAMED, _REACH, _SHEET, _add, _verdicts
 from lumenlake.shared import materialize
+from lumenlake.sources import metrics as measures
 from lumenlake.sources.files import parse_metrics
 
 _MEM = ", mem AS (SELECT image_id // 3 AS burst_id, image_id, image_id % 3 = 0 AS is_best FROM metrics_fx)"
@@ -110,6 +111,44 @@ def _(i):
 # ---- decisions, listings
 
 
+def _as_json(m: DataFrame) -> DataFrame:
+    """image_id, metrics_json: the fixture's measures as a pipeline stores them, with as many face subjects as faces and one
+    more subject that is wider than any."""
+    c, x = F.col, F.expr
+    sharp = lambda score: F.struct("laplacian_var", "tenengrad", "fft_anisotropy", c(score).alias("score"), "blur_angle_deg")
+    faces = x("transform(sequence(1, 8), k -> named_struct('bbox', array(10 * k, 20, cast(100 + (image_id * 59 + k * 131) % 900 as int), cast(100 + (image_id * 67 + k * 37) % 300 as int)), 'kind', 'face', 'confidence', 0.9d, 'is_primary', k = 1))")
+    other = x("array(named_struct('bbox', array(0, 0, 2000, 1300), 'kind', 'saliency', 'confidence', 0.5d, 'is_primary', false))")
+    struct = lambda *names: F.struct(*names)
+    fields = {
+        "sharpness": sharp("sharp_score"),
+        "subject_sharpness": F.when(c("subject_sharp_score").isNotNull(), sharp("subject_sharp_score")),
+        "subjects": F.concat(other, F.filter(faces, lambda s: s["bbox"][0] <= 10 * c("faces"))),
+        "exposure": struct("mean_luma", "dynamic_range", "clipped_highlight", "clipped_shadow"),
+        "eyes": struct("faces", "closed_count", "any_closed", "occluded_count", "min_ear", "max_blink", "max_smile"),
+        "composition": struct("horizon_tilt_deg", "thirds_offset"),
+        "aesthetic_score": c("aesthetic_score"),
+        "aesthetic_source": c("aesthetic_source"),
+        "color": F.struct(F.array(F.array("dom_r", "dom_g", "dom_b")).alias("dominant"), "temperature", "saturation", "cast_strength", "cast_hue"),
+        "decoded_size": x("array(2000, 1333)"),
+        "depth": struct("focus_on_background"),
+        "scene": F.struct(c("scene").alias("primary")),
+        "content_type": F.struct(c("content_type").alias("class")),
+        "animals": x("CASE WHEN image_id % 7 = 0 THEN array(named_struct('species', 'cat', 'confidence', 0.8d)) END"),
+    }
+    return m.select("image_id", F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()])).alias("metrics_json"))
+
+
+_NESTED = """, faced AS (SELECT image_id AS face_of, list_max(list_transform(range(1, faces + 1), lambda k: {'w': 100 + (image_id * 59 + k * 131) % 900, 'h': 100 + (image_id * 67 + k * 37) % 300})) AS face FROM metrics_fx),
+nested_fx AS (SELECT m.* REPLACE (CAST(face.w AS INTEGER) AS face_w, CAST(face.h AS INTEGER) AS face_h) FROM metrics_fx m JOIN faced ON face_of = image_id)"""
+
+
+@_add("dec_3_nested_metrics", "metrics_fx", _NESTED + _DECIDED.replace("metrics_fx", "nested_fx") + " SELECT v.image_id, verdict, stars, label, reasons, warnings, round(score, 9) AS score, face_w, face_h, dom_r, scene, content_type, CASE WHEN v.image_id % 7 = 0 THEN ['cat'] END AS animals FROM verdicts_fx v JOIN nested_fx n ON n.image_id = v.image_id")
+def _(m):
+    """From stored JSON text to verdicts; the chosen face comes out of the subjects."""
+    wide = measures.flat(measures.parsed(_as_json(m)))
+    return decide.decide(wide).withColumn("score", F.round("score", 9)).join(wide.select("image_id", "face_w", "face_h", "dom_r", "scene", "content_type", "animals"), "image_id")
+
+
 @_add("dec_8_reclassify", "metrics_fx", _DECIDED + ", new AS (WITH " + _DECIDED.lstrip(", \n").replace("0.55e0", "0.62e0") + " SELECT * FROM verdicts_fx) SELECT image_id, CASE WHEN o.user_override THEN o.verdict ELSE n.verdict END AS verdict, CASE WHEN o.user_override THEN o.stars ELSE n.stars END AS stars, CASE WHEN o.user_override THEN o.reasons ELSE n.reasons END AS reasons, o.user_override FROM verdicts_fx o JOIN new n USING (image_id)")
 def _(m):
     return decide.reclassify(m, _verdicts(m), decide.Thresholds(sharp_keeper=0.62)).select("image_id", "verdict", "stars", "reasons", "user_override")
@@ -289,7 +328,7 @@ def _(i):
 _FAR = "pow(sin((radians(lat) - radians(gps_lat)) / 2), 2) + cos(radians(gps_lat)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(gps_lon)) / 2), 2)"
 
 
-@_add("jn_5_nearest_place", "images_fx places_fx", f", s AS (SELECT DISTINCT gps_lat, gps_lon FROM images_fx WHERE gps_lat IS NOT NULL), b AS (SELECT gps_lat, gps_lon, min(struct_pack(d := round({_FAR}, 12), country := country, city := city)) AS b FROM s, places_fx GROUP BY ALL) SELECT id, b.country AS country, b.city AS city FROM images_fx i LEFT JOIN b ON b.gps_lat = i.gps_lat AND b.gps_lon = i.gps_lon")
+@_add("jn_5_nearest_place", "images_fx places_fx", f", s AS (SELECT DISTINCT gps_lat, gps_lon FROM images_fx WHERE gps_lat IS NOT NULL), b AS (SELECT gps_lat, gps_lon, min(struct_pack(d := round({_FAR}, 12), country := country, region := region, city := city)) AS b FROM s, places_fx GROUP BY ALL) SELECT id, b.country AS country, b.region AS region, b.city AS city FROM images_fx i LEFT JOIN b ON b.gps_lat = i.gps_lat AND b.gps_lon = i.gps_lon")
 def _(i, p):
     return reconcile.nearest_place(i, p)
 
@@ -337,11 +376,17 @@ def _(f):
 _CENTRES = "SELECT cluster_id, list(v / n ORDER BY i) AS embedding FROM (SELECT cluster_id, i, v, sqrt(sum(v * v) OVER (PARTITION BY cluster_id)) AS n FROM (SELECT cluster_id, i, avg(CAST(v AS DOUBLE)) AS v FROM (SELECT cluster_id, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM {0} WHERE cluster_id IS NOT NULL) GROUP BY ALL)) GROUP BY cluster_id"
 
 
+#: labelled old centres a take new ones b, one after another; {0}: the threshold
+_ANCHORED = (
+    f"), sims AS (SELECT dense_rank() OVER (ORDER BY a.cluster_id) AS k, a.cluster_id AS old, b.cluster_id AS new, round({_COS}, 9) AS s FROM a, b),"
+    " step AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken, CAST(NULL AS INTEGER) AS old, CAST(NULL AS INTEGER) AS new UNION ALL SELECT t.k + 1, CASE WHEN p.new IS NULL THEN taken ELSE list_append(taken, p.new) END, o.old, p.new FROM step t JOIN (SELECT DISTINCT k, old FROM sims) o ON o.k = t.k + 1 LEFT JOIN LATERAL (SELECT q.new FROM sims q WHERE q.k = t.k + 1 AND q.s >= {0} AND NOT list_contains(t.taken, q.new) ORDER BY q.s DESC, q.new LIMIT 1) p ON true)"
+)
+
+
 @_add(
     "vec_6_reanchor",
     "faces_fx",
-    ", moved AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN cluster_id + 100 ELSE cluster_id + 50 END AS cluster_id) FROM faces_fx), a AS (" + _CENTRES.format("faces_fx") + "), b AS (" + _CENTRES.format("moved") + f"), sims AS (SELECT dense_rank() OVER (ORDER BY a.cluster_id) AS k, a.cluster_id AS old, b.cluster_id AS new, round({_COS}, 9) AS s FROM a, b),"
-    " step AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken, CAST(NULL AS INTEGER) AS old, CAST(NULL AS INTEGER) AS new UNION ALL SELECT t.k + 1, CASE WHEN p.new IS NULL THEN taken ELSE list_append(taken, p.new) END, o.old, p.new FROM step t JOIN (SELECT DISTINCT k, old FROM sims) o ON o.k = t.k + 1 LEFT JOIN LATERAL (SELECT q.new FROM sims q WHERE q.k = t.k + 1 AND q.s >= 0.3e0 AND NOT list_contains(t.taken, q.new) ORDER BY q.s DESC, q.new LIMIT 1) p ON true)"
+    ", moved AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN cluster_id + 100 ELSE cluster_id + 50 END AS cluster_id) FROM faces_fx), a AS (" + _CENTRES.format("faces_fx") + "), b AS (" + _CENTRES.format("moved") + _ANCHORED.format('0.3e0') +
     " SELECT CAST(new AS BIGINT) AS cluster_id, concat('name ', old) AS label FROM step WHERE new IS NOT NULL",
 )
 def _(f):
@@ -364,7 +409,26 @@ def _(f):
 @_add("pipe_4_faces_run", "faces_fx", _ASSIGN + " SELECT f.id, coalesce(CAST(f.cluster_id AS BIGINT), g.cluster_id) AS cluster_id FROM faces_fx f LEFT JOIN given g ON g.id = f.id")
 def _(f):
     labels = f.where("false").select("cluster_id", F.lit("").alias("label"))
-    return faces_run(f, labels, 0.8)[0].select("id", F.col("cluster_id").cast("long").alias("cluster_id"))
+    return faces_run(f, labels, vectors.ClusterConfig(0.8))[0].select("id", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+@_add(
+    "pipe_4_full_run",
+    "faces_fx",
+    f", e AS (SELECT a.id AS x, b.id AS y FROM faces_fx a JOIN faces_fx b ON a.id <> b.id WHERE {_COS} >= 0.38e0), reach AS (SELECT id AS node, id AS seen FROM faces_fx UNION SELECT node, y FROM reach JOIN e ON seen = x), comp AS (SELECT node, min(seen) AS c FROM reach GROUP BY node),"
+    " named AS (SELECT node, dense_rank() OVER (ORDER BY c) - 1 AS k FROM comp), moved AS (SELECT f.* REPLACE (n.k AS cluster_id) FROM faces_fx f JOIN named n ON n.node = f.id), a AS ("
+    + _CENTRES.format("faces_fx")
+    + "), b AS ("
+    + _CENTRES.format("moved")
+    + _ANCHORED.format("0.38e0")
+    + " SELECT CAST(m.cluster_id AS BIGINT) AS cluster_id, count(*) AS faces, min(m.id) AS first, concat('name ', any_value(old)) AS label FROM moved m LEFT JOIN step ON new = m.cluster_id GROUP BY m.cluster_id",
+)
+def _(f):
+    """All faces clustered anew, with the labels that the old clusters hand on."""
+    labels = f.where("cluster_id is not null").select("cluster_id").distinct().withColumn("label", F.concat(F.lit("name "), F.col("cluster_id").cast("string")))
+    faces, kept = faces_run(f, labels, vectors.ClusterConfig(0.38), full=True)
+    per = faces.groupBy("cluster_id").agg(F.count("*").alias("faces"), F.min("id").alias("first"))
+    return per.join(kept, "cluster_id", "left").select("cluster_id", "faces", "first", F.coalesce("label", F.lit("name ")).alias("label"))
 
 
 @_add("vec_8_preview", "faces_fx", f", e AS (SELECT a.id AS x, b.id AS y FROM faces_fx a JOIN faces_fx b ON a.id <> b.id WHERE {_COS} >= 0.5e0), reach AS (SELECT id AS node, id AS seen FROM faces_fx UNION SELECT node, y FROM reach JOIN e ON seen = x) SELECT count(*) AS faces, count(DISTINCT c) AS clusters FROM (SELECT node, min(seen) AS c FROM reach GROUP BY node)")
