@@ -46,3 +46,17 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     out = materialize(nodes.join(now.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component")), "components")
     release(named, now)
     return out
+
+
+def extended(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """labels (node, component), as components gave them, after more edges: each component contracts to its label, and only the
+    labels that new edges touch are joined anew. Nodes that are new are added; a component is still its least node."""
+    named = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "new-edges")
+    ends = named.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    of = materialize(ends.join(labels, "node", "left").withColumn("known", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "node")), "touched")
+    side = lambda c, name: of.select(F.col("node").alias(c), F.col("component").alias(name))
+    moved = components(named.join(side("u", "a"), "u").join(side("v", "b"), "v"), "a", "b")  # old label -> least label
+    fresh = of.where("not known").select("node", F.col("node").alias("component"))
+    rows = labels.select("node", "component").unionByName(fresh)
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to")).where("component <> to")
+    return rows.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

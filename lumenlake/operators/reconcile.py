@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.tokens import token
 from lumenlake.operators.bursts import numbered
-from lumenlake.shared import materialize
+from lumenlake.shared import materialize, release
 
 
 def pending(files: DataFrame, images: DataFrame, force: bool = False) -> DataFrame:
@@ -56,37 +56,58 @@ def live_pairs(files: DataFrame) -> DataFrame:
     return parts.where(order == 0).join(video, ["dir", "stem"]).select("path", "video")
 
 
-#: widths of the cells, on a sphere of radius 1, that are searched in turn; the last one's neighbours hold every place
-CELLS = (0.01, 0.04, 0.16, 0.64, 2.56)
+#: width of the finest cells, on a sphere of radius 1, and how often they are joined four by four along each axis; the
+#: neighbours of the coarsest hold every place
+FINEST, LEVELS = 2.56 / 4**7, 7
+#: places about a cell above which it is split, down to the finest width
+LEAF = 64
 
 
-def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id") -> DataFrame:
-    """id, country, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least names on ties; null
-    without coordinates or places.
+def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id", leaf: int = LEAF) -> DataFrame:
+    """id, country, region, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least names on ties;
+    null without coordinates or places.
 
-    places (country, city, lat, lon) is a gazetteer. Distinct coordinates are looked up once, in the 27 cells about them: a
-    place no farther than a cell's width is surely among those, and coordinates without one go on to wider cells.
+    places (country, region, city, lat, lon; region may be missing) is a gazetteer. It makes a tree of cells: a cell lists the
+    places in it and about it, and one with more than leaf places has finer cells below it. Distinct coordinates look into the
+    finest cell that lists any, and a place no farther than its width is surely the nearest; the others climb to the next
+    coarser cell. It is the gazetteer that is repeated in neighbouring cells, not the coordinates: these are one row each, and
+    those of a hot cell are dealt to many tasks, with its few places.
     """
     rad = F.radians
 
     def point(df: DataFrame, lat: str, lon: str) -> DataFrame:
-        return df.withColumns({"_x": F.cos(rad(lat)) * F.cos(rad(lon)), "_y": F.cos(rad(lat)) * F.sin(rad(lon)), "_z": F.sin(rad(lat))})
+        axes = {"_x": F.cos(rad(lat)) * F.cos(rad(lon)), "_y": F.cos(rad(lat)) * F.sin(rad(lon)), "_z": F.sin(rad(lat))}
+        return df.withColumns({c: F.floor(v / FINEST).cast("long") for c, v in axes.items()})
 
-    cell = lambda width, by=(0, 0, 0): [(F.floor(F.col(c) / width) + d).alias(f"_c{c}") for c, d in zip(("_x", "_y", "_z"), by, strict=True)]
+    named = places if "region" in places.columns else places.withColumn("region", F.lit(None).cast("string"))
+    known = point(named.where("lat is not null and lon is not null").select("country", "region", "city", "lat", "lon"), "lat", "lon")
     far = F.pow(F.sin((rad("lat") - rad("gps_lat")) / 2), F.lit(2)) + F.cos(rad("gps_lat")) * F.cos(rad("lat")) * F.pow(F.sin((rad("lon") - rad("gps_lon")) / 2), F.lit(2))
-    known = point(places.where("lat is not null and lon is not null").select("country", "city", "lat", "lon"), "lat", "lon")
-    left = point(df.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct(), "gps_lat", "gps_lon")
     about = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    at = lambda level, by=(0, 0, 0): F.struct(*[(F.shiftright(c, 2 * level) + d).alias(c) for c, d in zip(("_x", "_y", "_z"), by, strict=True)])
+    above = F.struct(*[F.shiftright(F.col(f"_cell.{c}"), 2).alias(c) for c in ("_x", "_y", "_z")])
+    levels, full = [], None
+    for level in range(LEVELS, -1, -1):
+        listed = known.withColumn("_cell", F.explode(F.array(*[at(level, d) for d in about])))
+        listed = listed if full is None else listed.join(full.withColumnRenamed("_cell", "_above"), F.col("_above") == above, "left_semi")
+        levels.append((level, materialize(listed.select("_cell", "country", "region", "city", "lat", "lon"), "level")))
+        full = levels[-1][1].groupBy("_cell").agg(F.count("*").alias("n")).where(F.col("n") > leaf).select("_cell")
+        if full.isEmpty():
+            break
+        # finer cells only below full ones, of the places that these list
+        known = point(levels[-1][1].join(full, "_cell", "left_semi").drop("_cell").distinct(), "lat", "lon")
+    left = point(df.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct(), "gps_lat", "gps_lon")
     best = None
-    for width in CELLS:
-        spots = left.withColumn("_c", F.explode(F.array(*[F.struct(*cell(width, d)) for d in about]))).select("gps_lat", "gps_lon", "_c.*")
-        met = spots.join(known.select("country", "city", "lat", "lon", *cell(width)), ["_c_x", "_c_y", "_c_z"])
-        met = met.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), "country", "city")).alias("b"))
+    for level, listed in reversed(levels):
+        width = FINEST * 4**level
+        met = left.withColumn("_cell", at(level)).join(listed, "_cell")
+        met = met.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), "country", "region", "city")).alias("b"))
         # the chord is twice the root of far
-        sure = materialize(met if width == CELLS[-1] else met.where(4 * F.col("b.d") <= 0.98 * width * width), "places")
+        sure = materialize(met if level == LEVELS else met.where(4 * F.col("b.d") <= 0.98 * width * width), "places")
         best = sure if best is None else best.unionByName(sure)
         left = left.join(sure, ["gps_lat", "gps_lon"], "left_anti")
-    return df.select(id_col, "gps_lat", "gps_lon").join(best, ["gps_lat", "gps_lon"], "left").select(id_col, F.col("b.country").alias("country"), F.col("b.city").alias("city"))
+    release(*[listed for _, listed in levels])
+    found = df.select(id_col, "gps_lat", "gps_lon").join(best, ["gps_lat", "gps_lon"], "left")
+    return found.select(id_col, *[F.col(f"b.{c}").alias(c) for c in ("country", "region", "city")])
 
 
 def organize_plan(df: DataFrame, root: str, tokens: list[str], existing: DataFrame | None = None) -> DataFrame:

@@ -75,7 +75,7 @@ FACES = {
 }
 
 PROPS = {"id": "event_id", "props": "props"}
-PLACES = {"country": "concat('country ', CAST(c_nationkey AS {S}))", "city": "concat('city ', CAST(c_custkey AS {S}))", "lat": "CAST(c_custkey * 37 % 170 - 85 AS DOUBLE)", "lon": "CAST(c_custkey * 101 % 360 - 180 AS DOUBLE)"}
+PLACES = {"country": "concat('country ', CAST(c_nationkey AS {S}))", "region": "CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE concat('region ', CAST(c_custkey % 7 AS {S})) END", "city": "concat('city ', CAST(c_custkey AS {S}))", "lat": "CAST(c_custkey * 37 % 170 - 85 AS DOUBLE)", "lon": "CAST(c_custkey * 101 % 360 - 180 AS DOUBLE)"}
 
 SPARK = {"S": "STRING", "div": "div", "sec": "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"}
 DUCKDB = {"S": "VARCHAR", "div": "//", "sec": "(epoch_us(ts) // 1000000)"}
