@@ -1,11 +1,12 @@
-"""Removal of every byte that a LENGTH-byte string, found elsewhere too, covers: by prefix-free parsing.
-
-Triggers cut all texts alike: places whose rolling hash of TRIGGER bytes is the least of some LENGTH-byte window. Every
-window has one, so any repeated string meets its copies at a trigger. The dictionary holds, for each trigger string, its
-distinct surroundings (LENGTH bytes to the right, LENGTH - TRIGGER to the left, inside the document); the parse holds
-their places. Surroundings that occur twice are repeated throughout. The others of a trigger are compared by the hashes of
-all their LENGTH-byte windows, so each window's answer is exact. A trigger with more than GROUP different surroundings is
-narrowed down by shuffles instead, in work that grows with their number, so that no task holds a whole group.
+"""Removal of every byte that a LENGTH-byte string, found elsewhere too, covers: by surroundings of rolling-hash triggers.
+
+Triggers cut all texts alike, as in prefix-free parsing, of which this keeps no more (no suffix arrays; README has the
+figures): places whose rolling hash of TRIGGER bytes is the least of some LENGTH-byte window. Every window has one, so any
+repeated string meets its copies at a trigger. For each trigger string its distinct surroundings are gathered (LENGTH bytes to
+the right, LENGTH - TRIGGER to the left, inside the document), with their places. Surroundings that occur twice are repeated
+throughout. The others of a trigger are compared by the 64-bit hashes of all their LENGTH-byte windows, so each window's answer
+is exact but for collisions of hashes. A trigger with more than GROUP different surroundings is narrowed down by shuffles
+instead, in work that grows with their number, so that no task holds a whole group.
 
 Rows are known by 96 bits of their content.
 

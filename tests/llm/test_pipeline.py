@@ -117,6 +117,23 @@ def test_mixing(spark, docs, rows, tables):
     assert sum(r.n_tokens * r.copies for r in got) <= 0.6 * sum(len(spaced(r[1])) for r in rows)
 
 
+def test_mixing_equals_sql(spark, tables):
+    """The stage against DuckDB's water-filling, an implementation of its own, on rows with ids."""
+    import duckdb
+    import pyarrow as pa
+
+    from lumenlake.llm.oracles import OP2
+
+    rnd = random.Random(21)
+    rows = [(i, " ".join("w" * rnd.randrange(1, 5) for _ in range(rnd.choice([0, 3, 40, 300]))), rnd.choice(["en", "en", "de", None]), rnd.choice([f"s{k}" for k in range(7)] + [None]), 1) for i in range(300)]
+    documents = pa.table(list(map(list, zip(*rows, strict=True))), p.COLUMNS)
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, domain, n_tokens, copies FROM ({OP2}) WHERE copies > 0").fetchall()}
+    got = p.mixing(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), tables).collect()
+    assert {r.doc_id: (r.domain, r.n_tokens, r.copies) for r in got} == want and len(got) == len(want)
+
+
 def test_whole_chain(spark, rows, tables, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
