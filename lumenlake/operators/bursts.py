@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.graph import components
+from lumenlake.graph import components, extended
 from lumenlake.operators.decide import burst_score, exposure_flags
 from lumenlake.operators.pairs import burst_pairs, duplicate_links
 
@@ -29,6 +29,19 @@ def group_bursts(images: DataFrame, metrics: DataFrame, config: BurstConfig = Bu
     return rows.join(numbered(first, "first", "burst_id", 1), "component").select("burst_id", F.col("node").alias("image_id"), "is_best")
 
 
+def extended_bursts(images: DataFrame, fresh: DataFrame, labels: DataFrame, config: BurstConfig = BurstConfig()) -> DataFrame:
+    """labels (node, component) of a library's bursts after new images, of which fresh has the ids: equal to a full run. Only
+    images in the moments that new ones touch, and the untimed ones of their libraries if new ones are untimed, are compared;
+    only labels that new links touch are joined anew. images hold the new ones too."""
+    width = max(config.seconds, 1)
+    lib, span = F.coalesce(F.col("library_id").cast("string"), F.lit("\0")), F.floor(F.col("capture_s") / width)
+    placed = images.where("phash is not null").withColumns({"_lib": lib, "_span": F.coalesce(span, F.lit(-(1 << 62)))})
+    new = placed.join(fresh.select("id"), "id", "left_semi")
+    around = F.when(F.col("capture_s").isNull(), F.array("_span")).otherwise(F.array(F.col("_span") - 1, F.col("_span"), F.col("_span") + 1))
+    touched = new.select("_lib", F.explode(around).alias("_span")).distinct()
+    return extended(labels, burst_pairs(placed.join(touched, ["_lib", "_span"], "left_semi").select(*images.columns), config.seconds, config.bits))
+
+
 def numbered(df: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
     """df with consecutive numbers in the order of a column, without one task for all rows: ranges are counted, then ranked."""
     from lumenlake.shared import materialize

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlake.functions.values import cosine
-from lumenlake.graph import components
+from lumenlake.graph import components, extended
 from lumenlake.operators import cells as C
 from lumenlake.operators.bursts import numbered
 from lumenlake.shared import materialize, release
@@ -85,10 +85,8 @@ def cosine_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", block
     return C.products(C.within(to, threshold), to, found, "src long, dst long", block).distinct()
 
 
-def cluster(faces: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
-    """id, cluster_id: components of the threshold graph, numbered by their least member; lone faces are clusters. Of each
-    pair of blocks a spanning forest is kept, fewer links than it has rows, not every pair."""
-    to = C.cells(faces.select("id", "embedding"), cell_rows)
+def _forest(probes: DataFrame, to: C.Cells, threshold: float, block: int) -> DataFrame:
+    """src, dst: of each pair of blocks a spanning forest of the pairs within the threshold."""
 
     def found(x: pd.DataFrame, m: np.ndarray, own: np.ndarray, b: np.ndarray) -> pd.DataFrame:
         ids = np.concatenate([x["id"].to_numpy(), own])
@@ -100,7 +98,14 @@ def cluster(faces: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows:
         out = pd.DataFrame({"src": ids[labels[some]], "dst": ids[some]})
         return out[out["src"] != out["dst"]]
 
-    links = C.products(C.within(to, threshold), to, found, "src long, dst long", block, whole=True)
+    return C.products(probes, to, found, "src long, dst long", block, whole=True)
+
+
+def cluster(faces: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
+    """id, cluster_id: components of the threshold graph, numbered by their least member; lone faces are clusters. Of each
+    pair of blocks a spanning forest is kept, fewer links than it has rows, not every pair."""
+    to = C.cells(faces.select("id", "embedding"), cell_rows)
+    links = _forest(C.within(to, threshold), to, threshold, block)
     with_selves = links.unionByName(faces.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     label = components(with_selves)
     to.release()
@@ -108,6 +113,19 @@ def cluster(faces: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows:
     return label.join(names, "component").select(F.col("node").alias("id"), "cluster_id")
 
 
+def extended_clusters(faces: DataFrame, fresh: DataFrame, labels: DataFrame, threshold: float, block: int = C.BLOCK, cell_rows: int = C.CELL_ROWS) -> DataFrame:
+    """labels (node, component) of the threshold graph after new faces, of which fresh has the ids: equal to a full run. Only new
+    faces are multiplied, by the cells that may hold near ones; faces hold the new ones too."""
+    to = C.cells(faces.select("id", "embedding"), cell_rows)
+    most = math.acos(max(-1.0, min(1.0, threshold))) + C.SLACK
+    new = to.rows.join(fresh.select("id").distinct(), "id", "left_semi").select("id", "embedding")
+    links = _forest(C.dealt(new, to, lambda least, other: (least <= most) | (threshold <= 0)), to, threshold, block)
+    own = fresh.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    out = materialize(extended(labels, links.unionByName(own)), "labels")
+    to.release()
+    return out
+
+
 def preview(faces: DataFrame, threshold: float) -> DataFrame:
     return cluster(faces, threshold).agg(F.count("*").alias("faces"), F.countDistinct("cluster_id").alias("clusters"))
 

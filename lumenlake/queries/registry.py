@@ -243,6 +243,13 @@ def _(i, m):
 _HEADS = "SELECT min(id) AS id, count(*) AS copies, phash FROM images_fx WHERE phash IS NOT NULL GROUP BY phash"
 
 
+@_add("grp_2_extended", "images_fx", _NEAR + _REACH + " SELECT node, c AS component FROM comp")
+def _(i):
+    """The bursts of three quarters of the images, then of the others on top of them."""
+    old, new = i.where("id % 4 <> 1"), i.where("id % 4 = 1")
+    return bursts.extended_bursts(i, new, components(pairs.burst_pairs(old))).select("node", "component")
+
+
 @_add("grp_3_hash_classes", "images_fx", f", c AS ({_HEADS}) SELECT i.id, c.id AS head, copies FROM images_fx i JOIN c ON c.phash = i.phash")
 def _(i):
     return pairs.hash_classes(i)
@@ -281,6 +288,14 @@ def _(f):
     return vectors.cluster(f, 0.38)
 
 
+@_add("vec_4_extended", "faces_fx", f", e AS (SELECT a.id AS x, b.id AS y FROM faces_fx a JOIN faces_fx b ON a.id <> b.id WHERE {_COS} >= 0.38e0)" + ", reach AS (SELECT id AS node, id AS seen FROM faces_fx UNION SELECT node, y FROM reach JOIN e ON seen = x) SELECT node, min(seen) AS component FROM reach GROUP BY node")
+def _(f):
+    """The clusters of nine tenths of the faces, then of the others on top of them."""
+    old = f.where("id % 10 <> 3")
+    labels = vectors.extended_clusters(old, old, f.sparkSession.createDataFrame([], "node long, component long"), 0.38)
+    return vectors.extended_clusters(f, f.where("id % 10 = 3"), labels, 0.38)
+
+
 @_add("vec_5_centroids", "faces_fx", ", x AS (SELECT cluster_id, unnest(range(1, 65)) AS i, unnest(embedding) AS v FROM faces_fx WHERE cluster_id IS NOT NULL), m AS (SELECT cluster_id, i, avg(CAST(v AS DOUBLE)) AS v FROM x GROUP BY ALL), n AS (SELECT cluster_id, sqrt(sum(v * v)) AS n FROM m GROUP BY ALL) SELECT cluster_id, i - 1 AS i, round(v / n, 6) AS x FROM m JOIN n USING (cluster_id)")
 def _(f):
     return vectors.centroids(f).select("cluster_id", F.posexplode("centroid").alias("i", "x")).select("cluster_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
