@@ -15,26 +15,36 @@ that costs least at its number of values, so that the pairs compared grow about
 Values travel in binary chunks of thousands, one for each mask and bucket; a group is sorted by what its mask keeps, and runs
 are compared by shifted arrays. A pair is kept under one mask only: that of its least v, which is told from the pair alone.
 Groups that hold more than CAP values, as many values may agree under a mask, are split into blocks that meet pair by pair.
+
+near_pairs gives every pair, AT_ONCE at a time. near_links is for components: dense values have very many pairs, so it first
+joins values that agree outside a window of r bits, and then looks only for links between what is not joined yet; a group
+gives a spanning forest of those.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlake.graph import components
+from lumenlake.operators.cells import joined_labels
 from lumenlake.shared import materialize
 
 U64 = np.uint64
 #: nanoseconds that a value costs under a mask, and a pair compared
 KEY_COST, PAIR_COST = 150.0, 10.0
 #: values of a group, and of one under the empty mask, at which it is dealt to more buckets
-CAP, CAP_ALL = 2_000_000, 50_000
+CAP, CAP_ALL = 500_000, 50_000
+#: pairs that a group holds before it hands them on; values of a run from which it is searched by stars; scopes that follow one
+#: another and meet in one group, as a power of two
+AT_ONCE, LONG, BESIDE = 1_000_000, 32, 6
 TRIES = 64
 WAYS = ("all", "halves", "thirds", "whole")
 
@@ -68,6 +78,9 @@ def parts(way: str, radius: int) -> tuple[Part, ...]:
     whole = (1 << 64) - 1
     if way == "all":
         return (Part(whole, radius, np.zeros(1, U64)),)
+    if way == "windows":
+        at = sorted({*range(0, 64 - radius, max(1, radius // 2)), 64 - radius}) if radius else [0]
+        return (Part(whole, radius, np.array([whole ^ (((1 << radius) - 1) << i) for i in at], U64)),)
     if way == "whole":
         return (_covered(whole, radius),)
     if way == "halves":
@@ -104,14 +117,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _dealt(values: DataFrame, way: str, radius: int, buckets: int, split: dict[tuple[int, int], int], sizes_only: bool = False) -> DataFrame:
-    """Chunks of values: f (a mask's number over all parts), bucket, i and j (blocks of a split group), side, scopes, values.
+    """Chunks of values: f (a mask's number over all parts), bucket, i and j (blocks of a split group), side, scopes, values, nodes.
     sizes_only: f, bucket and the number of values instead."""
     masks = np.concatenate([p.masks for p in parts(way, radius)])
+    beside = U64(BESIDE if way == "all" else 0)
 
     def run(batches):
         for batch in batches:
-            s, h = (batch.column(c).to_numpy(zero_copy_only=False).view(U64) for c in (0, 1))
-            place, rows = _mix(s ^ U64(0x5851F42D4C957F2D)), []
+            s, h, node = (batch.column(c).to_numpy(zero_copy_only=False).view(U64) for c in (0, 1, 2))
+            place, rows = _mix((s >> beside) ^ U64(0x5851F42D4C957F2D)), []
             for f, mask in enumerate(masks):
                 if buckets == 1:
                     groups = [(0, slice(None))]
@@ -125,43 +139,65 @@ def _dealt(values: DataFrame, way: str, radius: int, buckets: int, split: dict[t
                     if sizes_only:
                         rows.append((f, bucket, len(h[at])))
                         continue
-                    own, mine = h[at], s[at]
+                    own, mine, named = h[at], s[at], node[at]
                     block = (_mix(own ^ U64(0x2545F4914F6CDD1D)) % U64(n)).astype(np.int64) if n > 1 else None
                     for i in range(n):
-                        x, y = (own, mine) if block is None else (own[block == i], mine[block == i])
+                        x, y, z = (own, mine, named) if block is None else (own[block == i], mine[block == i], named[block == i])
                         if len(x):
-                            rows += [(f, bucket, min(i, j), max(i, j), int(j < i), y.tobytes(), x.tobytes()) for j in range(n)]
+                            rows += [(f, bucket, min(i, j), max(i, j), int(j < i), y.tobytes(), x.tobytes(), z.tobytes()) for j in range(n)]
                 if len(rows) >= 200 or sizes_only:
                     yield batch_of(rows)
                     rows = []
             if rows:
                 yield batch_of(rows)
 
-    names = ["f", "bucket", "n"] if sizes_only else ["f", "bucket", "i", "j", "side", "scopes", "found"]
+    names = ["f", "bucket", "n"] if sizes_only else ["f", "bucket", "i", "j", "side", "scopes", "found", "nodes"]
 
     def batch_of(rows):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-    return values.select("scope", "h").mapInArrow(run, "f long, bucket long, n long" if sizes_only else "f long, bucket long, i long, j long, side long, scopes binary, found binary")
+    return values.select("scope", "h", "node").mapInArrow(run, "f long, bucket long, n long" if sizes_only else "f long, bucket long, i long, j long, side long, scopes binary, found binary, nodes binary")
+
+
+def _runs(s: np.ndarray, kept: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by scope, what the mask keeps and what the part keeps; where runs of the first two start; and the ends of runs
+    of all three, for every value."""
+    order = np.lexsort((part, kept, s))
+    s, kept, part = s[order], kept[order], part[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (kept[1:] != kept[:-1])])
+    equal = np.flatnonzero(new | np.concatenate([[True], part[1:] != part[:-1]]))
+    return order, np.flatnonzero(new), np.repeat(np.append(equal[1:], len(s)), np.diff(np.append(equal, len(s))))
+
 
+def _read(chunks) -> Iterator[tuple[np.ndarray, ...]]:
+    """Scopes, values, nodes and sides of a group's batches."""
+    for batch in chunks:
+        named = {c: batch.column(c) for c in ("scopes", "found", "nodes", "side")}
+        s, h, node = (np.frombuffer(b"".join(named[c].to_pylist()), U64) for c in ("scopes", "found", "nodes"))
+        yield s, h, node, np.repeat(named["side"].to_numpy(), [len(x) // 8 for x in named["found"].to_pylist()])
 
-def _in_runs(s: np.ndarray, h: np.ndarray, side: np.ndarray | None, mask: int, radius: int) -> tuple[np.ndarray, ...]:
-    """Scope and both values of the pairs within the radius that agree under the mask; with sides, across them only."""
-    kept = h & U64(mask)
-    order = np.lexsort((kept, s))
-    s, h, kept = s[order], h[order], kept[order]
-    side = None if side is None else side[order]
-    new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (kept[1:] != kept[:-1])]))
+
+def _in_runs(s, h, node, side, part: Part, v: int, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Scope, both values and both nodes of the pairs within the radius that agree under mask v; with sides, across them only.
+    Values that agree in the whole part are paired under its first mask alone, as no other is their least."""
+    order, new, equal_end = _runs(s, h & part.masks[v - 1], h & U64(part.bits))
+    s, h, node, side = s[order], h[order], node[order], None if side is None else side[order]
     end = np.repeat(np.append(new[1:], len(h)), np.diff(np.append(new, len(h))))
-    at, k, found = np.flatnonzero(end - np.arange(len(h)) > 1), 1, []
-    while len(at):
-        hit = at[np.bitwise_count(h[at] ^ h[at + k]) <= radius]
-        hit = hit if side is None else hit[side[hit] != side[hit + k]]
-        if len(hit):
-            found.append((s[hit], h[hit], h[hit + k]))
-        k += 1
-        at = at[at + k < end[at]]
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U64),) * 3
+    at = np.arange(len(h))
+    other = at + 1 if v == 1 else equal_end
+    while True:
+        on = other < end[at]
+        at, other = at[on], other[on]
+        if not len(at):
+            return
+        for i in range(0, len(at), AT_ONCE):
+            a, b = at[i : i + AT_ONCE], other[i : i + AT_ONCE]
+            hit = np.bitwise_count(h[a] ^ h[b]) <= radius
+            hit = hit if side is None else hit & (side[a] != side[b])
+            a, b = a[hit], b[hit]
+            if len(a):
+                yield s[a], h[a], h[b], node[a], node[b]
+        other = other + 1
 
 
 def _least(z: np.ndarray, part: Part, v: int) -> np.ndarray:
@@ -173,61 +209,196 @@ def _least(z: np.ndarray, part: Part, v: int) -> np.ndarray:
     return out
 
 
-def _meeting(listed: tuple[Part, ...], radius: int):
-    """The pairs of one group of chunks: scope, a, b."""
-    numbers = [(p, v) for p, part in enumerate(listed) for v in range(1, len(part.masks) + 1)]
+def _numbers(listed: tuple[Part, ...]) -> list[tuple[int, int]]:
+    return [(p, v) for p, part in enumerate(listed) for v in range(1, len(part.masks) + 1)]
+
 
-    def met(key, chunks):
+def _meeting(listed: tuple[Part, ...], radius: int, rows_of: Callable[..., list[np.ndarray]], names: list[str]):
+    """The pairs of one group of chunks, as rows_of(scope, a, b, node of a, node of b) has them."""
+    numbers = _numbers(listed)
+
+    def met(key: tuple[pa.Scalar, ...], chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, v = numbers[key[0].as_py()]
-        part, found = listed[p], chunks.column("found").to_pylist()
-        s, h = (np.frombuffer(b"".join(x), U64) for x in (chunks.column("scopes").to_pylist(), found))
+        part = listed[p]
+        s, h, node, side = (np.concatenate(x) for x in zip(*_read(chunks), strict=True))
         apart = key[2].as_py() != key[3].as_py()
-        side = np.repeat(chunks.column("side").to_numpy(), [len(x) // 8 for x in found]) if apart else None
-        s, a, b = _in_runs(s, h, side, int(part.masks[v - 1]), radius)
-        z = a ^ b
-        ok = np.ones(len(z), bool)
-        for earlier in listed[:p]:
-            ok &= np.bitwise_count(z & U64(earlier.bits)) > earlier.radius
-        if len(part.masks) > 1:
-            own = z & U64(part.bits)
-            near = np.bitwise_count(own)
-            ok &= (near <= part.radius) & (near >= v.bit_length() - 1)
-            at = np.flatnonzero(ok)
-            ok[at] = _least(own[at], part, v)
-        s, a, b = s[ok], a[ok], b[ok]
-        return pa.table([pa.array(x.view(np.int64)) for x in (s, np.minimum(a, b), np.maximum(a, b))], ["scope", "a", "b"])
+        held, n = [], 0
+        for s, a, b, x, y in _in_runs(s, h, node, side if apart else None, part, v, radius):
+            z = a ^ b
+            ok = np.ones(len(z), bool)
+            for earlier in listed[:p]:
+                ok &= np.bitwise_count(z & U64(earlier.bits)) > earlier.radius
+            if len(part.masks) > 1:
+                own = z & U64(part.bits)
+                near = np.bitwise_count(own)
+                ok &= (near <= part.radius) & (near >= v.bit_length() - 1)
+                at = np.flatnonzero(ok)
+                ok[at] = _least(own[at], part, v)
+            held.append(rows_of(s[ok], a[ok], b[ok], x[ok], y[ok]))
+            n += int(ok.sum())
+            if n >= AT_ONCE:
+                yield _batch(held, names)
+                held, n = [], 0
+        if n:
+            yield _batch(held, names)
 
     return met
 
 
-def near_values(values: DataFrame, radius: int) -> DataFrame:
-    """values: scope long, h long, distinct, neither null. scope, a, b: the pairs of a scope that differ in radius bits at
-    most, a below b as unsigned numbers."""
-    if not 0 <= radius <= 12:
-        raise ValueError("radius must be 0 to 12; the masks of wider ones are too many")
-    spark, schema = values.sparkSession, "scope long, a long, b long"
-    if not radius:
-        return spark.createDataFrame([], schema)
+def _batch(held: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names)
+
+
+def _stars(h: np.ndarray, label: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what near pairs of the values join, of labels that may be joined already. Values within the radius of a
+    leader are its star; a value that is near to one of a star is within twice the radius of its leader."""
+    src, dst, leaders, members, left = [], [], [], [], np.arange(len(h))
+    group = label.copy()
+
+    def join(c: int, others: np.ndarray) -> None:
+        src.append(np.full(len(others), c))
+        dst.append(others)
+        group[np.isin(group, group[others])] = group[c]
+
+    while len(left):
+        near = np.bitwise_count(h[left] ^ h[left[0]]) <= radius
+        leaders.append(left[0])
+        members.append(left[near])
+        left = left[~near]
+        apart = members[-1][group[members[-1]] != group[leaders[-1]]]
+        if len(apart):
+            join(leaders[-1], apart)
+    for c, own in zip(leaders, members, strict=True):
+        other = np.flatnonzero(group != group[c])
+        if not len(other):
+            break
+        other = other[np.bitwise_count(h[other] ^ h[c]) <= 2 * radius]
+        width = max(1, AT_ONCE // len(own))
+        for i in range(0, len(other), width):
+            some = other[i : i + width]
+            hit = some[(np.bitwise_count(h[some][:, None] ^ h[own][None]) <= radius).any(1)]
+            if len(hit):
+                join(c, hit)
+    return (np.concatenate(src), np.concatenate(dst)) if src else (np.zeros(0, np.int64),) * 2
+
+
+def _forest(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least node and each other of the trees that edges between places of node make."""
+    nodes, at = np.unique(node, return_inverse=True)
+    label = joined_labels(np.arange(len(nodes)), at[i], at[j])
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[label[moved]], nodes[moved]
+
+
+def _joining(listed: tuple[Part, ...], radius: int, whole: bool = False):
+    """src, dst: a spanning forest of what one group of chunks joins. whole: all values of a run are near one another."""
+    numbers = _numbers(listed)
+
+    def met(key: tuple[pa.Scalar, ...], chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, v = numbers[key[0].as_py()]
+        s, h, node, _ = (np.concatenate(x) for x in zip(*_read(chunks), strict=True))
+        node = node.view(np.int64)
+        kept = h & listed[p].masks[v - 1]
+        order, new, _ = _runs(s, kept, h)
+        h, node, end = h[order], node[order], np.append(new[1:], len(h))
+        open_ = np.minimum.reduceat(node, new) != np.maximum.reduceat(node, new)  # runs of one label have nothing to join
+        new, end = new[open_], end[open_]
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if whole:
+            n = end - new
+            src, dst = [np.repeat(new, n)], [np.arange(n.sum()) + np.repeat(new - (np.cumsum(n) - n), n)]
+        else:
+            long = end - new >= LONG
+            for a, b in zip(new[long], end[long], strict=True):
+                i, j = _stars(h[a:b], node[a:b], radius)
+                src.append(i + a)
+                dst.append(j + a)
+            a, b = new[~long], end[~long]
+            n = b - a
+            at, stop = np.arange(n.sum()) + np.repeat(a - (np.cumsum(n) - n), n), np.repeat(b, n)
+            for k in range(1, LONG):
+                on = at + k < stop
+                at, stop = at[on], stop[on]
+                hit = at[(node[at] != node[at + k]) & (np.bitwise_count(h[at] ^ h[at + k]) <= radius)]
+                src.append(hit)
+                dst.append(hit + k)
+        a, b = _forest(node, np.concatenate(src), np.concatenate(dst))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["src", "dst"])
+
+    return met
+
+
+def _ways(values: DataFrame, radius: int) -> tuple[DataFrame, list[tuple[str, int]]]:
+    """values of scopes that hold two or more, with way; the ways, and how many values go each."""
     sizes = values.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1")
     way = F.lit(WAYS.index(limits(radius)[-1][1]))
     for n, name in reversed(limits(radius)[:-1]):
         way = F.when(F.col("n") <= n, WAYS.index(name)).otherwise(way)
-    own = materialize(values.join(sizes, "scope").select("scope", "h", way.alias("way")), "values")
-    out = None
-    for r in own.groupBy("way").count().collect():  # a row a way
-        name = WAYS[r["way"]]
-        mine = own.where(F.col("way") == r["way"])
-        cap = CAP_ALL if name == "all" else CAP
-        buckets = math.ceil(r["count"] / cap)
-        split = {}
-        if buckets > 1 and name != "all":
-            held = _dealt(mine, name, radius, buckets, {}, sizes_only=True).groupBy("f", "bucket").agg(F.sum("n").alias("n"))
-            split = {(x.f, x.bucket): math.ceil(x.n / cap) for x in held.where(F.col("n") > 2 * cap).collect()}  # fewer than masks * values / cap
-        got = _dealt(mine, name, radius, buckets, split).groupBy("f", "bucket", "i", "j").applyInArrow(_meeting(parts(name, radius), radius), schema)
-        out = got if out is None else out.unionByName(got)
+    own = materialize(values.join(sizes, "scope").select("scope", "h", "node", way.alias("way")), "values")
+    return own, [(WAYS[r["way"]], r["count"]) for r in own.groupBy("way").count().collect()]  # a row a way
+
+
+def _met(mine: DataFrame, name: str, radius: int, n: int, met, schema: str) -> DataFrame:
+    cap = CAP_ALL if name == "all" else CAP
+    buckets, split = math.ceil(n / cap), {}
+    if buckets > 1 and name != "all":
+        held = _dealt(mine, name, radius, buckets, {}, sizes_only=True).groupBy("f", "bucket").agg(F.sum("n").alias("n"))
+        split = {(x.f, x.bucket): math.ceil(x.n / cap) for x in held.where(F.col("n") > 2 * cap).collect()}  # fewer than masks * values / cap
+    return _dealt(mine, name, radius, buckets, split).groupBy("f", "bucket", "i", "j").applyInArrow(met, schema)
+
+
+def _checked(radius: int) -> None:
+    if not 0 <= radius <= 12:
+        raise ValueError("radius must be 0 to 12; the masks of wider ones are too many")
+
+
+def _pairs(values: DataFrame, radius: int, rows_of: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    _checked(radius)
+    spark, out, names = values.sparkSession, None, [c.split()[0] for c in schema.split(", ")]
+    if radius:
+        own, ways = _ways(values, radius)
+        for name, n in ways:
+            got = _met(own.where(F.col("way") == WAYS.index(name)), name, radius, n, _meeting(parts(name, radius), radius, rows_of, names), schema)
+            out = got if out is None else out.unionByName(got)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def near_values(values: DataFrame, radius: int) -> DataFrame:
+    """values: scope long, h long, distinct, neither null. scope, a, b: the pairs of a scope that differ in radius bits at
+    most, a below b as unsigned numbers."""
+    rows_of = lambda s, a, b, x, y: [z.view(np.int64) for z in (s, np.minimum(a, b), np.maximum(a, b))]
+    return _pairs(values.select("scope", "h", F.col("h").alias("node")), radius, rows_of, "scope long, a long, b long")
+
+
+def near_pairs(values: DataFrame, radius: int) -> DataFrame:
+    """values: scope long, h long, distinct, and node long. a < b, bits: the nodes of the pairs of near_values."""
+
+    def rows_of(s, a, b, x, y):
+        x, y = x.view(np.int64), y.view(np.int64)
+        return [np.minimum(x, y), np.maximum(x, y), np.bitwise_count(a ^ b).astype(np.int32)]
+
+    return _pairs(values, radius, rows_of, "a long, b long, bits int")
+
+
+def near_links(values: DataFrame, radius: int) -> DataFrame:
+    """values: scope long, h long, node long; values of a scope may be equal. src, dst: links of nodes whose components are those
+    of all pairs in a scope that differ in radius bits at most, fewer than there are values."""
+    _checked(radius)
+    schema, out = "src long, dst long", []
+    own, ways = _ways(values, radius)
+    for name, n in ways:
+        mine, listed = own.where(F.col("way") == WAYS.index(name)).drop("way"), parts(name, radius)
+        if name != "all":
+            near = components(_met(mine, "windows", radius, n, _joining(parts("windows", radius), radius, whole=True), schema))
+            label = near.where("node <> component").select("node", F.col("component").alias("label"))
+            out.append(label.select(F.col("label").alias("src"), F.col("node").alias("dst")))
+            mine = mine.join(label, "node", "left").select("scope", "h", F.coalesce("label", "node").alias("node"))
+            mine = materialize(mine.repartitionByRange("node", "h").sortWithinPartitions("node", "h"), "labelled")  # equal labels take little room side by side
+        out.append(_met(mine, name, radius, n, _joining(listed, radius), schema).distinct())
+    return reduce(DataFrame.unionByName, out) if out else values.sparkSession.createDataFrame([], schema)
+
+
 def hash_value(text: str | Column) -> Column:
     """A hexadecimal hash of at most 16 digits as a 64-bit number."""
     h = F.lpad(F.lower(F.col(text) if isinstance(text, str) else text), 16, "0")

@@ -1,7 +1,7 @@
 """Near pairs of 64-bit hashes and of capture times, as equi-joins.
 
-Rows with equal hashes are one node; the pairs are between distinct hashes, with rows attached later, so a hot hash never
-meets itself. The search itself is that of `hamming`.
+Rows with equal hashes are one node; the pairs are between distinct hashes, so a hot hash never meets itself. Where only
+components are wanted, links join what near pairs join and are fewer than the nodes. The search itself is that of `hamming`.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.hamming import hash_text, hash_value, near_values
+from lumenlake.operators.hamming import hash_text, hash_value, near_links, near_pairs, near_values
 
 
 def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, hash_col: str = "phash") -> DataFrame:
@@ -26,10 +26,10 @@ def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, ha
 
 def duplicate_links(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
     """src, dst: links whose components are those of all pairs within bits; equal hashes hang on their least id."""
-    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.lpad(F.lower(hash_col), 16, "0").alias("h"))
+    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hash_value(hash_col).alias("h"))
     head = rows.groupBy("h").agg(F.min("id").alias("head"))
     stars = rows.join(head, "h").select(F.col("head").alias("src"), F.col("id").alias("dst"))
-    near = hash_pairs(df, bits, hash_col=hash_col).join(head.toDF("a", "src"), "a").join(head.toDF("b", "dst"), "b").select("src", "dst")
+    near = near_links(head.select(F.lit(0).cast("long").alias("scope"), "h", F.col("head").alias("node")), bits)
     return stars.where("src <> dst").unionByName(near)
 
 
@@ -39,16 +39,10 @@ def hash_classes(df: DataFrame, id_col: str = "id", hash_col: str = "phash") ->
     return rows.join(rows.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("copies")), "h").select("id", "head", "copies")
 
 
-def _apart(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def pair_list(df: DataFrame, bits: int = 10, id_col: str = "id", hash_col: str = "phash") -> DataFrame:
     """a < b, bits: heads of different hash classes within bits of one another; hash_classes names each head's copies."""
-    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).alias("id"), F.lpad(F.lower(hash_col), 16, "0").alias("h"))
-    head = rows.groupBy("h").agg(F.min("id").alias("head"))
-    near = hash_pairs(df, bits, hash_col=hash_col).withColumn("bits", _apart(hash_value("a"), hash_value("b"))).join(head.toDF("a", "x"), "a").join(head.toDF("b", "y"), "b")
-    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "bits")
+    rows = df.where(F.col(hash_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), hash_value(hash_col).alias("h"))
+    return near_pairs(rows.groupBy("h").agg(F.min("id").alias("node")).select(F.lit(0).cast("long").alias("scope"), "h", "node"), bits)
 
 
 def burst_pairs(df: DataFrame, seconds: int = 3, bits: int = 10) -> DataFrame:

@@ -55,6 +55,32 @@ def test_groups_beyond_the_cap_are_split(spark, values, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(v, 10)
 
 
+@pytest.mark.parametrize("way", hamming.WAYS)
+@pytest.mark.parametrize("radius", [0, 4, 10])
+def test_links_join_what_pairs_join_and_are_few(spark, values, monkeypatch, way, radius):
+    """A dense block, of which all pairs are near, gives no more links than it has values; sparse values lose none."""
+    dense = (values[0] & ~np.uint64(0x3FF)) | np.arange(512, dtype=np.uint64)
+    v = np.unique(np.concatenate([values, dense]))
+    monkeypatch.setattr(hamming, "limits", lambda r: ((1 << 40, way),))
+    monkeypatch.setattr(hamming, "CAP", 300)
+    df = spark.createDataFrame([(3, int(x.view(np.int64)), i) for i, x in enumerate(v)], "scope long, h long, node long")
+    links = hamming.near_links(df, radius).collect()
+    place = {int(x): i for i, x in enumerate(v)}
+    met = [(place[a], place[b]) for a, b in brute(v, radius)]
+    join = lambda e: cells.joined_labels(np.arange(len(v)), np.array([x for x, _ in e], int), np.array([y for _, y in e], int)).tolist()
+    assert join([(r.src, r.dst) for r in links]) == join(met)
+    if way == "all":
+        assert len(links) < len(v)
+
+
+@pytest.mark.parametrize("at_once", [5, 1_000_000])
+def test_pairs_of_nodes_and_their_bits(spark, values, monkeypatch, at_once):
+    monkeypatch.setattr(hamming, "AT_ONCE", at_once)
+    df = spark.createDataFrame([(3, int(x.view(np.int64)), i) for i, x in enumerate(values)], "scope long, h long, node long")
+    want = [(*sorted((np.flatnonzero(values == a)[0], np.flatnonzero(values == b)[0])), (a ^ b).bit_count()) for a, b in brute(values, 10)]
+    assert sorted((r.a, r.b, r.bits) for r in hamming.near_pairs(df, 10).collect()) == sorted(want)
+
+
 def test_ways_grow_with_the_values():
     ways = [w for _, w in hamming.limits(10)]
     assert ways[0] == "all" and ways[-1] == "whole" and len(ways) == len(set(ways))
