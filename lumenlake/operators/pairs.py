@@ -6,10 +6,10 @@ components are wanted, links join what near pairs join and are fewer than the no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.operators.hamming import hash_text, hash_value, near_links, near_pairs, near_values
+from lumenlake.operators.hamming import BESIDE, hash_text, hash_value, near_links, near_pairs, near_values
 
 
 def hash_pairs(df: DataFrame, bits: int = 10, scope: list[str] | None = None, hash_col: str = "phash") -> DataFrame:
@@ -49,21 +49,17 @@ def burst_pairs(df: DataFrame, seconds: int = 3, bits: int = 10) -> DataFrame:
     """src, dst: links whose components are those of all pairs of one library (null only with null) whose hashes are within
     bits and whose times, whole seconds in capture_s, are within seconds of one another, or both missing.
 
-    Rows with one library, time and hash are one node. Times are cut into spans of the limit's width, and the hashes of a
-    library in two spans that follow one another are a scope, as are those without a time: in a scope the search for near
-    hashes goes by its size, so a moment of very many pictures costs little more than a library of as many.
+    Rows with one library, time and hash are one node. A scope is a library's nodes from one second on until the limit, all of
+    which are close in time, or those without a time: in a scope the search for near hashes goes by its size, so a moment of
+    very many pictures costs little more than a library of as many. Scopes that follow one another meet in one group.
     """
-    rows = df.where("phash is not null").select("id", F.coalesce(F.col("library_id").cast("string"), F.lit("\0")).alias("lib"), "capture_s", hash_value("phash").alias("h"))
+    rows = df.where("phash is not null").select(F.col("id").cast("long").alias("id"), F.coalesce(F.col("library_id").cast("string"), F.lit("\0")).alias("lib"), "capture_s", hash_value("phash").alias("h"))
     key = ["lib", "capture_s", "h"]
     head = rows.groupBy(*key).agg(F.min("id").alias("head"))
     r, d = rows.alias("r"), head.alias("d")
     stars = r.join(d, (F.col("r.lib") == F.col("d.lib")) & F.col("r.capture_s").eqNullSafe(F.col("d.capture_s")) & (F.col("r.h") == F.col("d.h"))).select(F.col("d.head").alias("src"), F.col("r.id").alias("dst"))
-    span = F.floor(F.col("capture_s") / max(seconds, 1))
-    spans = F.when(F.col("capture_s").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array(span, span - 1))
-    nodes = head.withColumn("span", F.explode(spans)).withColumn("scope", F.xxhash64("lib", F.col("span").isNull(), "span")).select("scope", "h", F.col("capture_s").alias("t"), "head")
-    close = F.coalesce(F.abs(F.col("t1") - F.col("t2")) <= seconds, F.lit(True))  # without times there is one node a hash
-    one, two = nodes.toDF("scope", "a", "t1", "src"), nodes.toDF("scope", "b", "t2", "dst")
-    near = near_values(nodes.select("scope", "h").distinct(), bits).join(one, ["scope", "a"]).join(two, ["scope", "b"]).where(close).select("src", "dst")
-    # one hash at several times of a scope, of which there are few
-    again = one.join(two.withColumnRenamed("b", "a"), ["scope", "a"]).where((F.col("t1") < F.col("t2")) & close).select("src", "dst")
-    return stars.where("src <> dst").unionByName(near).unionByName(again).distinct()
+    starts = F.when(F.col("capture_s").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.floor("capture_s") - seconds, F.floor("capture_s")))
+    beside = 1 << BESIDE
+    scope = F.xxhash64("lib", F.col("start").isNull(), F.floor(F.col("start") / beside)).bitwiseAND(-beside) + F.coalesce(F.pmod("start", F.lit(beside)), F.lit(0))
+    near = near_links(head.withColumn("start", F.explode(starts)).select(scope.alias("scope"), "h", F.col("head").alias("node")), bits)
+    return stars.where("src <> dst").unionByName(near)

@@ -110,6 +110,13 @@ def test_dense_moment_equals_brute_force(spark, values):
     assert got == {i: root(i) for i in touched}
 
 
+def test_a_dense_moment_has_few_links(spark):
+    """400 pictures within three seconds whose hashes are all near one another: links do not grow with the square."""
+    df = spark.createDataFrame([(i, 1, 1000 + i % 4, f"{0xABCD000000000000 + i:016x}") for i in range(400)], "id long, library_id int, capture_s long, phash string")
+    links = pairs.burst_pairs(df)
+    assert links.count() < 400 * 4 and {r.component for r in components(links).collect()} == {0}
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     centres = RNG.normal(size=(12, 16))
