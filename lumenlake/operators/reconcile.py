@@ -127,8 +127,8 @@ def organize_plan(df: DataFrame, root: str, tokens: list[str], existing: DataFra
 
 
 def apply_plan(images: DataFrame, plan: DataFrame, mode: str, run_id: str) -> tuple[DataFrame, DataFrame]:
-    """(images with moved paths, if the mode is move; the operations log)."""
-    ops = plan.select(F.lit(run_id).alias("run_id"), F.lit(mode).alias("mode"), "source", "target")
+    """(images with moved paths, if the mode is move; the operations log: run_id, mode, image_id, source, target)."""
+    ops = plan.select(F.lit(run_id).alias("run_id"), F.lit(mode).alias("mode"), F.col("id").alias("image_id"), "source", "target")
     if mode != "move":
         return images, ops
     to = plan.select("id", F.col("target").alias("new_path"))
@@ -136,8 +136,9 @@ def apply_plan(images: DataFrame, plan: DataFrame, mode: str, run_id: str) -> tu
 
 
 def undo_last(images: DataFrame, ops: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(images with the latest run's moves taken back, the log without it)."""
+    """(images with the latest run's moves taken back, the log without it). A move goes back if its image is still at its target:
+    targets alone do not tell images apart, as the short marks in them may be equal."""
     last = ops.agg(F.max("run_id").alias("run_id"))
     mine = ops.join(F.broadcast(last), "run_id", "left_semi")  # one row
-    back = mine.where("mode = 'move'").select(F.col("target").alias("path"), F.col("source").alias("old"))
-    return images.join(back, "path", "left").withColumn("path", F.coalesce("old", "path")).select(*images.columns), ops.join(F.broadcast(last), "run_id", "left_anti")
+    back = mine.where("mode = 'move'").select(F.col("image_id").alias("id"), F.col("target").alias("path"), F.col("source").alias("old"))
+    return images.join(back, ["id", "path"], "left").withColumn("path", F.coalesce("old", "path")).select(*images.columns), ops.join(F.broadcast(last), "run_id", "left_anti")

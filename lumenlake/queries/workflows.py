@@ -347,7 +347,7 @@ def _(i):
 
 @_add("org_2_log", "images_fx", _PLAN + " SELECT 'run-1' AS run_id, 'copy' AS mode, source, target FROM plan")
 def _(i):
-    return reconcile.apply_plan(i, _plan(i), "copy", "run-1")[1]
+    return reconcile.apply_plan(i, _plan(i), "copy", "run-1")[1].drop("image_id")
 
 
 @_add("org_3_undo", "images_fx", " SELECT id, path, CAST(0 AS BIGINT) AS logged FROM images_fx")

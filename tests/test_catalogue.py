@@ -112,6 +112,15 @@ def test_organise_and_undo(spark):
     assert {r.path for r in back.collect()} == {"/x/a.jpg", "/y/a.jpg", "/y/b.jpg"} and left.count() == 0
 
 
+def test_undo_tells_images_at_one_target_apart(spark):
+    """Short marks may be equal, so that two images have one target."""
+    img = spark.createDataFrame([(1, "/x/a.jpg"), (2, "/y/a.jpg"), (3, "/z/a.jpg")], "id long, path string")
+    plan = img.select("id", F.col("path").alias("source"), F.lit("/out/a__123456.jpg").alias("target"))
+    moved, ops = reconcile.apply_plan(img, plan, "move", "r1")
+    back, left = reconcile.undo_last(moved.withColumn("path", F.when(F.col("id") == 3, "/elsewhere.jpg").otherwise(F.col("path"))), ops)
+    assert sorted((r.id, r.path) for r in back.collect()) == [(1, "/x/a.jpg"), (2, "/y/a.jpg"), (3, "/elsewhere.jpg")] and left.isEmpty()
+
+
 def test_faces(spark):
     rnd = random.Random(1)
     centres = [[rnd.gauss(0, 1) for _ in range(32)] for _ in range(3)]
