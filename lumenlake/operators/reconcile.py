@@ -64,8 +64,8 @@ LEAF = 64
 
 
 def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id", leaf: int = LEAF) -> DataFrame:
-    """id, country, region, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least names on ties;
-    null without coordinates or places.
+    """id, country, region, city of the place nearest to gps_lat, gps_lon by great-circle distance; the least names on ties,
+    missing ones last; null without coordinates or places.
 
     places (country, region, city, lat, lon; region may be missing) is a gazetteer. It makes a tree of cells: a cell lists the
     places in it and about it, and one with more than leaf places has finer cells below it. Distinct coordinates look into the
@@ -96,11 +96,12 @@ def nearest_place(df: DataFrame, places: DataFrame, id_col: str = "id", leaf: in
         # finer cells only below full ones, of the places that these list
         known = point(levels[-1][1].join(full, "_cell", "left_semi").drop("_cell").distinct(), "lat", "lon")
     left = point(df.where("gps_lat is not null and gps_lon is not null").select("gps_lat", "gps_lon").distinct(), "gps_lat", "gps_lon")
+    named_last = [c for n in ("country", "region", "city") for c in (F.col(n).isNull().alias(f"no_{n}"), F.col(n))]
     best = None
     for level, listed in reversed(levels):
         width = FINEST * 4**level
         met = left.withColumn("_cell", at(level)).join(listed, "_cell")
-        met = met.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), "country", "region", "city")).alias("b"))
+        met = met.groupBy("gps_lat", "gps_lon").agg(F.min(F.struct(F.round(far, 12).alias("d"), *named_last)).alias("b"))
         # the chord is twice the root of far
         sure = materialize(met if level == LEVELS else met.where(4 * F.col("b.d") <= 0.98 * width * width), "places")
         best = sure if best is None else best.unionByName(sure)

@@ -52,6 +52,12 @@ def test_nearest_place_equals_brute_force(spark, leaf):
     assert nearest_place(df, known.limit(0)).where("city is not null").isEmpty() and nearest_place(df.limit(0), known).isEmpty()
 
 
+def test_missing_names_come_last_on_ties(spark):
+    df = spark.createDataFrame([(1, 10.0, 10.0)], "id long, gps_lat double, gps_lon double")
+    known = spark.createDataFrame([("a", None, "x", 10.0, 10.0), ("a", "r", "y", 10.0, 10.0), ("a", "r", None, 10.0, 10.0), (None, "b", "c", 10.0, 10.0)], "country string, region string, city string, lat double, lon double")
+    assert nearest_place(df, known).first()[1:] == ("a", "r", "y")
+
+
 def test_live_members_equal_the_batch_split(spark, tmp_path):
     rnd = random.Random(8)
     start, gap = dt.datetime(2024, 1, 1), 3600
