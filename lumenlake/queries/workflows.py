@@ -535,17 +535,20 @@ def _(i, m):
 SELECT CASE WHEN verdict = 'reject' AND id % 2 = 0 THEN id + 1000000 ELSE id END AS id, path, library_id, capture_s, iso, verdict, stars, user_override, reasons, sharp_score, cast_hue FROM j""",
 )
 def _(i, m):
-    """Rejects go into the archive, half of their paths are scanned again under new ids and measured otherwise, and all come back."""
+    """Rejects go into the archive, half of their paths are scanned again under new ids and measured otherwise, and all come back.
+    The new ids are beyond all others while the tables are changed, and are named as in the SQL at the end."""
+    beyond = 1 << 48
     v = materialize(_verdicts(m), "verdicts")
     saved, rest = mutate.archive_rejects(i, m, v)
     saved = materialize(saved, "archive")
     kept = v.where("verdict <> 'reject'")
     known = lambda df: df.join(kept.select("image_id"), "image_id", "left_semi")
-    again = i.join(saved.select(F.col("image_id").alias("id")), "id", "left_semi").where("id % 2 = 0").withColumns({"id": F.col("id") + 1_000_000, "iso": F.lit(77), "capture_s": F.lit(None).cast("long")})
+    again = i.join(saved.select(F.col("image_id").alias("id")), "id", "left_semi").where("id % 2 = 0").withColumns({"id": F.col("id") + beyond, "iso": F.lit(77), "capture_s": F.lit(None).cast("long")})
     wrong = m.limit(0).unionByName(again.select(F.col("id").alias("image_id"), F.lit(0.5).alias("sharp_score"), F.lit("grey").alias("cast_hue")), allowMissingColumns=True)
     images, metrics, verdicts = mutate.restore_archive(saved, rest.unionByName(again), known(m).unionByName(wrong), kept)
     j = images.join(verdicts.withColumnRenamed("image_id", "id"), "id").join(metrics.withColumnRenamed("image_id", "id"), "id")
-    return j.select("id", "path", "library_id", "capture_s", "iso", "verdict", "stars", "user_override", "reasons", "sharp_score", "cast_hue")
+    named = F.when(F.col("id") >= beyond, F.col("id") - beyond + 1_000_000).otherwise(F.col("id")).alias("id")
+    return j.select(named, "path", "library_id", "capture_s", "iso", "verdict", "stars", "user_override", "reasons", "sharp_score", "cast_hue")
 
 
 @_add("mut_10_backfill", "images_fx", f", lib AS (SELECT DISTINCT CAST(library_id AS BIGINT) AS id, concat('/lib', library_id) AS root_path FROM images_fx WHERE library_id IS NOT NULL), made AS (SELECT (SELECT max(id) FROM lib) + row_number() OVER (ORDER BY root_path) AS id, root_path FROM (SELECT DISTINCT {_FOLDER} AS root_path FROM images_fx WHERE library_id IS NULL)) SELECT i.id, coalesce(CAST(i.library_id AS BIGINT), m.id) AS library_id FROM images_fx i LEFT JOIN made m ON m.root_path = {_FOLDER.replace('path', 'i.path', 1)}")
