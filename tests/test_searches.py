@@ -160,6 +160,40 @@ def test_nearest_by_cells_equals_all(spark, blobs, k):
     assert sorted((r.query_id, r.id, r["rank"]) for r in got) == sorted(want)
 
 
+def test_rows_do_not_travel_to_the_cells_that_let_them_in(spark, blobs):
+    m, df = blobs
+    twice = df.unionByName(df.where("id < 3"))  # the SQL's join repeats pairs of repeated ids
+    met = vectors.cosine_pairs(twice, 0.3, block=32, cell_rows=20)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    many = lambda i: 1 + (i < 3)
+    want = {(i, j): many(i) * many(j) for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(cosines(m) >= 0.3, 1))), strict=True)}
+    assert {(r.src, r.dst): r["count"] for r in met.groupBy("src", "dst").count().collect()} == want
+    to = cells.cells(df, 20)
+    blocks = [r.id for r in cells.among(to, 0.3, 32).select("id").collect()]
+    assert len(blocks) > 10 and sorted(np.concatenate([np.frombuffer(x, np.int64) for x in blocks]).tolist()) == list(range(len(m)))
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, -0.1])
+def test_clusters_after_new_faces_in_many_blocks(spark, blobs, threshold):
+    m, df = blobs
+    label = cells.joined_labels(np.arange(len(m)), *np.nonzero(np.triu(cosines(m) >= threshold, 1)))
+    old = df.where("id % 10 <> 3")
+    first = vectors.extended_clusters(old, old, spark.createDataFrame([], "node long, component long"), threshold, block=32, cell_rows=20)
+    got = vectors.extended_clusters(df, df.where("id % 10 = 3"), first, threshold, block=32, cell_rows=20)
+    assert {r.node: r.component for r in got.collect()} == dict(enumerate(label.tolist()))
+
+
+def test_links_of_dense_vectors_do_not_grow_with_the_pairs_of_blocks(spark):
+    rng = np.random.default_rng(5)
+    near = [(i, (np.eye(8)[0] + rng.normal(0, 0.01, 8)).tolist()) for i in range(400)]
+    to = cells.cells(spark.createDataFrame(near, "id long, embedding array<double>"), 20)
+    left, right = cells.linked(to, to.rows, None, 0.5, 10)
+    n = left.count()
+    links = vectors._forest(left, right, to, np.float64, 0.5).count()
+    assert n >= 40 and links <= 400 + 64 * n  # each block's own links once, then at most a link a block and task
+
+
 def test_searches_of_nothing(spark):
     none = spark.createDataFrame([], "id long, embedding array<double>")
     assert vectors.cosine_pairs(none, 0.5).isEmpty() and vectors.cluster(none, 0.5).isEmpty()
