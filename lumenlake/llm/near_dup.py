@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.graph import components
-from lumenlake.llm.textblocks import LOWER, SPACED, U64, blocks, bounds, mix, ngrams
+from lumenlake.llm.textblocks import LOWER, SMALL_BLOCK, SPACED, U64, blocks, bounds, mix, ngrams
 from lumenlake.shared import arrow_rows, materialize, release
 
 REGISTERS, WIDTH, BASE, RATE = 128, 4, 1.001, 20.0
 CUT = 6.0
 BLOCK_ROWS = 512
-#: rows with registers or whole sets that Python gets at once
+#: rows with texts, registers or whole sets that Python gets at once
 AT_ONCE = 512
 #: nodes that share buckets with one another, up to so many, are compared as one group; more, bucket by bucket
 CLUSTER_ROWS = 4096
@@ -44,7 +44,7 @@ def _kind(df: DataFrame, column: str) -> str:
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Per block: first row, rows, all rows' sorted distinct shingle hashes in turn, and where each row's begin."""
-    for b in blocks(column):
+    for b in blocks(column, SMALL_BLOCK):
         h, row = b.word_hashes(SPACED, LOWER)
         grams, at = ngrams(h, row, k)
         grams, grow = grams[at], row[at]
@@ -185,7 +185,8 @@ def _across(mixed: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cluster_rows: int = CLUSTER_ROWS) -> DataFrame:
     """doc_id (of any type with an order), n_shingles, component_id (the least id reachable over links of similarity >= percent / 100), kept."""
-    all_docs = materialize(sketches(docs, k, id_col, text_col), "sketches")
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        all_docs = materialize(sketches(docs, k, id_col, text_col), "sketches")
     some = all_docs.where("n_shingles > 0 and doc_id is not null")
     # copies with equal sets are one node, named by its least id
     sets = materialize(some.groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("fp1", "fp2", F.col("n_shingles").alias("n"), F.col("x.doc_id").alias("node"), F.col("x.bands").alias("bands")), "nodes")
