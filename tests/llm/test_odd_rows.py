@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 
-from lumenlake.llm import lm_score, mixing, quality, toxicity, warc
+from lumenlake.llm import lm_score, mixing, quality, repeats, toxicity, warc
 from lumenlake.llm.decontaminate import decontaminate
 
 CLASH = "row string, component_id long, h long, lang_key string, score string, salt string, n int"
@@ -83,3 +83,19 @@ def test_warc_long_payloads_and_shared_ids(spark):
     assert len(got) == len(rows)
     assert {(r.page_id, r.record_type, r.refers_to) for r in got if r.page_id > 1} == {(2, "revisit", 1), (3, "response", None), (4, "response", None)}
     assert all(r.payload_digest == hashlib.sha256((long if r.page_id < 3 else "z" * 99).encode()).hexdigest() for r in got)
+
+
+def test_repeats_are_judged_by_bytes_not_words(spark):
+    rnd = random.Random(11)
+    prose = lambda sizes: " ".join("".join(rnd.choices("abcdefghij", k=k)) for k in sizes)
+    passages = {"59 words": prose([5] * 59), "51 words, 399 bytes": prose([7] * 43 + [6] * 8), "51 words, 400 bytes": prose([7] * 44 + [6] * 7), "10 words, 400 bytes": prose([39] * 9 + [40])}
+    assert {k: len(v) for k, v in passages.items()} == {"59 words": 353, "51 words, 399 bytes": 399, "51 words, 400 bytes": 400, "10 words, 400 bytes": 400}
+    rows = [(f"{name}/{i}", f"{prose([6] * 80)} {edge}{text}{edge} {prose([6] * 80)}") for name, text in passages.items() for i, edge in enumerate("ABCDEF")]  # edges end the shared string
+    got = {r.doc_id: r for r in repeats.remove_repeats(table(spark, rows, "doc_id string, text string")).collect()}
+    assert len(got) == len(rows)
+    for key, text in rows:
+        passage = passages[key.split("/")[0]]
+        gone = len(passage) >= 400
+        r = got[key]
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text), 400 * gone, int(gone)), key
+        assert bytes(r.kept).decode() == (text.replace(passage, "") if gone else text), key
