@@ -12,11 +12,16 @@ that costs least at its number of values, so that the pairs compared grow about
 - thirds: two of three thirds differ in two thirds of the radius at most;
 - whole: the radius of all bits.
 
-Values travel in binary chunks of thousands, one for each mask and bucket; a group is sorted by what its mask keeps, and runs
-are compared by shifted arrays. A pair is kept under one mask only: that of its least v, which is told from the pair alone.
-Groups that hold more than CAP values, as many values may agree under a mask, are split into blocks that meet pair by pair.
+A group, a mask and a bucket of what it keeps, is sorted by that, and runs are compared. A pair is kept under one mask only:
+that of its least v, which is told from the pair alone. Groups that hold more than CAP values, as many values may agree under a
+mask, are split into blocks that meet pair by pair. Pairs that agree in a whole part fall to its first mask alone, so its
+groups are FINE times as many.
 
-near_pairs gives every pair, AT_ONCE at a time. near_links is for components: dense values have very many pairs, so it first
+Under the one mask of `all` values travel to their group in binary chunks. Under many masks they do not travel: they are packed
+once, and a Cartesian product of that table with the groups reads it from the shared folder, so that what is written is one copy
+of the values, whatever the number of masks.
+
+near_pairs gives every pair, AT_ONCE at a time, a value's own pairs one after another. near_links is for components: dense values have very many pairs, so it first
 joins values that agree outside a window of r bits, and then looks only for links between what is not joined yet; a group
 gives a spanning forest of those.
 """
@@ -27,6 +32,7 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +46,14 @@ from lumenlake.shared import materialize
 U64 = np.uint64
 #: nanoseconds that a value costs under a mask, and a pair compared
 KEY_COST, PAIR_COST = 150.0, 10.0
-#: values of a group, and of one under the empty mask, at which it is dealt to more buckets
-CAP, CAP_ALL = 500_000, 50_000
+#: values of a group, and of one under the empty mask, at which it is dealt to more buckets; how many groups a part's first mask
+#: has for one of another mask; values that a task holds, and tasks for few values; values of a packed row, and files of these
+CAP, CAP_ALL, FINE, HELD, TASKS, PACKED, FILES = 2_000_000, 50_000, 32, 2_000_000, 32, 50_000, 8
 #: pairs that a group holds before it hands them on; values of a run from which it is searched by stars; scopes that follow one
 #: another and meet in one group, as a power of two
 AT_ONCE, LONG, BESIDE = 1_000_000, 32, 6
+#: pairs that are compared at once
+COMPARED = 1 << 18
 TRIES = 64
 WAYS = ("all", "halves", "thirds", "whole")
 
@@ -116,47 +125,140 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def _dealt(values: DataFrame, way: str, radius: int, buckets: int, split: dict[tuple[int, int], int], sizes_only: bool = False) -> DataFrame:
-    """Chunks of values: f (a mask's number over all parts), bucket, i and j (blocks of a split group), side, scopes, values, nodes.
-    sizes_only: f, bucket and the number of values instead."""
-    masks = np.concatenate([p.masks for p in parts(way, radius)])
-    beside = U64(BESIDE if way == "all" else 0)
+def _bucket(s: np.ndarray, h: np.ndarray, mask: U64, buckets: int, beside: int = 0) -> np.ndarray:
+    return (_mix((h & mask) ^ _mix((s >> U64(beside)) ^ U64(0x5851F42D4C957F2D))) % U64(buckets)).astype(np.int64)
+
+
+def _block(h: np.ndarray, blocks: int) -> np.ndarray:
+    return (_mix(h ^ U64(0x2545F4914F6CDD1D)) % U64(blocks)).astype(np.int64)
+
+
+def _dealt(values: DataFrame, buckets: int) -> DataFrame:
+    """Chunks of values that meet under the empty mask: bucket, scopes, found, nodes."""
 
     def run(batches):
         for batch in batches:
             s, h, node = (batch.column(c).to_numpy(zero_copy_only=False).view(U64) for c in (0, 1, 2))
-            place, rows = _mix((s >> beside) ^ U64(0x5851F42D4C957F2D)), []
-            for f, mask in enumerate(masks):
-                if buckets == 1:
-                    groups = [(0, slice(None))]
-                else:
-                    b = (_mix((h & mask) ^ place) % U64(buckets)).astype(np.int64)
-                    by = np.argsort(b, kind="stable")
-                    cuts = np.flatnonzero(np.diff(b[by])) + 1
-                    groups = [(int(b[x[0]]), x) for x in np.split(by, cuts)]
-                for bucket, at in groups:
-                    n = split.get((f, bucket), 1)
-                    if sizes_only:
-                        rows.append((f, bucket, len(h[at])))
-                        continue
-                    own, mine, named = h[at], s[at], node[at]
-                    block = (_mix(own ^ U64(0x2545F4914F6CDD1D)) % U64(n)).astype(np.int64) if n > 1 else None
-                    for i in range(n):
-                        x, y, z = (own, mine, named) if block is None else (own[block == i], mine[block == i], named[block == i])
-                        if len(x):
-                            rows += [(f, bucket, min(i, j), max(i, j), int(j < i), y.tobytes(), x.tobytes(), z.tobytes()) for j in range(n)]
-                if len(rows) >= 200 or sizes_only:
-                    yield batch_of(rows)
-                    rows = []
+            b = _bucket(s, h, U64(0), buckets, BESIDE)
+            by = np.argsort(b, kind="stable")
+            rows = [(int(b[x[0]]), s[x].tobytes(), h[x].tobytes(), node[x].tobytes()) for x in np.split(by, np.flatnonzero(np.diff(b[by])) + 1) if len(x)]
             if rows:
-                yield batch_of(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["bucket", "scopes", "found", "nodes"])
+
+    return values.select("scope", "h", "node").mapInArrow(run, "bucket long, scopes binary, found binary, nodes binary")
+
+
+def _packed(values: DataFrame) -> DataFrame:
+    """values, PACKED of them a row, written to FILES files: scopes (one, if it is that of all), found, nodes."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy(zero_copy_only=False).view(U64) for c in (0, 1, 2)])
+            n += batch.num_rows
+            if n >= PACKED:
+                yield row(held)
+                held, n = [], 0
+        if n:
+            yield row(held)
+
+    def row(held):
+        s, h, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        s = s[:1] if (s == s[0]).all() else s
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (s, h, node)], ["scopes", "found", "nodes"])
+
+    return materialize(values.select("scope", "h", "node").coalesce(FILES).mapInArrow(run, "scopes binary, found binary, nodes binary"), "packed")
+
+
+@dataclass(frozen=True)
+class Group:
+    """About n values of one bucket under mask f of all parts; of a split group those of the blocks i and j."""
+
+    n: int
+    f: int
+    bucket: int
+    buckets: int
+    i: int = 0
+    j: int = 0
+    blocks: int = 1
+
+
+def _groups(packed: DataFrame, masks: np.ndarray, first: set[int], n: int) -> list[Group]:
+    """All groups of n values; first: the first masks of parts."""
+    most = {f: math.ceil(n / CAP) if f not in first else math.ceil(n * FINE / CAP) for f in range(len(masks))}
+    cap = {f: CAP if f not in first else max(1, CAP // FINE) for f in most}
+    dealt = [f for f, b in most.items() if b > 1]
+
+    def sizes(batches):
+        held = {f: np.zeros(most[f], np.int64) for f in dealt}
+        for s, h, _ in _unpacked(batches):
+            for f in dealt:
+                held[f] += np.bincount(_bucket(s, h, masks[f], most[f]), minlength=most[f])
+        for f, c in held.items():
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f)), pa.array(at), pa.array(c[at])], ["f", "bucket", "n"])
+
+    out = [Group(n, f, 0, 1) for f, b in most.items() if b == 1]
+    if dealt:
+        held = packed.mapInArrow(sizes, "f long, bucket long, n long").groupBy("f", "bucket").agg(F.sum("n").alias("n"))
+        for f, bucket, count in held.orderBy("f", "bucket").collect():  # masks * FINE * values / CAP at most
+            k = math.ceil(count / cap[f]) if count > 2 * cap[f] else 1
+            out += [Group(count * (1 + (i < j)) // k, f, bucket, most[f], i, j, k) for i in range(k) for j in range(i, k)]
+    return out
 
-    names = ["f", "bucket", "n"] if sizes_only else ["f", "bucket", "i", "j", "side", "scopes", "found", "nodes"]
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+def _unpacked(batches) -> Iterator[tuple[np.ndarray, ...]]:
+    """Scopes, values and nodes of packed rows."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, h, node = (np.frombuffer(batch.column(c)[i].as_buffer(), U64) for c in ("scopes", "found", "nodes"))
+            yield np.full(len(h), s[0]) if len(s) < len(h) else s, h, node
+
+
+def _task(batches, groups: list[Group], masks: np.ndarray, met) -> Iterator[pa.RecordBatch]:
+    """What met gives for some groups, whose values are picked out as they come."""
+    held: dict[Group | None, list[tuple[np.ndarray, ...]]] = {}  # None: all values
+    for s, h, node in _unpacked(batches):
+        f = bucket = None
+        for g in groups:
+            if g.buckets == 1:
+                continue
+            if f != g.f:
+                f, bucket = g.f, _bucket(s, h, masks[g.f], g.buckets)
+            at = np.flatnonzero(bucket == g.bucket)
+            side = np.zeros(len(at), np.int64)
+            if g.blocks > 1:
+                block = _block(h[at], g.blocks)
+                on = (block == g.i) | (block == g.j)
+                at, side = at[on], (block[on] != g.i).astype(np.int64)
+            held.setdefault(g, []).append((s[at], h[at], node[at], side))
+        if any(g.buckets == 1 for g in groups):
+            held.setdefault(None, []).append((s, h, node, np.zeros(len(h), np.int64)))
+    whole = [np.concatenate(x) for x in zip(*held.pop(None, []), strict=True)]
+    for g in groups:
+        s, h, node, side = whole if g.buckets == 1 else (np.concatenate(x) for x in zip(*held.pop(g), strict=True))
+        if len(h):
+            yield from met(g.f, s, h, node, side if g.i != g.j else None)
+
+
+def _read_where_it_lies(values: DataFrame, listed: tuple[Part, ...], n: int, met, schema: str) -> DataFrame:
+    """What met gives for every group of n values under the parts' masks: a task reads the packed values for its groups."""
+    masks = np.concatenate([p.masks for p in listed])
+    first = {f for f, (_, v) in enumerate(_numbers(listed)) if v == 1}
+    packed = _packed(values)
+    groups = _groups(packed, masks, first, n)
+    upto = np.cumsum([g.n * (FINE if g.f in first else 1) for g in groups], dtype=float)  # a first mask's have more pairs
+    wanted = max(min(TASKS, len(groups)), math.ceil(upto[-1] / HELD))
+    task = np.minimum((upto - upto[0]) / upto[-1] * wanted, wanted - 1).astype(int)
+    tasks = [[groups[i] for i in at] for at in np.split(np.arange(len(groups)), np.flatnonzero(np.diff(task)) + 1)]
 
-    return values.select("scope", "h", "node").mapInArrow(run, "f long, bucket long, n long" if sizes_only else "f long, bucket long, i long, j long, side long, scopes binary, found binary, nodes binary")
+    def run(batches):
+        first_batch = next((b for b in batches if b.num_rows), None)
+        if first_batch is not None:
+            yield from _task(chain([first_batch], batches), tasks[first_batch.column("task")[0].as_py()], masks, met)
+
+    of = values.sparkSession.range(0, len(tasks), 1, len(tasks)).select(F.col("id").alias("task"))
+    return packed.coalesce(1).hint("shuffle_replicate_nl").crossJoin(of).mapInArrow(run, schema)  # a task a number, which reads the few files
 
 
 def _runs(s: np.ndarray, kept: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,35 +271,30 @@ def _runs(s: np.ndarray, kept: np.ndarray, part: np.ndarray) -> tuple[np.ndarray
     return order, np.flatnonzero(new), np.repeat(np.append(equal[1:], len(s)), np.diff(np.append(equal, len(s))))
 
 
-def _read(chunks) -> Iterator[tuple[np.ndarray, ...]]:
-    """Scopes, values, nodes and sides of a group's batches."""
-    for batch in chunks:
-        named = {c: batch.column(c) for c in ("scopes", "found", "nodes", "side")}
-        s, h, node = (np.frombuffer(b"".join(named[c].to_pylist()), U64) for c in ("scopes", "found", "nodes"))
-        yield s, h, node, np.repeat(named["side"].to_numpy(), [len(x) // 8 for x in named["found"].to_pylist()])
-
-
 def _in_runs(s, h, node, side, part: Part, v: int, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Scope, both values and both nodes of the pairs within the radius that agree under mask v; with sides, across them only.
-    Values that agree in the whole part are paired under its first mask alone, as no other is their least."""
-    order, new, equal_end = _runs(s, h & part.masks[v - 1], h & U64(part.bits))
+    Values that agree in the whole part are paired under its first mask alone, as no other is their least. Pairs come by their
+    first value, which under the first mask has the lesser node: so they take little room."""
+    order, new, equal_end = _runs(s, h & part.masks[v - 1], node if v == 1 else h & U64(part.bits))
     s, h, node, side = s[order], h[order], node[order], None if side is None else side[order]
     end = np.repeat(np.append(new[1:], len(h)), np.diff(np.append(new, len(h))))
     at = np.arange(len(h))
     other = at + 1 if v == 1 else equal_end
-    while True:
-        on = other < end[at]
-        at, other = at[on], other[on]
-        if not len(at):
-            return
-        for i in range(0, len(at), AT_ONCE):
-            a, b = at[i : i + AT_ONCE], other[i : i + AT_ONCE]
-            hit = np.bitwise_count(h[a] ^ h[b]) <= radius
-            hit = hit if side is None else hit & (side[a] != side[b])
-            a, b = a[hit], b[hit]
-            if len(a):
-                yield s[a], h[a], h[b], node[a], node[b]
-        other = other + 1
+    on = np.flatnonzero(other < end)
+    at, other, n = at[on], other[on], (end - other)[on]
+    upto = np.cumsum(n)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] - n[i] + COMPARED, "right")))
+        c = n[i:j]
+        before = np.cumsum(c) - c
+        a, b = np.repeat(at[i:j], c), np.arange(c.sum()) + np.repeat(other[i:j] - before, c)
+        hit = np.bitwise_count(h[a] ^ h[b]) <= radius
+        hit = hit if side is None else hit & (side[a] != side[b])
+        a, b = a[hit], b[hit]
+        if len(a):
+            yield s[a], h[a], h[b], node[a], node[b]
+        i = j
 
 
 def _least(z: np.ndarray, part: Part, v: int) -> np.ndarray:
@@ -214,16 +311,14 @@ def _numbers(listed: tuple[Part, ...]) -> list[tuple[int, int]]:
 
 
 def _meeting(listed: tuple[Part, ...], radius: int, rows_of: Callable[..., list[np.ndarray]], names: list[str]):
-    """The pairs of one group of chunks, as rows_of(scope, a, b, node of a, node of b) has them."""
+    """The pairs of one group, across sides if these are given, as rows_of(scope, a, b, node of a, node of b) has them."""
     numbers = _numbers(listed)
 
-    def met(key: tuple[pa.Scalar, ...], chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v = numbers[key[0].as_py()]
+    def met(f: int, s: np.ndarray, h: np.ndarray, node: np.ndarray, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        p, v = numbers[f]
         part = listed[p]
-        s, h, node, side = (np.concatenate(x) for x in zip(*_read(chunks), strict=True))
-        apart = key[2].as_py() != key[3].as_py()
         held, n = [], 0
-        for s, a, b, x, y in _in_runs(s, h, node, side if apart else None, part, v, radius):
+        for s, a, b, x, y in _in_runs(s, h, node, side, part, v, radius):
             z = a ^ b
             ok = np.ones(len(z), bool)
             for earlier in listed[:p]:
@@ -291,12 +386,11 @@ def _forest(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
 
 
 def _joining(listed: tuple[Part, ...], radius: int, whole: bool = False):
-    """src, dst: a spanning forest of what one group of chunks joins. whole: all values of a run are near one another."""
+    """src, dst: a spanning forest of what one group joins. whole: all values of a run are near one another."""
     numbers = _numbers(listed)
 
-    def met(key: tuple[pa.Scalar, ...], chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, v = numbers[key[0].as_py()]
-        s, h, node, _ = (np.concatenate(x) for x in zip(*_read(chunks), strict=True))
+    def met(f: int, s: np.ndarray, h: np.ndarray, node: np.ndarray, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        p, v = numbers[f]
         node = node.view(np.int64)
         kept = h & listed[p].masks[v - 1]
         order, new, _ = _runs(s, kept, h)
@@ -340,12 +434,14 @@ def _ways(values: DataFrame, radius: int) -> tuple[DataFrame, list[tuple[str, in
 
 
 def _met(mine: DataFrame, name: str, radius: int, n: int, met, schema: str) -> DataFrame:
-    cap = CAP_ALL if name == "all" else CAP
-    buckets, split = math.ceil(n / cap), {}
-    if buckets > 1 and name != "all":
-        held = _dealt(mine, name, radius, buckets, {}, sizes_only=True).groupBy("f", "bucket").agg(F.sum("n").alias("n"))
-        split = {(x.f, x.bucket): math.ceil(x.n / cap) for x in held.where(F.col("n") > 2 * cap).collect()}  # fewer than masks * values / cap
-    return _dealt(mine, name, radius, buckets, split).groupBy("f", "bucket", "i", "j").applyInArrow(met, schema)
+    if name != "all":
+        return _read_where_it_lies(mine, parts(name, radius), n, met, schema)
+
+    def grouped(key: tuple[pa.Scalar, ...], chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[np.frombuffer(b"".join(c.column(x).to_pylist()), U64) for x in ("scopes", "found", "nodes")] for c in chunks]
+        yield from met(0, *(np.concatenate(x) for x in zip(*held, strict=True)), None)
+
+    return _dealt(mine, math.ceil(n / CAP_ALL)).groupBy("bucket").applyInArrow(grouped, schema)
 
 
 def _checked(radius: int) -> None:
@@ -394,7 +490,6 @@ def near_links(values: DataFrame, radius: int) -> DataFrame:
             label = near.where("node <> component").select("node", F.col("component").alias("label"))
             out.append(label.select(F.col("label").alias("src"), F.col("node").alias("dst")))
             mine = mine.join(label, "node", "left").select("scope", "h", F.coalesce("label", "node").alias("node"))
-            mine = materialize(mine.repartitionByRange("node", "h").sortWithinPartitions("node", "h"), "labelled")  # equal labels take little room side by side
         out.append(_met(mine, name, radius, n, _joining(listed, radius), schema).distinct())
     return reduce(DataFrame.unionByName, out) if out else values.sparkSession.createDataFrame([], schema)
 

@@ -200,3 +200,18 @@ def test_searches_of_nothing(spark):
     assert vectors.top_k_batch(none, none.withColumnRenamed("id", "query_id"), 3).isEmpty()
     assert hamming.near_values(spark.createDataFrame([], "scope long, h long"), 10).isEmpty()
     assert hamming.near_values(spark.createDataFrame([(1, 5)], "scope long, h long"), 10).isEmpty()
+
+
+def test_values_do_not_travel_to_their_masks(spark, values, monkeypatch):
+    """Under many masks the pairs' plan has no shuffle, and dense values' pairs come by their lesser node."""
+    monkeypatch.setattr(hamming, "limits", lambda r: ((1 << 40, "halves"),))
+    monkeypatch.setattr(hamming, "CAP", 2000)
+    dense = (values[0] & ~np.uint64(0xFF)) | np.arange(256, dtype=np.uint64)
+    v = np.unique(np.concatenate([values[:200], dense]))
+    df = spark.createDataFrame([(3, int(x.view(np.int64)), i) for i, x in enumerate(v)], "scope long, h long, node long")
+    met = hamming.near_pairs(df, 10)
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    got = [(r.a, r.b) for r in met.collect()]
+    place = {int(x): i for i, x in enumerate(v)}
+    assert sorted(got) == sorted(tuple(sorted((place[a], place[b]))) for a, b in brute(v, 10))
+    assert sum(x[0] != y[0] for x, y in zip(got, got[1:])) < len(got) / 20
